@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Unit suffixes of a row count.
 UNITS = [(10**12, "T"), (10**9, "G"), (10**6, "M"), (10**3, "K")]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute `value` once and use it many times, also inside lambdas.
+
+    A column computed in an earlier select may be merged into the expressions that use it; a
+    lambda variable is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def format_rows(rows: Column) -> Column:
     """Row count with a K/M/G/T suffix, each divided by its own unit."""
     text = rows.cast("string")

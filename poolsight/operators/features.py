@@ -113,10 +113,11 @@ def autocov_columns(lags: int = LAGS) -> dict[str, Column]:
 def fit_aggregates(grid: Sequence[float]) -> list[Column]:
     """Sum of v * exp(x / b) for each b: all the fit needs from the samples besides mean and std."""
     x = F.col("pos") * FIT_STEP
-    return [F.sum(F.col("v") * F.exp(x / F.lit(b))).alias(f"_fit_{j}") for j, b in enumerate(grid)]
+    sums = [F.sum(F.col("v") * F.exp(x / F.lit(b))) for b in grid]
+    return [F.array(*sums).alias("weighted")] if sums else []
 
 
-def fit_columns(grid: Sequence[float]) -> dict[str, Column]:
+def best_fit(grid: Sequence[float]) -> Column:
     """Least squares of `a - exp(x / b)`, a >= 0, over the values of b in `grid`.
 
     With w = exp(x / b) the best a is max(0, mean(v + w)); the error is the variance of v + w
@@ -124,26 +125,35 @@ def fit_columns(grid: Sequence[float]) -> dict[str, Column]:
     after rounding go to the b nearest to the start.
     """
     n, mean, std = F.col("segment_length"), F.col("mean"), F.col("std")
-    trials = []
-    for j, b in enumerate(grid):
-        r = float(np.exp(FIT_STEP / b))
-        w_mean = (1 - F.pow(F.lit(r), n)) / (n * (1 - r))
-        w_var = (1 - F.pow(F.lit(r * r), n)) / (n * (1 - r * r)) - w_mean * w_mean
-        cov = F.col(f"_fit_{j}") / n - mean * w_mean
-        a = F.greatest(F.lit(0.0), mean + w_mean)
-        error = std * std + 2 * cov + w_var + F.pow(a - mean - w_mean, 2)
-        mse = F.greatest(F.lit(0.0), error)
-        trials.append(
+    curves = F.array(
+        *[
             F.struct(
-                F.round(mse, FIT_DIGITS).alias("rank"),
+                F.lit(float(np.exp(FIT_STEP / b))).alias("ratio"),
                 F.lit(abs(float(np.log10(b / FIT_START)))).alias("distance"),
-                mse.alias("mse"),
-                a.alias("a"),
                 F.lit(float(b)).alias("b"),
             )
+            for b in grid
+        ]
+    )
+
+    def trial(weighted: Column, j: Column) -> Column:
+        curve = F.get(curves, j)
+        r = curve["ratio"]
+        w_mean = (1 - F.pow(r, n)) / (n * (1 - r))
+        w_var = (1 - F.pow(r, 2 * n)) / (n * (1 - r * r)) - w_mean * w_mean
+        cov = weighted / n - mean * w_mean
+        a = F.greatest(F.lit(0.0), mean + w_mean)
+        error = std * std + 2 * cov + w_var + (a - mean - w_mean) * (a - mean - w_mean)
+        mse = F.greatest(F.lit(0.0), error)
+        return F.struct(
+            F.round(mse, FIT_DIGITS).alias("rank"),
+            curve["distance"].alias("distance"),
+            mse.alias("mse"),
+            a.alias("a"),
+            curve["b"].alias("b"),
         )
-    best = F.array_min(F.array(*trials))
-    return {"mse": best["mse"], "x_intercept": best["a"], "y_intercept": best["b"]}
+
+    return F.array_min(F.transform("weighted", trial))
 
 
 def features(
@@ -169,8 +179,10 @@ def features(
         "cv": F.when(F.col("mean") != 0, F.col("std") / F.when(F.col("mean") != 0, F.col("mean"))),
         "slope": F.col("slope"),
         **(autocov_columns() if autocov else {}),
-        **(fit_columns(grid) if grid else {}),
     }
+    if grid:
+        sums = sums.withColumn("best_fit", best_fit(grid))
+        columns |= {"mse": F.col("best_fit.mse"), "x_intercept": F.col("best_fit.a"), "y_intercept": F.col("best_fit.b")}
     return sums.select(
         *SIGNAL,
         bad.alias("bad_signal"),

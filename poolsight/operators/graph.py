@@ -10,9 +10,10 @@ ball touches are searched as well.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolsight.schema import LAYER, keyed
@@ -25,6 +26,10 @@ MAX_LEVEL = 48
 AXES = ["x", "y", "z"]
 CELL = ["level", "cx", "cy", "cz"]
 LEAF = [*LAYER, *CELL]
+#: Where a spot lies: its leaf, the width of its layer, and its position in the unit cube.
+PLACE = [*CELL, "side", "ux", "uy", "uz"]
+#: Any cell around a leaf.
+ABOVE = [*LAYER, "above", "ax", "ay", "az"]
 #: Slack for rounding when a ball is compared with the sides of a cell.
 SLACK = 1e-9
 
@@ -43,19 +48,23 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
     points = keyed(cloud).select(*LAYER, "idx", *[(F.col(a) + 0.0).alias(a) for a in AXES]).filter(
         whole[0] & whole[1] & whole[2]
     )
-    placed = cut(_place(_spots(points, k), leaf_rows))
-    own = cut(placed.groupBy(*LEAF).applyInPandas(_own_leaf(k), _near_schema(placed, extra="reach double")))
-    other = _other_leaves(placed, own, k)
-    found = own.select(*LAYER, *AXES, "near").unionByName(other.select(*LAYER, *AXES, "near"))
+    placed = _place(_spots(points, k), leaf_rows)
+    own = cut(placed.groupBy(*LEAF).applyInArrow(_own_leaf(k), _own_schema(placed)))
     spot = [*LAYER, *AXES]
-    rank = F.row_number().over(Window.partitionBy(*spot).orderBy("dist", "id"))
-    best = (
-        found.select(*spot, F.inline("near"))
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= k + 1)
-        .groupBy(*spot)
-        .agg(F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("near"))
-    )
+    best = own.select(*spot, "near")
+    crossing = _crossing(own, placed, k)
+    if not crossing.isEmpty():
+        # only spots near a border have candidates from more than one leaf
+        other = _other_leaves(placed, crossing, k)
+        rank = F.row_number().over(Window.partitionBy(*spot).orderBy("dist", "id"))
+        best = (
+            best.unionByName(other)
+            .select(*spot, F.inline("near"))
+            .withColumn("rank", rank)
+            .filter(F.col("rank") <= k + 1)
+            .groupBy(*spot)
+            .agg(F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("near"))
+        )
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("src")), 1, k)
     edges = (
         points.withColumnRenamed("idx", "src")
@@ -124,9 +133,9 @@ def _place(spots: DataFrame, leaf_rows: int) -> DataFrame:
         )
         split = not crowded.isEmpty()
         quiet = celled.join(crowded, LEAF, "left_anti") if split else celled
-        done = quiet if done is None else done.unionByName(quiet)
         if not split:
-            return done
+            return quiet if done is None else cut(done.unionByName(quiet))
+        done = quiet if done is None else done.unionByName(quiet)
         pending = celled.join(crowded, LEAF, "left_semi").withColumn("level", F.col("level") + 1).drop("cx", "cy", "cz")
 
 
@@ -135,21 +144,36 @@ def _cell(u: Column, level: Column | None = None) -> Column:
     return F.greatest(F.lit(0), F.least(cells - 1, F.floor(u * cells)).cast("long"))
 
 
-def _near_schema(placed: DataFrame, extra: str = "") -> str:
+def _near_schema(placed: DataFrame, extra: Sequence[str] = ()) -> str:
     types = dict(placed.dtypes)
-    fields = [f"{c} {types[c]}" for c in [*LAYER, *AXES]]
-    return ", ".join(fields + ["near array<struct<dist: double, id: bigint>>"] + ([extra] if extra else []))
-
-
-def _nearest(queries: np.ndarray, spots: np.ndarray, ids: list[np.ndarray], k: int) -> list[list[dict]]:
-    """The k + 1 nearest ids of each query position by (dist, id), itself included."""
-    counts = np.array([len(i) for i in ids])
-    flat, first = np.concatenate(ids), np.cumsum(counts) - counts
-    keep = min(k, len(spots) - 1)
-    out: list[list[dict]] = []
-    step = max(1, (1 << 22) // len(spots))
-    for at in range(0, len(queries), step):
-        gap = queries[at : at + step, None, :] - spots[None, :, :]
+    fields = [f"{c} {types[c]}" for c in [*LAYER, *AXES, *extra]]
+    return ", ".join(fields + ["near array<struct<dist: double, id: bigint>>"])
+
+
+def _own_schema(placed: DataFrame) -> str:
+    return _near_schema(placed, PLACE) + ", reach double"
+
+
+NEAR = pa.struct([("dist", pa.float64()), ("id", pa.int64())])
+
+
+def _positions(table: pa.Table) -> np.ndarray:
+    return np.column_stack([table[a].to_numpy() for a in AXES])
+
+
+def _nearest(queries: np.ndarray, spots: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k + 1 nearest ids of each query position by (dist, id), itself included.
+
+    Returns list offsets, distances and ids.
+    """
+    at, ids = _positions(spots), spots["ids"].combine_chunks()
+    counts, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
+    first = np.cumsum(counts) - counts
+    keep = min(k, len(at) - 1)
+    lengths, dists, found = [], [], []
+    step = max(1, (1 << 22) // len(at))
+    for begin in range(0, len(queries), step):
+        gap = queries[begin : begin + step, None, :] - at[None, :, :]
         dist = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
         limit = np.partition(dist, keep, axis=1)[:, keep]
         row, col = np.nonzero(dist <= limit[:, None])
@@ -159,62 +183,77 @@ def _nearest(queries: np.ndarray, spots: np.ndarray, ids: list[np.ndarray], k: i
         who = flat[np.repeat(first[col], times) + inner]
         order = np.lexsort((who, reach, row))
         row, reach, who = row[order], reach[order], who[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        chosen = rank <= k
-        row, reach, who = row[chosen], reach[chosen].tolist(), who[chosen].tolist()
-        cuts = np.searchsorted(row, np.arange(len(dist) + 1))
-        out += [
-            [{"dist": d, "id": i} for d, i in zip(reach[a:b], who[a:b])] for a, b in zip(cuts[:-1], cuts[1:])
-        ]
-    return out
+        chosen = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        lengths.append(np.bincount(row[chosen], minlength=len(dist)))
+        dists.append(reach[chosen])
+        found.append(who[chosen])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    return offsets, np.concatenate(dists), np.concatenate(found)
+
+
+def _with_near(
+    table: pa.Table, offsets: np.ndarray, dist: np.ndarray, who: np.ndarray, extra: Sequence[str] = ()
+) -> pa.Table:
+    items = pa.StructArray.from_arrays([pa.array(dist), pa.array(who)], fields=list(NEAR))
+    near = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+    return table.select([*LAYER, *AXES, *extra]).append_column("near", near)
 
 
 def _own_leaf(k: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        at = frame[AXES].to_numpy()
-        near = _nearest(at, at, list(frame["ids"]), k)
-        reach = [n[k]["dist"] if len(n) > k else np.nan for n in near]
-        return frame[[*LAYER, *AXES]].assign(near=near, reach=reach)
+    def run(leaf: pa.Table) -> pa.Table:
+        offsets, dist, who = _nearest(_positions(leaf), leaf, k)
+        full = np.diff(offsets) > k
+        reach = np.where(full, dist[np.minimum(offsets[:-1] + k, len(dist) - 1)], np.nan)
+        return _with_near(leaf, offsets, dist, who, PLACE).append_column("reach", pa.array(reach, from_pandas=True))
 
     return run
 
 
-def _other_leaves(placed: DataFrame, own: DataFrame, k: int) -> DataFrame:
-    """Neighbours from the other leaves that a spot's ball touches."""
-    leaves = placed.groupBy(*LEAF).agg(F.sum(F.size("ids")).alias("n_ids"), F.max("side").alias("side"))
-    levels = F.explode(F.sequence(F.lit(0), F.col("level")))
+def _ancestry(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves with their number of ids, and each leaf once per cell around it."""
+    leaves = placed.groupBy(*LEAF).agg(F.sum(F.size("ids")).alias("n_ids"))
     up = F.pow(F.lit(2.0), F.col("level") - F.col("above"))
-    ancestry = leaves.withColumn("above", levels).withColumns(
+    ancestry = leaves.withColumn("above", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumns(
         {f"a{a}": F.floor(F.col(f"c{a}") / up).cast("long") for a in AXES}
     )
-    above = [*LAYER, "above", "ax", "ay", "az"]
+    return leaves, ancestry
+
+
+def _crossing(own: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """Spots whose ball leaves their leaf, with the `radius` of the ball in the unit cube."""
+    spots = own.select(*LAYER, *AXES, *PLACE, "reach")
     # a leaf without k + 1 points of its own: the smallest cell around it that has them
-    filled = ancestry.groupBy(*above).agg(F.sum("n_ids").alias("_n")).filter(F.col("_n") > k)
-    room = ancestry.join(filled, above).groupBy(*LEAF).agg(F.max("above").alias("_room"))
-    asked = own.select(*LAYER, *AXES, "reach").join(placed, [*LAYER, *AXES]).join(room, LEAF, "left")
-    diagonal = math.sqrt(3.0) / F.pow(F.lit(2.0), F.coalesce("_room", F.lit(0)))
-    ball = F.when(F.isnan("reach"), diagonal).otherwise(F.col("reach") / F.col("side"))
-    radius = ball * (1 + SLACK) + SLACK * SLACK
-    asked = asked.withColumn("radius", radius)
+    _, ancestry = _ancestry(placed)
+    filled = ancestry.groupBy(*ABOVE).agg(F.sum("n_ids").alias("_n")).filter(F.col("_n") > k)
+    room = ancestry.filter(F.col("n_ids") <= k).join(filled, ABOVE).groupBy(*LEAF).agg(F.max("above").alias("room"))
+    known = spots.filter(F.col("reach").isNotNull()).withColumn("ball", F.col("reach") / F.col("side"))
+    diagonal = math.sqrt(3.0) / F.pow(F.lit(2.0), F.coalesce("room", F.lit(0)))
+    sparse = spots.filter(F.col("reach").isNull()).join(room, LEAF, "left").withColumn("ball", diagonal)
+    balls = known.unionByName(sparse.drop("room"))
+    asked = balls.withColumn("radius", F.col("ball") * (1 + SLACK) + SLACK * SLACK)
     size = F.pow(F.lit(2.0), -F.col("level"))
     inside = F.lit(True)
     for a in AXES:
         low, high = F.col(f"c{a}") * size, (F.col(f"c{a}") + 1) * size
         inside &= (F.col(f"u{a}") - F.col("radius") > low) | (low <= 0)
         inside &= (F.col(f"u{a}") + F.col("radius") < high) | (high >= 1)
+    return asked.filter(~inside).drop("ball", "reach", "side")
+
+
+def _other_leaves(placed: DataFrame, crossing: DataFrame, k: int) -> DataFrame:
+    """Neighbours from the other leaves that a spot's ball touches."""
+    leaves, ancestry = _ancestry(placed)
+    size = F.pow(F.lit(2.0), -F.col("level"))
     # cells of the finest level whose side is at least the ball's width: two per axis at most
     fine = F.floor(-F.log2(2 * F.col("radius")))
     fine = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), fine)).cast("int")
-    crossing = asked.filter(~inside).select(
-        *LAYER, *AXES, "radius", "ux", "uy", "uz", *[F.col(c).alias(f"own_{c}") for c in CELL], fine.alias("fine")
-    )
-    touched = crossing
+    touched = crossing.withColumnsRenamed({c: f"own_{c}" for c in CELL}).withColumn("fine", fine)
     for a in AXES:
         span = F.sequence(
             _cell(F.col(f"u{a}") - F.col("radius"), F.col("fine")), _cell(F.col(f"u{a}") + F.col("radius"), F.col("fine"))
         )
         touched = touched.withColumn(f"a{a}", F.explode(span))
-    finer = touched.withColumnRenamed("fine", "above").join(ancestry, above)
+    finer = touched.withColumnRenamed("fine", "above").join(ancestry, ABOVE)
     shrink = F.pow(F.lit(2.0), F.col("fine") - F.col("level"))
     coarser = (
         touched.withColumn("level", F.explode(F.filter(F.sequence(F.lit(0), F.col("fine")), lambda l: l < F.col("fine"))))
@@ -246,15 +285,15 @@ def _other_leaves(placed: DataFrame, own: DataFrame, k: int) -> DataFrame:
         dealt.select(*group, *AXES)
         .groupBy(*group)
         .cogroup(copies.select(*group, *AXES, "ids").groupBy(*group))
-        .applyInPandas(_other_leaf(k), _near_schema(placed))
+        .applyInArrow(_other_leaf(k), _near_schema(placed))
     )
 
 
 def _other_leaf(k: int):
-    def run(queries: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
-        near: list = []
-        if len(queries) and len(spots):
-            near = _nearest(queries[AXES].to_numpy(), spots[AXES].to_numpy(), list(spots["ids"]), k)
-        return queries[[*LAYER, *AXES]].iloc[: len(near)].assign(near=near)
+    def run(queries: pa.Table, spots: pa.Table) -> pa.Table:
+        if not len(queries) or not len(spots):
+            none = np.zeros(0)
+            return _with_near(queries.slice(0, 0), np.zeros(1), none, none.astype(np.int64))
+        return _with_near(queries, *_nearest(_positions(queries), spots, k))
 
     return run

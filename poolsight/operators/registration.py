@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolsight.functions.scalars import mark_name, roi_role
+from poolsight.functions.scalars import let, mark_name, roi_role
 from poolsight.operators import ordered
 
 SIDES = ("top", "bottom", "left", "right")
@@ -87,7 +87,7 @@ def tilt(m1: Column, m2: Column, b: float = BASE, h: float = HEIGHT) -> Column:
     s = m1 + m2
     u = d_tan / (b + s)
     for _ in range(NEWTON_STEPS):
-        u = F.transform(F.array(u), lambda x: _newton(x, s, d_tan, b))[0]
+        u = let(u, lambda x: _newton(x, s, d_tan, b))
     return F.atan(u)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from poolsight.functions.scalars import let
 from poolsight.operators.segments import segment_rows
 from poolsight.schema import LAYER, SENSORS, keyed
 
@@ -42,18 +43,29 @@ def pad_or_truncate(
 
 def zscore_series(series: DataFrame, sensors: Sequence[str] = tuple(SENSORS)) -> DataFrame:
     """Each series and sensor scaled to mean 0 and population std 1; std 0 counts as 1."""
-    n = F.size("series")
-    scaled = series
-    for i, s in enumerate(sensors):
-        values = F.transform("series", lambda sample, i=i: sample[i])
-        scaled = scaled.withColumn(f"_m_{s}", F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n)
-        centred = F.aggregate(
-            values, F.lit(0.0), lambda a, v, s=s: a + (v - F.col(f"_m_{s}")) * (v - F.col(f"_m_{s}"))
-        )
-        std = F.sqrt(centred / n)
-        scaled = scaled.withColumn(f"_s_{s}", F.when(std > 0, std).otherwise(F.lit(1.0)))
-    sample = lambda x: F.array(*[(x[i] - F.col(f"_m_{s}")) / F.col(f"_s_{s}") for i, s in enumerate(sensors)])
-    return scaled.withColumn("series", F.transform("series", sample)).select(*series.columns)
+    n = len(sensors)
+    means = F.array(*[_mean("series", _nth(i)) for i in range(n)])
+
+    def with_means(m: Column) -> Column:
+        stds = F.array(*[F.sqrt(_mean("series", _squared_gap(i, m))) for i in range(n)])
+        return let(stds, lambda s: F.transform("series", lambda x: _scaled(x, m, s)))
+
+    def _scaled(x: Column, m: Column, s: Column) -> Column:
+        return F.array(*[(x[i] - m[i]) / F.when(s[i] > 0, s[i]).otherwise(F.lit(1.0)) for i in range(n)])
+
+    return series.withColumn("series", let(means, with_means)).select(*series.columns)
+
+
+def _mean(column: str, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(column, F.lit(0.0), lambda total, sample: total + of(sample)) / F.size(column)
+
+
+def _nth(i: int) -> Callable[[Column], Column]:
+    return lambda sample: sample[i]
+
+
+def _squared_gap(i: int, means: Column) -> Callable[[Column], Column]:
+    return lambda sample: (sample[i] - means[i]) * (sample[i] - means[i])
 
 
 def unfold(series: DataFrame, keys: Sequence[str], sensors: Sequence[str] = tuple(SENSORS)) -> DataFrame:

@@ -92,22 +92,27 @@ marks as (
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres of the five anchor marks per sample and magnification."""
     key = F.col("s_suppkey")
-    shift = (key % 11).cast("double")
     spots = [
-        ("top_left", -1000.0, -1000.0, F.lit(0.0)),
-        ("top_right", 1000.0, -1000.0, (10 * (key % 5)).cast("double")),
-        ("bottom_left", -1000.0, 1000.0, F.lit(0.0)),
-        ("bottom_right", 1000.0, 1000.0, F.lit(0.0)),
-        ("middle", 0.0, 0.0, F.lit(0.0)),
+        ("top_left", -1000.0, -1000.0),
+        ("top_right", 1000.0, -1000.0),
+        ("bottom_left", -1000.0, 1000.0),
+        ("bottom_right", 1000.0, 1000.0),
+        ("middle", 0.0, 0.0),
     ]
     placed = F.array(
-        *[
-            F.struct(F.lit(n).alias("roi_name"), (F.lit(2000.0 + dx) + shift).alias("x"), (F.lit(2000.0 + dy) + up).alias("y"))
-            for n, dx, dy, up in spots
-        ]
+        *[F.struct(F.lit(n).alias("roi_name"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in spots]
     )
-    return table(spark, sf_dir, "supplier").select(
-        key.alias("sample"), F.explode(F.array(F.lit(150), F.lit(500))).alias("magnification"), F.inline(placed)
+    lifted = F.when(F.col("roi_name") == "top_right", 10 * (key % 5)).otherwise(0)
+    return (
+        table(spark, sf_dir, "supplier")
+        .select("s_suppkey", F.explode(F.array(F.lit(150), F.lit(500))).alias("magnification"), F.inline(placed))
+        .select(
+            key.alias("sample"),
+            "magnification",
+            "roi_name",
+            (2000.0 + F.col("dx") + key % 11).alias("x"),
+            (2000.0 + F.col("dy") + lifted).alias("y"),
+        )
     )
 
 

@@ -67,12 +67,12 @@ def row_index(spark, sf_dir):
 def _iqr_sql(column: str) -> str:
     return f""",
 ranked as (
-  select session, {column} as v, row_number() over (partition by session order by {column}) - 1 as at,
+  select session, {column} as v, row_number() over (partition by session order by {column}) - 1 as place,
     count(*) over (partition by session) - 1 as last from sampled
 ),
 bounds as (
-  select session, min(v) filter (at = floor(0.25e0 * last + 0.5e0)) as q1,
-    min(v) filter (at = floor(0.75e0 * last + 0.5e0)) as q3 from ranked group by session
+  select session, min(v) filter (place = floor(0.25e0 * last + 0.5e0)) as q1,
+    min(v) filter (place = floor(0.75e0 * last + 0.5e0)) as q3 from ranked group by session
 )
 select s.session, layer, idx, x, y from sampled s join bounds b on s.session = b.session
 where {column} between q1 - 3.0e0 * (q3 - q1) and q3 + 3.0e0 * (q3 - q1)"""
