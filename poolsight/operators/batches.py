@@ -33,9 +33,9 @@ def size_batches(
         ahead = last.select(*keys, F.col("i").alias("j"), F.col("j").alias("k"))
         hops.append(cut(last.join(ahead, [*keys, "j"]).select(*keys, "i", F.col("k").alias("j"))))
     starts = placed.filter("_i = 1").select(*keys, F.col("_i").alias("i"))
-    for jump in reversed(hops):
+    for step, jump in enumerate(reversed(hops), 1):
         starts = starts.unionByName(starts.join(jump, [*keys, "i"]).select(*keys, F.col("j").alias("i")))
-        if len(hops) > 4:
+        if step % 3 == 0:
             starts = cut(starts)
     flags = starts.select(*keys, F.col("i").alias("_i"), F.lit(1).alias("_start"))
     marked = placed.join(flags, [*keys, "_i"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))

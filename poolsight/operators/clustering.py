@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +28,12 @@ SEED_POOL = 32
 METHODS = {"dtw": (20, 3), "euclidean": (20, 5), "softdtw": (10, 2)}
 
 
+def prepare(series: DataFrame) -> DataFrame:
+    """Write the series once, in enough files that every core gets a share in each iteration."""
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    return cut(series.repartition(max(cores, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "series_id"))
+
+
 @dataclass
 class SeriesModel:
     """Centroids (k, T, S) with the mean cost per series at each iteration of the chosen start."""
@@ -40,16 +46,18 @@ class SeriesModel:
     def assign(self, series: DataFrame) -> DataFrame:
         """Adds `label` and `cost`, the nearest centroid and the cost of reaching it."""
         shared = series.sparkSession.sparkContext.broadcast(self.centroids)
-        metric, columns = self.metric, series.columns
+        metric = self.metric
 
-        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    cost = _all_costs(metric, shared.value, _stack(frame["series"]))
-                    yield frame.assign(label=cost.argmin(axis=1).astype(np.int32), cost=cost.min(axis=1))
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    cost = _all_costs(metric, shared.value, _dense(batch.column("series")))
+                    label = pa.array(cost.argmin(axis=1).astype(np.int32))
+                    arrays = [*batch.columns, label, pa.array(cost.min(axis=1))]
+                    yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "label", "cost"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields)
-        return series.select(*columns).mapInPandas(nearest, f"{fields}, label int, cost double")
+        return series.mapInArrow(nearest, f"{fields}, label int, cost double")
 
     def centroid_rows(self, spark) -> DataFrame:
         """Centroids as (label, step, sensor, value) rows."""
@@ -63,8 +71,11 @@ class SeriesModel:
         return spark.createDataFrame(rows, "label int, step int, sensor string, value double")
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.stack(list(row)).astype(float) for row in column])
+def _dense(column: pa.Array) -> np.ndarray:
+    """Equal-length nested lists as one (B, T, S) array, without Python objects."""
+    steps = column.flatten()
+    values = steps.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return values.reshape(len(column), len(steps) // len(column), -1)
 
 
 def _all_costs(metric: str, centroids: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -83,11 +94,11 @@ def _seeds(series: DataFrame, metric: str, k: int, starts: int, seed: int) -> np
         series.select("series_id", "series")
         .orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id")
         .limit(SEED_POOL * k)
-        .toPandas()
+        .toArrow()
     )
-    if pool.empty:
+    if not len(pool):
         raise ValueError("No segments found in the data")
-    data = _stack(pool["series"])
+    data = _dense(pool["series"].combine_chunks())
     if len(data) < k:
         raise ValueError(f"{len(data)} series cannot form {k} clusters")
     rng = np.random.default_rng(seed)
@@ -107,16 +118,16 @@ def _seeds(series: DataFrame, metric: str, k: int, starts: int, seed: int) -> np
 def _step(metric: str, shared, series: DataFrame) -> DataFrame:
     """One E-step: per start and cluster the number of series, cost, weighted sums and weights."""
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         starts, k, steps, sensors = centroids.shape
         count, cost_sum = np.zeros((starts, k)), np.zeros((starts, k))
         sums, mass = np.zeros((starts, k, steps, sensors)), np.zeros((starts, k, steps))
         size = alignment.batch_rows(steps)
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not len(batch):
                 continue
-            data = _stack(frame["series"])
+            data = _dense(batch.column("series"))
             for s in range(starts):
                 cost = _all_costs(metric, centroids[s], data)
                 label = cost.argmin(axis=1)
@@ -125,22 +136,22 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
                     count[s, c] += len(members)
                     cost_sum[s, c] += cost[label == c, c].sum()
                     for at in range(0, len(members), size):
-                        batch = members[at : at + size]
-                        w = alignment.weights(metric, centroids[s, c], batch)
-                        sums[s, c] += np.einsum("bij,bjs->is", w, batch)
+                        chunk = members[at : at + size]
+                        w = alignment.weights(metric, centroids[s, c], chunk)
+                        sums[s, c] += np.einsum("bij,bjs->is", w, chunk)
                         mass[s, c] += w.sum(axis=(0, 2))
         at = [(s, c) for s in range(starts) for c in range(k) if count[s, c]]
-        yield pd.DataFrame(
-            {
-                "start": [s for s, _ in at],
-                "label": [c for _, c in at],
-                "n": [count[i] for i in at],
-                "cost": [cost_sum[i] for i in at],
-                "parts": [np.concatenate([sums[i].ravel(), mass[i].ravel()]).tolist() for i in at],
-            }
-        )
-
-    return series.select("series").mapInPandas(
+        parts = [np.concatenate([sums[i].ravel(), mass[i].ravel()]) for i in at]
+        columns = {
+            "start": pa.array([s for s, _ in at], pa.int32()),
+            "label": pa.array([c for _, c in at], pa.int32()),
+            "n": pa.array([count[i] for i in at], pa.float64()),
+            "cost": pa.array([cost_sum[i] for i in at], pa.float64()),
+            "parts": pa.array(parts, pa.list_(pa.float64())),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+    return series.select("series").mapInArrow(
         partial, "start int, label int, n double, cost double, parts array<double>"
     )
 
@@ -190,7 +201,7 @@ def fit_aligned(
         centroids = moved
         if not open_starts:
             break
-    winner = min(range(starts), key=lambda s: min(history[s]))
+    winner = min(range(starts), key=lambda s: float(f"{min(history[s]):.9e}"))
     return SeriesModel(metric, best[winner], min(history[winner]), history[winner])
 
 
@@ -204,8 +215,10 @@ def fit_euclidean(series: DataFrame, k: int, max_iter: int = 20, starts: int = 5
     fits = [
         KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="features").fit(flat) for s in range(starts)
     ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = np.stack([np.asarray(c) for c in best.clusterCenters()]).reshape(-1, steps, sensors)
+    # equal costs go to the earlier start, and labels follow the centres, on every run
+    best = min(fits, key=lambda m: float(f"{m.summary.trainingCost:.9e}"))
+    centres = sorted((np.asarray(c) for c in best.clusterCenters()), key=lambda c: tuple(np.round(c, 6)))
+    centres = np.stack(centres).reshape(-1, steps, sensors)
     cost = best.summary.trainingCost / sum(best.summary.clusterSizes)
     return SeriesModel("euclidean", centres, float(cost))
 
@@ -238,7 +251,7 @@ class ClusteringRun:
 
 def cluster_series(series: DataFrame, k: int, seed: int = SEED, settings: dict[str, tuple[int, int]] | None = None) -> ClusteringRun:
     """Fit all three methods, skip those that fail, and label the series with the chosen one."""
-    series = cut(series)
+    series = prepare(series)
     if series.isEmpty():
         raise ValueError("No segments found in the data")
     models: dict[str, SeriesModel] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from poolsight.operators.spectrum import long_spectrum_peak
 from poolsight.schema import LAYER, SENSORS
+from poolsight.session import cut
 
 LAGS = 9
 #: Rows of a segment that one lag window sees; the next `LAGS` rows are added as a margin.
@@ -75,8 +76,6 @@ def is_bad(v: Column) -> Column:
 def basic_aggregates() -> list[Column]:
     v, pos = F.col("v"), F.col("pos")
     return [
-        F.count("*").alias("segment_length"),
-        F.max(is_bad(v)).alias("has_bad"),
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("std"),
         F.regr_slope(v, pos.cast("double")).alias("slope"),
@@ -161,6 +160,7 @@ def features(
     sensors: Sequence[str] = tuple(SENSORS),
     autocov: bool = True,
     fit_grid: Sequence[float] | None = FIT_GRID,
+    signs: bool = False,
 ) -> DataFrame:
     """Features of each (segment, sensor) except the dominant frequency.
 
@@ -170,7 +170,7 @@ def features(
     source = lagged_signals(rows, sensors) if autocov else signals(rows, sensors)
     grid = [] if fit_grid is None else list(fit_grid)
     sums = source.groupBy(*SIGNAL).agg(
-        *basic_aggregates(), *(autocov_aggregates() if autocov else []), *fit_aggregates(grid)
+        *sign_aggregates(), *basic_aggregates(), *(autocov_aggregates() if autocov else []), *fit_aggregates(grid)
     )
     bad = F.col("has_bad") | (F.col("segment_length") <= 2)
     columns = {
@@ -187,7 +187,7 @@ def features(
         *SIGNAL,
         bad.alias("bad_signal"),
         *[F.when(~bad, column).alias(name) for name, column in columns.items()],
-        "segment_length",
+        *(sign_columns() if signs else ["segment_length"]),
     )
 
 
@@ -201,35 +201,56 @@ def dominant_freq(
     """Index of the largest |rfft| bin (rounded to `digits`), the first on ties.
 
     Without `skip_dc` a signal of one sign needs no transform: |sum of v| is then the sum of
-    |v|, which no other bin exceeds. Only signals of mixed sign are gathered and transformed,
-    in one task up to `fft_rows` rows and by the distributed transform beyond.
+    |v|, which no other bin exceeds. Only signals of mixed sign are gathered and transformed.
     """
-    signal = signals(rows, sensors)
-    signs = signal.groupBy(*SIGNAL, "length").agg(
-        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.max(is_bad(F.col("v"))).alias("has_bad")
-    )
-    settled = (F.col("lowest") >= 0) | (F.col("highest") <= 0)
-    if skip_dc:
-        settled = F.lit(False)
-    known = signs.select(
-        *SIGNAL, "length", F.col("has_bad"), (settled & ~F.col("has_bad")).alias("settled")
-    )
-    open_signals = known.filter("not settled and not has_bad").select(*SIGNAL)
-    pending = signal.join(open_signals, SIGNAL, "left_semi") if not skip_dc else signal
-    short = (
-        pending.filter(F.col("length") <= fft_rows)
-        .groupBy(*SIGNAL)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-        .select(*SIGNAL, _rfft_peak(skip_dc, digits)(F.col("s.v")).alias("dominant_freq"))
-    )
-    peaks = short
-    long = pending.filter(F.col("length") > fft_rows)
-    if known.filter((F.col("length") > fft_rows) & ~F.col("settled") & ~F.col("has_bad")).limit(1).count():
-        peaks = short.unionByName(long_spectrum_peak(long, SIGNAL, skip_dc, digits))
-    return known.join(peaks, SIGNAL, "left").select(
-        *SIGNAL,
-        F.when(F.col("settled"), F.lit(0)).when(~F.col("has_bad"), F.col("dominant_freq")).cast("long").alias("dominant_freq"),
-    )
+    known = cut(signals(rows, sensors).groupBy(*SIGNAL).agg(*sign_aggregates()).select(*SIGNAL, *sign_columns()))
+    return _with_spectrum(known, rows, sensors, skip_dc, digits, fft_rows).select(*SIGNAL, "dominant_freq")
+
+
+def sign_aggregates() -> list[Column]:
+    v = F.col("v")
+    return [
+        F.count("*").alias("segment_length"),
+        F.max(is_bad(v)).alias("has_bad"),
+        F.min(v).alias("_lowest"),
+        F.max(v).alias("_highest"),
+    ]
+
+
+def sign_columns() -> list[Column]:
+    one_sign = (F.col("_lowest") >= 0) | (F.col("_highest") <= 0)
+    return [F.col("segment_length"), F.col("has_bad"), (one_sign & ~F.col("has_bad")).alias("one_sign")]
+
+
+def _with_spectrum(
+    known: DataFrame, rows: DataFrame, sensors: Sequence[str], skip_dc: bool, digits: int, fft_rows: int
+) -> DataFrame:
+    """Add `dominant_freq` to a stored table with `segment_length`, `has_bad` and `one_sign`.
+
+    One task transforms a signal of up to `fft_rows` rows; longer ones go through the
+    distributed transform. Neither is planned when no signal needs it.
+    """
+    settled = F.lit(False) if skip_dc else F.col("one_sign")
+    pending = known.filter(~F.col("has_bad") & ~settled).select(*SIGNAL, "segment_length")
+    peaks = []
+    short, long = F.col("segment_length") <= fft_rows, F.col("segment_length") > fft_rows
+    if not pending.filter(short).isEmpty():
+        gathered = (
+            signals(rows, sensors)
+            .join(pending.filter(short).select(*SIGNAL), SIGNAL, "left_semi")
+            .groupBy(*SIGNAL)
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+        )
+        peaks.append(gathered.select(*SIGNAL, _rfft_peak(skip_dc, digits)(F.col("s.v")).alias("dominant_freq")))
+    if not pending.filter(long).isEmpty():
+        signal = signals(rows, sensors).join(pending.filter(long).select(*SIGNAL), SIGNAL, "left_semi")
+        peaks.append(long_spectrum_peak(signal, SIGNAL, skip_dc, digits))
+    zero = F.when(settled, F.lit(0).cast("long"))
+    if not peaks:
+        return known.withColumn("dominant_freq", zero)
+    found = peaks[0] if len(peaks) == 1 else peaks[0].unionByName(peaks[1])
+    joined = known.join(found.withColumnRenamed("dominant_freq", "_peak"), SIGNAL, "left")
+    return joined.withColumn("dominant_freq", F.coalesce(zero, "_peak")).drop("_peak")
 
 
 def _rfft_peak(skip_dc: bool, digits: int):
@@ -249,13 +270,18 @@ def _rfft_peak(skip_dc: bool, digits: int):
     return peak
 
 
-def feature_table(rows: DataFrame, sensors: Sequence[str] = tuple(SENSORS)) -> DataFrame:
-    """The full feature row per (layer, segment, sensor)."""
-    table = features(rows, sensors).join(dominant_freq(rows, sensors), SIGNAL, "left")
+def feature_table(rows: DataFrame, sensors: Sequence[str] = tuple(SENSORS), fft_rows: int = FFT_ROWS) -> DataFrame:
+    """The full feature row per (layer, segment, sensor).
+
+    The table is written once; the signals are read again only where a spectrum needs them.
+    """
+    stored = cut(features(rows, sensors, signs=True))
+    table = _with_spectrum(stored, rows, sensors, False, 6, fft_rows)
     order = ["mean", "std", "cv", "slope", "dominant_freq"]
     order += [f"autoco_{k}" for k in range(1, LAGS + 1)]
     order += ["mse", "x_intercept", "y_intercept", "segment_length", "bad_signal"]
-    return table.select(*SIGNAL, *order)
+    spectrum = F.when(~F.col("bad_signal"), F.col("dominant_freq")).alias("dominant_freq")
+    return table.select(*SIGNAL, *[spectrum if c == "dominant_freq" else c for c in order])
 
 
 def mean_sd(table: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from poolsight.operators import features, segments
 from poolsight.operators.mapping import map_segments
 from poolsight.plans.fixtures import PC_SQL, point_cloud
 from poolsight.plans.registry import query, r, rounded
-from poolsight.session import scratch_path
+from poolsight.session import cut, scratch_path
 from poolsight.sources import tables
 
 KEYS = ["session", "layer"]
@@ -286,7 +286,7 @@ select cast(b.bin as integer) as bin, {r('lo + b.bin * width', 'center')}, count
 from range(10) b(bin) cross join ends left join slots on slots.bin = b.bin group by b.bin, lo, width""",
 )
 def feat_histogram(spark, sf_dir):
-    return rounded(features.histogram(_fits(spark, sf_dir), "x_intercept"), ["center"])
+    return rounded(features.histogram(cut(_fits(spark, sf_dir)), "x_intercept"), ["center"])
 
 
 @query(

@@ -157,7 +157,7 @@ def calinski_harabasz(spark, sf_dir):
 def _sizes(name: str, metric: str) -> None:
     @query(name)
     def run(spark, sf_dir):
-        prepared = cut(scaled_series(spark, sf_dir).select("series_id", "series"))
+        prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
         model = clustering.fit(prepared, metric, CLUSTERS)
         return series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
 
@@ -168,7 +168,7 @@ for _metric in clustering.METHODS:
 
 @query("centroids")
 def centroids(spark, sf_dir):
-    prepared = cut(scaled_series(spark, sf_dir).select("series_id", "series"))
+    prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
     return clustering.fit(prepared, "euclidean", CLUSTERS).centroid_rows(spark)
 
 
