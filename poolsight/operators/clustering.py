@@ -8,6 +8,7 @@ which Spark adds up. All starts advance together in one job.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -212,9 +213,11 @@ def fit_euclidean(series: DataFrame, k: int, max_iter: int = 20, starts: int = 5
         raise ValueError("No segments found in the data")
     steps, sensors = len(head[0]), len(head[0][0])
     flat = series.select(array_to_vector(F.flatten("series")).alias("features"))
-    fits = [
-        KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="features").fit(flat) for s in range(starts)
-    ]
+    def start(s: int):
+        return KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="features").fit(flat)
+
+    with ThreadPoolExecutor(starts) as pool:
+        fits = list(pool.map(start, range(starts)))
     # equal costs go to the earlier start, and labels follow the centres, on every run
     best = min(fits, key=lambda m: float(f"{m.summary.trainingCost:.9e}"))
     centres = sorted((np.asarray(c) for c in best.clusterCenters()), key=lambda c: tuple(np.round(c, 6)))

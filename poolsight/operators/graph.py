@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from poolsight.operators.joins import join_skewed, join_stored, join_summary
 from poolsight.schema import LAYER, keyed
 from poolsight.session import cut
 
@@ -48,7 +49,7 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
     points = keyed(cloud).select(*LAYER, "idx", *[(F.col(a) + 0.0).alias(a) for a in AXES]).filter(
         whole[0] & whole[1] & whole[2]
     )
-    placed = _place(_spots(points, k), leaf_rows)
+    placed = _place(_spots(points, k), points, leaf_rows)
     own = cut(placed.groupBy(*LEAF).applyInArrow(_own_leaf(k), _own_schema(placed)))
     spot = [*LAYER, *AXES]
     best = own.select(*spot, "near")
@@ -67,8 +68,7 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
         )
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("src")), 1, k)
     edges = (
-        points.withColumnRenamed("idx", "src")
-        .join(best, spot)
+        join_skewed(points.withColumnRenamed("idx", "src"), best, spot, ["src"])
         .select(*LAYER, "src", F.posexplode(others).alias("rank", "n"))
     )
     return edges.select(
@@ -103,9 +103,9 @@ def _spots(points: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _place(spots: DataFrame, leaf_rows: int) -> DataFrame:
+def _place(spots: DataFrame, points: DataFrame, leaf_rows: int) -> DataFrame:
     """Scale each layer to the unit cube and split crowded cells until none is left."""
-    ends = spots.groupBy(*LAYER).agg(
+    ends = points.groupBy(*LAYER).agg(
         F.count("*").alias("_n"),
         *[F.min(a).alias(f"_{a}0") for a in AXES],
         *[F.max(a).alias(f"_{a}1") for a in AXES],
@@ -118,7 +118,7 @@ def _place(spots: DataFrame, leaf_rows: int) -> DataFrame:
         F.when(widest > 0, widest).otherwise(F.lit(1.0)).alias("side"),
         first.alias("level"),
     )
-    scaled = spots.join(frame, LAYER)
+    scaled = join_summary(spots, frame, LAYER, AXES)
     pending = scaled.select(
         *LAYER, *AXES, "ids", "side", *[((F.col(a) - F.col(f"_{a}0")) / F.col("side")).alias(f"u{a}") for a in AXES], "level"
     )
@@ -131,12 +131,13 @@ def _place(spots: DataFrame, leaf_rows: int) -> DataFrame:
             .filter((F.col("_n") > leaf_rows) & (F.col("level") < MAX_LEVEL))
             .select(*LEAF)
         )
-        split = not crowded.isEmpty()
-        quiet = celled.join(crowded, LEAF, "left_anti") if split else celled
-        if not split:
-            return quiet if done is None else cut(done.unionByName(quiet))
+        crowded = cut(crowded)
+        if crowded.isEmpty():
+            return celled if done is None else cut(done.unionByName(celled))
+        marked = join_stored(celled, crowded.withColumn("split", F.lit(True)), LEAF, AXES, "left")
+        quiet = marked.filter(F.col("split").isNull()).drop("split")
         done = quiet if done is None else done.unionByName(quiet)
-        pending = celled.join(crowded, LEAF, "left_semi").withColumn("level", F.col("level") + 1).drop("cx", "cy", "cz")
+        pending = marked.filter("split").withColumn("level", F.col("level") + 1).drop("cx", "cy", "cz", "split")
 
 
 def _cell(u: Column, level: Column | None = None) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolsight.functions.scalars import let, mark_name, roi_role
 from poolsight.operators import ordered
+from poolsight.operators.joins import join_summary
 
 SIDES = ("top", "bottom", "left", "right")
 CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
@@ -207,7 +208,7 @@ def to_part_xyz(centroids: DataFrame, calibrated: DataFrame) -> DataFrame:
     px = (F.col("cx") - F.col("center_x")) * F.col("mm_scale")
     py = (F.col("cy") - F.col("center_y")) * F.col("mm_scale")
     defects = centroids.filter(roi_role(F.col("roi_name"), F.col("magnification")) == "defect")
-    turned = defects.join(calibrated, ["sample", "magnification"]).select(
+    turned = join_summary(defects, calibrated, ["sample", "magnification"], ["roi_name"]).select(
         *ROI,
         (px * F.cos("phi") + py * F.sin("phi")).alias("x"),
         (py * F.cos("phi") - px * F.sin("phi")).alias("y"),

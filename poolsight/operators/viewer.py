@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolsight.operators import ordered
+from poolsight.operators.joins import join_summary
 from poolsight.schema import LAYER, keyed
 
 MAX_ROWS = 10_000
@@ -29,7 +30,7 @@ def systematic_sample(
     totals = cloud.groupBy(*keys).agg(F.count("*").alias("_rows"))
     step = F.greatest(F.lit(1), F.floor(F.col("_rows") / max_rows))
     return (
-        numbered.join(totals, keys)
+        join_summary(numbered, totals, keys, [order])
         .filter((F.col("_rows") <= max_rows) | (F.col("row_nr") % step == 0))
         .drop("_rows")
     )
@@ -47,14 +48,14 @@ def quantiles(
         raise ValueError(f"Invalid method '{method}'. Must be 'nearest' or 'linear'")
     keys = list(keys)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    up_to = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumns(
-        {"_until": F.sum("_n").over(up_to), "_total": F.sum("_n").over(whole)}
-    )
+    blocked = ordered.range_blocks(counts, keys, [column])
+    totals = blocked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    summed = ordered.running_sum(blocked, keys, column, F.col("_n"), "_until", "blk")
+    ranked = join_summary(summed, totals, keys, [column])
 
     def value_at(position: Column) -> Column:
-        return F.min(F.when(F.col("_until") > position, F.col(column)))
+        here = (F.col("_until") > position) & (F.col("_until") - F.col("_n") <= position)
+        return F.max(F.when(here, F.col(column)))
 
     picks = []
     for name, q in at.items():
@@ -80,7 +81,8 @@ def iqr_filter(
     bounds = quantiles(cloud, keys, column, {"_q1": 0.25, "_q3": 0.75}, method)
     spread = (F.col("_q3") - F.col("_q1")) * reach
     inside = F.col(column).between(F.col("_q1") - spread, F.col("_q3") + spread)
-    return cloud.join(bounds, keys).filter(inside).drop("_q1", "_q3")
+    spread_by = [c for c in ("idx", column) if c in cloud.columns]
+    return join_summary(cloud, bounds, keys, spread_by).filter(inside).drop("_q1", "_q3")
 
 
 def n_unique_all(cloud: DataFrame, columns: Sequence[str], keys: Sequence[str] = tuple(LAYER)) -> DataFrame:
@@ -112,7 +114,7 @@ def density_grid(cloud: DataFrame, keys: Sequence[str] = ("session",), bins: int
     """
     keys = list(keys)
     points = cloud.select(*keys, "x", "y").filter(_usable("x") & _usable("y"))
-    placed = points.join(extent(points, keys), keys).select(
+    placed = join_summary(points, extent(points, keys), keys, ["x", "y"]).select(
         *keys, _bin("x", bins).alias("bx"), _bin("y", bins).alias("by")
     )
     return placed.groupBy(*keys, "bx", "by").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from poolsight.operators import ordered
+from poolsight.operators.joins import join_summary
 
 #: Section headings in the file.
 WANTED = "Monochrome (R)"
@@ -50,7 +51,7 @@ def section_pixels(lines: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Da
     )
     numbers = F.transform(cells, lambda c: F.regexp_replace(c, r"\D", "").cast("int"))
     rows = (
-        headed.join(limits, "file")
+        join_summary(headed, limits, ["file"], ["line"])
         .filter(inside & (F.col("head") != WANTED))
         .select("file", "line", numbers.alias("numbers"))
         .filter(F.size("numbers") > 0)
