@@ -57,15 +57,8 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
     if not crossing.isEmpty():
         # only spots near a border have candidates from more than one leaf
         other = _other_leaves(placed, crossing, k)
-        rank = F.row_number().over(Window.partitionBy(*spot).orderBy("dist", "id"))
-        best = (
-            best.unionByName(other)
-            .select(*spot, F.inline("near"))
-            .withColumn("rank", rank)
-            .filter(F.col("rank") <= k + 1)
-            .groupBy(*spot)
-            .agg(F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("near"))
-        )
+        both = best.unionByName(other).select(*spot, F.inline("near")).withColumn("item", F.struct("dist", "id"))
+        best = _first_per_group(both, spot, ["dist", "id"], "item", k + 1, "near")
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("src")), 1, k)
     edges = (
         join_skewed(points.withColumnRenamed("idx", "src"), best, spot, ["src"])
@@ -91,18 +84,29 @@ def graph_summary(nodes: DataFrame, index: DataFrame) -> DataFrame:
     return n.join(e, LAYER, "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
-def _spots(points: DataFrame, k: int) -> DataFrame:
-    """Distinct positions with their k + 1 smallest ids (the rank filter also runs map-side)."""
-    spot = [*LAYER, *AXES]
-    rank = F.row_number().over(Window.partitionBy(*spot).orderBy("idx"))
+def _first_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str, n: int, name: str
+) -> DataFrame:
+    """One row per key with the list of its first `n` items.
+
+    The rank filter also runs before the shuffle; the list comes from a window over the same
+    partitioning, so there is no second shuffle.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(*order)
     return (
-        points.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= k + 1)
-        .groupBy(*spot)
-        .agg(F.array_sort(F.collect_list("idx")).alias("ids"))
+        df.withColumn("_rank", F.row_number().over(ordered))
+        .filter(F.col("_rank") <= n)
+        .withColumn(name, F.collect_list(item).over(ordered.rowsBetween(0, n - 1)))
+        .filter(F.col("_rank") == 1)
+        .select(*keys, name)
     )
 
 
+def _spots(points: DataFrame, k: int) -> DataFrame:
+    """Distinct positions with their k + 1 smallest ids."""
+    return _first_per_group(points, [*LAYER, *AXES], ["idx"], "idx", k + 1, "ids")
+
+
 def _place(spots: DataFrame, points: DataFrame, leaf_rows: int) -> DataFrame:
     """Scale each layer to the unit cube and split crowded cells until none is left."""
     ends = points.groupBy(*LAYER).agg(

@@ -66,7 +66,10 @@ def segment_index(
     """
     require(cloud, state)
     start, end = boundary_flags(grouping, state)
+    # named here, the null checks are the same on both uses of the blocks, which then share a shuffle
     rows = keyed(cloud).select(*LAYER, "idx", state)
+    for key in (*LAYER, "idx"):
+        rows = rows.filter(F.col(key).isNotNull())
     marks = (
         ordered.with_neighbours(rows, LAYER, "idx", state, block_rows)
         .select(*LAYER, "blk", "idx", start.alias("is_start"), end.alias("is_end"))
