@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,21 @@ def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (like `--py-files`)."""
+    context = spark.sparkContext
+    if getattr(context, "_poolsight_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="poolsight-")) / package.name
+    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    context._poolsight_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`.
 
