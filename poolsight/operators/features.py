@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from poolsight.functions.scalars import let
 from poolsight.operators.spectrum import long_spectrum_peak
 from poolsight.schema import LAYER, SENSORS
 from poolsight.session import cut
@@ -138,20 +139,29 @@ def best_fit(grid: Sequence[float]) -> Column:
     def trial(weighted: Column, j: Column) -> Column:
         curve = F.get(curves, j)
         r = curve["ratio"]
-        w_mean = (1 - F.pow(r, n)) / (n * (1 - r))
-        w_var = (1 - F.pow(r, 2 * n)) / (n * (1 - r * r)) - w_mean * w_mean
-        cov = weighted / n - mean * w_mean
-        a = F.greatest(F.lit(0.0), mean + w_mean)
-        error = std * std + 2 * cov + w_var + (a - mean - w_mean) * (a - mean - w_mean)
-        mse = F.greatest(F.lit(0.0), error)
-        return F.struct(
-            F.round(mse, FIT_DIGITS).alias("rank"),
-            curve["distance"].alias("distance"),
-            mse.alias("mse"),
-            a.alias("a"),
-            curve["b"].alias("b"),
+        sums = F.struct(
+            ((1 - F.pow(r, n)) / (n * (1 - r))).alias("mean"),
+            ((1 - F.pow(r, 2 * n)) / (n * (1 - r * r))).alias("square"),
         )
 
+        def with_curve(w: Column) -> Column:
+            a = F.greatest(F.lit(0.0), mean + w["mean"])
+            cov = weighted / n - mean * w["mean"]
+            clip = a - mean - w["mean"]
+            error = std * std + 2 * cov + w["square"] - w["mean"] * w["mean"] + clip * clip
+            return let(
+                F.greatest(F.lit(0.0), error),
+                lambda mse: F.struct(
+                    F.round(mse, FIT_DIGITS).alias("rank"),
+                    curve["distance"].alias("distance"),
+                    mse.alias("fit_mse"),
+                    a.alias("fit_a"),
+                    curve["b"].alias("fit_b"),
+                ),
+            )
+
+        return let(sums, with_curve)
+
     return F.array_min(F.transform("weighted", trial))
 
 
@@ -180,13 +190,16 @@ def features(
         "slope": F.col("slope"),
         **(autocov_columns() if autocov else {}),
     }
+    fit: dict[str, Column] = {}
     if grid:
-        sums = sums.withColumn("best_fit", best_fit(grid))
-        columns |= {"mse": F.col("best_fit.mse"), "x_intercept": F.col("best_fit.a"), "y_intercept": F.col("best_fit.b")}
+        # a generator runs once per signal; a struct column would be searched for once per field
+        sums = sums.select("*", F.inline(F.array(F.when(~bad, best_fit(grid)))))
+        fit = {"mse": F.col("fit_mse"), "x_intercept": F.col("fit_a"), "y_intercept": F.col("fit_b")}
     return sums.select(
         *SIGNAL,
         bad.alias("bad_signal"),
         *[F.when(~bad, column).alias(name) for name, column in columns.items()],
+        *[column.alias(name) for name, column in fit.items()],
         *(sign_columns() if signs else ["segment_length"]),
     )
 
