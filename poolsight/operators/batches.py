@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from poolsight.operators import ordered
+from poolsight.operators.joins import join_on
 from poolsight.session import cut
 
 LIMIT = 100 * 1024**3
@@ -31,14 +32,14 @@ def size_batches(
     while not hops[-1].filter("i = 1").isEmpty():
         last = hops[-1]
         ahead = last.select(*keys, F.col("i").alias("j"), F.col("j").alias("k"))
-        hops.append(cut(last.join(ahead, [*keys, "j"]).select(*keys, "i", F.col("k").alias("j"))))
+        hops.append(cut(join_on(last, ahead, [*keys, "j"]).select(*keys, "i", F.col("k").alias("j"))))
     starts = placed.filter("_i = 1").select(*keys, F.col("_i").alias("i"))
     for step, jump in enumerate(reversed(hops), 1):
-        starts = starts.unionByName(starts.join(jump, [*keys, "i"]).select(*keys, F.col("j").alias("i")))
+        starts = starts.unionByName(join_on(starts, jump, [*keys, "i"]).select(*keys, F.col("j").alias("i")))
         if step % 3 == 0:
             starts = cut(starts)
     flags = starts.select(*keys, F.col("i").alias("_i"), F.lit(1).alias("_start"))
-    marked = placed.join(flags, [*keys, "_i"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    marked = join_on(placed, flags, [*keys, "_i"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
     # the first file opens batch 0, or batch 1 if it is above the limit by itself
     opening = F.when((F.col("_i") == 1) & (F.col(size) <= limit), 0).otherwise(F.col("_start"))
     batched = ordered.running_sum(marked, keys, name, opening, "batch", "blk")
@@ -57,11 +58,11 @@ def _following(placed: DataFrame, keys: list[str], size: str, limit: int) -> Dat
     )
     blocked = ordered.range_blocks(target.unionByName(question), keys, ["value", "asks", "i"])
     found = ordered.next_marked(
-        blocked, keys, ["value", "asks", "i"], F.when(F.col("asks") == 0, F.col("i")), "j"
+        blocked, keys, ["value", "asks", "i"], F.when(F.col("asks") == 0, F.col("i")), "j", null_keys=True
     )
     pointers = found.filter("asks = 1 and j is not null").select(*keys, "i", "j")
     # a file above the limit fills its batch alone
     alone = placed.filter(F.col(size) > limit).select(*keys, F.col("_i").alias("i"), (F.col("_i") + 1).alias("j"))
     ends = placed.groupBy(*keys).agg(F.max("_i").alias("_n"))
-    alone = alone.join(ends, keys).filter(F.col("j") <= F.col("_n")).select(*keys, "i", "j")
+    alone = join_on(alone, ends, keys).filter(F.col("j") <= F.col("_n")).select(*keys, "i", "j")
     return cut(pointers.unionByName(alone))

@@ -1,4 +1,4 @@
-"""k-means on series: Euclidean by Spark ML, DTW and soft-DTW by broadcast centroids.
+"""k-means on series: Euclidean, DTW and soft-DTW, by broadcast centroids.
 
 Input is `series_id` and `series array<array<double>>` of one common length. Per iteration
 only the centroids travel: each task aligns its series and emits sums per centroid step,
@@ -8,13 +8,10 @@ which Spark adds up. All starts advance together in one job.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from poolsight.functions import alignment
@@ -22,8 +19,6 @@ from poolsight.session import cut
 
 SEED = 42
 TOLERANCE = 1e-6
-#: Series per cluster from which the starts are drawn.
-SEED_POOL = 32
 
 #: Iterations and starts of the three methods, in order of preference.
 METHODS = {"dtw": (20, 3), "euclidean": (20, 5), "softdtw": (10, 2)}
@@ -89,31 +84,65 @@ def _all_costs(metric: str, centroids: np.ndarray, data: np.ndarray) -> np.ndarr
     return out
 
 
-def _seeds(series: DataFrame, metric: str, k: int, starts: int, seed: int) -> np.ndarray:
-    """k-means++ (Arthur and Vassilvitskii 2007) on a pool of SEED_POOL * k series in hash order."""
-    pool = (
-        series.select("series_id", "series")
-        .orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id")
-        .limit(SEED_POOL * k)
-        .toArrow()
-    )
-    if not len(pool):
-        raise ValueError("No segments found in the data")
-    data = _dense(pool["series"].combine_chunks())
-    if len(data) < k:
-        raise ValueError(f"{len(data)} series cannot form {k} clusters")
-    rng = np.random.default_rng(seed)
-    chosen = []
-    for _ in range(starts):
-        picks = [int(rng.integers(len(data)))]
-        nearest = np.full(len(data), np.inf)
-        while len(picks) < k:
-            nearest = np.minimum(nearest, _all_costs("euclidean", data[picks[-1:]], data)[:, 0])
-            total = nearest.sum()
-            odds = nearest / total if total > 0 else None
-            picks.append(int(rng.choice(len(data), p=odds)))
-        chosen.append(data[picks])
-    return np.stack(chosen)
+def _uniform(place: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) per hash, another one for every salt."""
+    x = place.view(np.uint64)
+    for n in salt:
+        x = x + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+
+
+def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
+    """k-means++ (Arthur and Vassilvitskii 2007) over all series, all starts in one pass per pick.
+
+    Each series draws an exponential number divided by its squared distance to the picks so far;
+    the least one is the pick, which chooses a series with a chance in proportion to that distance.
+    A task returns its best series per start.
+    """
+    spark = series.sparkSession
+    hashed = series.select(F.xxhash64("series_id", F.lit(seed)).alias("place"), "series_id", "series")
+    picks: list[list[np.ndarray]] = [[] for _ in range(starts)]
+    taken: list[set[str]] = [set() for _ in range(starts)]
+    kind = series.schema["series"].dataType.simpleString()
+    for pick in range(k):
+        shared = spark.sparkContext.broadcast((picks, taken))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen, before = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                data, ids = _dense(batch.column("series")), batch.column("series_id").to_pylist()
+                place = batch.column("place").to_numpy()
+                rows = []
+                for s in range(len(chosen)):
+                    draw = -np.log(_uniform(place, s, pick))
+                    if chosen[s]:
+                        near = _all_costs("euclidean", np.stack(chosen[s]), data).min(axis=1)
+                        draw = np.where(near > 0, draw / np.where(near > 0, near, 1.0), np.inf)
+                    free = [i for i in np.argsort(draw, kind="stable")[: len(before[s]) + 1] if ids[i] not in before[s]]
+                    if free:
+                        rows.append((s, float(draw[free[0]]), int(free[0])))
+                columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())]
+                at = pa.array([r[2] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, batch.column("series_id").take(at), batch.column("series").take(at)],
+                    ["start", "draw", "series_id", "series"],
+                )
+
+        found = hashed.mapInArrow(best, f"start int, draw double, series_id string, series {kind}")
+        least = found.groupBy("start").agg(F.min_by(F.struct("series_id", "series"), F.struct("draw", "series_id")).alias("s"))
+        rows = {r["start"]: r["s"] for r in least.collect()}
+        shared.unpersist()
+        if not rows:
+            raise ValueError("there are no series to cluster" if pick == 0 else f"fewer series than the {k} clusters asked for")
+        for s in range(starts):
+            picks[s].append(np.array(rows[s]["series"], float))
+            taken[s].add(rows[s]["series_id"])
+    return np.stack([np.stack(p) for p in picks])
 
 
 def _step(metric: str, shared, series: DataFrame) -> DataFrame:
@@ -136,6 +165,10 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
                     members = data[label == c]
                     count[s, c] += len(members)
                     cost_sum[s, c] += cost[label == c, c].sum()
+                    if metric == "euclidean":
+                        sums[s, c] += members.sum(axis=0)
+                        mass[s, c] += len(members)
+                        continue
                     for at in range(0, len(members), size):
                         chunk = members[at : at + size]
                         w = alignment.weights(metric, centroids[s, c], chunk)
@@ -157,21 +190,22 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
     )
 
 
-def fit_aligned(
-    series: DataFrame, metric: str, k: int, max_iter: int, starts: int, seed: int = SEED
-) -> SeriesModel:
-    """DTW or soft-DTW k-means; the start with the lowest final cost wins.
+def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: int) -> SeriesModel:
+    """k-means from given centroids (starts, k, T, S); the start with the lowest cost wins.
 
-    An M-step moves each centroid step to the weighted mean of the samples aligned with it:
-    DTW barycenter averaging (Petitjean et al. 2011), with fractional weights for soft-DTW.
+    An M-step moves each centroid step to the weighted mean of the samples aligned with it: the
+    plain mean for Euclidean, DTW barycenter averaging (Petitjean et al. 2011), and the same with
+    fractional weights for soft-DTW. Starts that have settled take no part in further passes. The
+    centroids kept are those whose cost was measured.
     """
     spark = series.sparkSession
-    centroids = _seeds(series, metric, k, starts, seed)
+    starts = len(centroids)
     history: list[list[float]] = [[] for _ in range(starts)]
     open_starts = set(range(starts))
     best = centroids.copy()
     for _ in range(max_iter):
-        shared = spark.sparkContext.broadcast(centroids)
+        running = sorted(open_starts)
+        shared = spark.sparkContext.broadcast(centroids[running])
         found = _step(metric, shared, series)
         parts = (
             found.select("start", "label", F.posexplode(F.concat(F.array("n", "cost"), "parts")).alias("at", "v"))
@@ -182,8 +216,8 @@ def fit_aligned(
         shared.unpersist()
         moved = centroids.copy()
         steps, sensors = centroids.shape[2], centroids.shape[3]
-        for s in list(open_starts):
-            mine = parts[parts["start"] == s]
+        for at, s in enumerate(running):
+            mine = parts[parts["start"] == at]
             size = mine.loc[mine["at"] == 0, "v"].sum()
             inertia = mine.loc[mine["at"] == 1, "v"].sum() / size
             past = history[s]
@@ -206,41 +240,19 @@ def fit_aligned(
     return SeriesModel(metric, best[winner], min(history[winner]), history[winner])
 
 
-def fit_euclidean(series: DataFrame, k: int, max_iter: int = 20, starts: int = 5, seed: int = SEED) -> SeriesModel:
-    """Spark ML k-means on the flattened series; the start with the lowest training cost wins."""
-    head = series.select("series").first()
-    if head is None:
-        raise ValueError("No segments found in the data")
-    steps, sensors = len(head[0]), len(head[0][0])
-    flat = series.select(array_to_vector(F.flatten("series")).alias("features"))
-    def start(s: int):
-        return KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="features").fit(flat)
-
-    with ThreadPoolExecutor(starts) as pool:
-        fits = list(pool.map(start, range(starts)))
-    # equal costs go to the earlier start, and labels follow the centres, on every run
-    best = min(fits, key=lambda m: float(f"{m.summary.trainingCost:.9e}"))
-    centres = sorted((np.asarray(c) for c in best.clusterCenters()), key=lambda c: tuple(np.round(c, 6)))
-    centres = np.stack(centres).reshape(-1, steps, sensors)
-    cost = best.summary.trainingCost / sum(best.summary.clusterSizes)
-    return SeriesModel("euclidean", centres, float(cost))
-
-
 def fit(series: DataFrame, metric: str, k: int, max_iter: int | None = None, starts: int | None = None, seed: int = SEED) -> SeriesModel:
     if metric not in METHODS:
-        raise ValueError(f"Invalid metric '{metric}'. Must be one of {', '.join(METHODS)}")
+        raise ValueError(f"no metric '{metric}'; there are {', '.join(METHODS)}")
     default_iter, default_starts = METHODS[metric]
     max_iter, starts = max_iter or default_iter, starts or default_starts
-    if metric == "euclidean":
-        return fit_euclidean(series, k, max_iter, starts, seed)
-    return fit_aligned(series, metric, k, max_iter, starts, seed)
+    return fit_from(series, metric, _seeds(series, k, starts, seed), max_iter)
 
 
 def select_model(distinct_labels: dict[str, int]) -> str:
     """The method with the most distinct labels, at least two; earlier methods win ties."""
     ranked = [m for m in METHODS if distinct_labels.get(m, 0) > 1]
     if not ranked:
-        raise ValueError("All clustering approaches failed")
+        raise ValueError("no method found two clusters or more")
     return max(ranked, key=lambda m: (distinct_labels[m], -list(METHODS).index(m)))
 
 
@@ -256,7 +268,7 @@ def cluster_series(series: DataFrame, k: int, seed: int = SEED, settings: dict[s
     """Fit all three methods, skip those that fail, and label the series with the chosen one."""
     series = prepare(series)
     if series.isEmpty():
-        raise ValueError("No segments found in the data")
+        raise ValueError("there are no series to cluster")
     models: dict[str, SeriesModel] = {}
     failures: dict[str, str] = {}
     counts: dict[str, int] = {}

@@ -43,9 +43,9 @@ def node_features(cloud: DataFrame) -> DataFrame:
 def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Edges (src, dst, dist, rank) to the k nearest other points of the layer, ties by dst.
 
-    Points with a missing coordinate take no part.
+    Points with a missing or infinite coordinate take no part.
     """
-    whole = [F.col(a).isNotNull() & ~F.isnan(a) for a in AXES]
+    whole = [F.abs(a) < float("inf") for a in AXES]
     points = keyed(cloud).select(*LAYER, "idx", *[(F.col(a) + 0.0).alias(a) for a in AXES]).filter(
         whole[0] & whole[1] & whole[2]
     )

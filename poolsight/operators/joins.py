@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +15,14 @@ SALTS = 64
 HOT_ROWS = 1 << 20
 
 
+def join_on(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which a null key meets a null key; the keys appear once."""
+    named = {k: f"_on_{k}" for k in keys}
+    right = other.withColumnsRenamed(named)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return df.join(right, same, how).drop(*named.values())
+
+
 def broadcast_limit(df: DataFrame) -> int:
     """The session's own limit for broadcasts, in bytes (-1 turns them off)."""
     text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().rstrip("b")
@@ -53,10 +63,10 @@ def join_stored(
     """`join_summary` for a summary that has been written already."""
     keys = list(keys)
     if stored_bytes(stored) <= broadcast_limit(rows):
-        return rows.join(F.broadcast(stored), keys, how)
+        return join_on(rows, F.broadcast(stored), keys, how)
     copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return join_on(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_skewed(
@@ -70,10 +80,10 @@ def join_skewed(
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     hot = cut(counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices")))
     if hot.isEmpty():
-        return rows.join(other, keys)
+        return join_on(rows, other, keys)
     slices = F.coalesce("_slices", F.lit(1))
     left = join_stored(rows, hot, keys, spread_by, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int")
     )
-    right = other.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    return left.drop("_slices").join(right.drop("_slices"), [*keys, "_slice"]).drop("_slice")
+    right = join_on(other, hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return join_on(left.drop("_slices"), right.drop("_slices"), [*keys, "_slice"]).drop("_slice")

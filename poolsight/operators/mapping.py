@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from poolsight.operators.features import SIGNAL
 
-CALL_ROWS = 1 << 20
-
-
 def map_segments(
     signal: DataFrame,
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
-    call_rows: int = CALL_ROWS,
+    call_rows: int,
+    combine: Sequence[Column],
 ) -> DataFrame:
-    """Apply `fn` to the frame (keys, seg_part, pos, v) of each segment and sensor, sorted by pos.
+    """Apply `fn` to the frame (keys, seg_part, pos, v) of every part of a segment and sensor.
 
-    A segment longer than `call_rows` reaches `fn` in consecutive parts, numbered by
-    `seg_part`, so that no task holds more than that; combine the parts with a `groupBy`.
+    Signals are cut into parts of `call_rows` positions, sorted by pos, so that no task holds
+    more than that. `fn` returns rows with the columns of `schema`, the keys among them; the
+    aggregates `combine` then make one row per segment and sensor of its parts' rows. They are
+    applied to segments of one part as well, so results do not depend on how a segment is cut.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -30,4 +30,5 @@ def map_segments(
 
     parts = signal.withColumn("seg_part", F.expr(f"pos div {call_rows}L"))
     columns = [*SIGNAL, "length", "seg_part"]
-    return parts.select(*columns, "pos", "v").groupBy(*columns).applyInPandas(run, schema)
+    rows = parts.select(*columns, "pos", "v").groupBy(*columns).applyInPandas(run, schema)
+    return rows.groupBy(*[c for c in SIGNAL if c in rows.columns]).agg(*combine)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from poolsight.operators.joins import join_on
 from poolsight.session import cut
 
 BLOCK_ROWS = 1 << 18
@@ -61,11 +62,13 @@ def next_marked(
     at: Column,
     name: str,
     block: str = "blk",
+    null_keys: bool = False,
 ) -> DataFrame:
     """Forward as-of lookup: the first non-null `at` of the rows after the current one.
 
     `block` numbers consecutive blocks of `order`, along which `at` never falls. The descending
     frame ends one row before the current one; a frame of following rows would be quadratic.
+    Rows with null keys are looked up too with `null_keys`, at the price of one more shuffle.
     """
     order = [order] if isinstance(order, str) else list(order)
     before = (Window.unboundedPreceding, -1)
@@ -73,9 +76,10 @@ def next_marked(
     blocks = rows.groupBy(*keys, block).agg(F.min(at).alias("_first"))
     later = Window.partitionBy(*keys).orderBy(F.desc(block)).rowsBetween(*before)
     carry = blocks.select(*keys, block, F.last("_first", ignorenulls=True).over(later).alias("_carry"))
+    marked = rows.withColumn("_local", F.last(at, ignorenulls=True).over(local))
+    carried = join_on(marked, carry, [*keys, block], "left") if null_keys else marked.join(carry, [*keys, block], "left")
     return (
-        rows.withColumn("_local", F.last(at, ignorenulls=True).over(local))
-        .join(carry, [*keys, block], "left")
+        carried
         .withColumn(name, F.coalesce("_local", "_carry"))
         .drop("_local", "_carry")
     )
@@ -107,8 +111,7 @@ def running_sum(
         *keys, block, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
     return (
-        df.withColumn("_run", F.sum(value).over(local))
-        .join(offsets, [*keys, block])
+        join_on(df.withColumn("_run", F.sum(value).over(local)), offsets, [*keys, block])
         .withColumn(name, F.col("_run") + F.col("_offset"))
         .drop("_run", "_offset")
     )
@@ -120,8 +123,20 @@ def with_row_index(
     order: str,
     name: str = "row_nr",
     block_rows: int = BLOCK_ROWS,
+    parts: Sequence[str] = (),
 ) -> DataFrame:
-    """Zero-based position of each row in its group; `order` may have gaps but no repeats."""
+    """Zero-based position of each row in its group, by `parts` and then `order`.
+
+    `order` may have gaps but no repeats inside a part. Blocks are cut inside each part, so a
+    block never holds more than `block_rows` rows, also where `order` starts anew in every part.
+    Null keys and parts count as values; null parts come first.
+    """
+    keys, parts = list(keys), list(parts)
     blocked = df.withColumn("_blk", block_of(order, block_rows))
-    counted = running_sum(blocked, keys, order, F.lit(1), name, "_blk")
-    return counted.withColumn(name, (F.col(name) - 1).cast("long")).drop("_blk")
+    cell = [*keys, *parts, "_blk"]
+    local = Window.partitionBy(*cell).orderBy(order)
+    earlier = Window.partitionBy(*keys).orderBy(*parts, "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocked.groupBy(*cell).agg(F.count("*").alias("_count"))
+    offsets = counts.select(*cell, F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = join_on(blocked.withColumn("_row", F.row_number().over(local)), offsets, cell)
+    return numbered.withColumn(name, (F.col("_row") - 1 + F.col("_offset")).cast("long")).drop("_blk", "_row", "_offset")

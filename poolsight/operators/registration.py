@@ -29,8 +29,8 @@ ROI = ["sample", "magnification", "roi_name"]
 
 
 def line_length(vertices: DataFrame) -> DataFrame:
-    """Length in pixels of each line mark, from its first two vertices."""
-    at = lambda v, axis: F.max(F.when(F.col("vertex") == v, F.col(axis)))
+    """Length in pixels of each line mark, from its first two vertices; null if one is missing or repeated."""
+    at = lambda v, axis: _only(F.col("vertex") == v, F.col(axis))
     ends = vertices.filter(F.col("vertex") < 2).groupBy(*ROI).agg(
         at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(1, "x").alias("x1"), at(1, "y").alias("y1")
     )
@@ -38,16 +38,21 @@ def line_length(vertices: DataFrame) -> DataFrame:
     return ends.select(*ROI, F.sqrt(dx * dx + dy * dy).alias("length"))
 
 
+def _only(where: Column, value: Column) -> Column:
+    """The value of the one row of a group that fits, null if there is none or there are several."""
+    return F.when(F.count(F.when(where, 1)) == 1, F.max(F.when(where, value)))
+
+
 def mm_scale(lengths: DataFrame) -> DataFrame:
-    """Millimetres per pixel: one over the length of the 1 mm mark."""
+    """Millimetres per pixel: one over the length of the 1 mm mark; null with several marks."""
     scale = lengths.filter(roi_role(F.col("roi_name"), F.col("magnification")) == "scale")
-    length = F.max("length")
+    length = _only(F.lit(True), F.col("length"))
     return scale.groupBy("sample", "magnification").agg(F.when(length > 0, 1 / F.when(length > 0, length)).alias("mm_scale"))
 
 
 def edge_lengths(lengths: DataFrame, scales: DataFrame) -> DataFrame:
-    """Every line mark in millimetres."""
-    return lengths.join(scales, ["sample", "magnification"]).select(
+    """Every line mark in millimetres, null without a scale."""
+    return lengths.join(scales, ["sample", "magnification"], "left").select(
         *ROI, (F.col("length") * F.col("mm_scale")).alias("length_mm")
     )
 
@@ -66,8 +71,10 @@ def side_edges(edges: DataFrame) -> DataFrame:
     )
     pick = lambda e: F.max(F.when(F.col("edge") == e, F.col("length_mm")))
     count = lambda e: F.count(F.when(F.col("edge") == e, 1))
-    error = F.when((count("1") > 1) | (count("2") > 1), "duplicate mark").when(
-        (count("1") == 0) | (count("2") == 0), "missing mark"
+    error = (
+        F.when((count("1") > 1) | (count("2") > 1), "duplicate mark")
+        .when((count("1") == 0) | (count("2") == 0), "missing mark")
+        .when(pick("1").isNull() | pick("2").isNull(), "no length")
     )
     return (
         parts.filter("side != ''")
@@ -138,10 +145,12 @@ def box_centroid(boxes: DataFrame) -> DataFrame:
 
 
 def center(anchors: DataFrame) -> DataFrame:
-    """Mean of the five anchors per sample and magnification."""
-    wanted = anchors.filter(mark_name(F.col("roi_name")).isin(*CORNERS, "middle"))
+    """Mean of the five anchors per sample and magnification; null if one is missing or repeated."""
+    name = mark_name(F.col("roi_name"))
+    wanted = anchors.filter(name.isin(*CORNERS, "middle"))
+    whole = (F.count("*") == 5) & (F.count_distinct(name) == 5)
     return wanted.groupBy("sample", "magnification").agg(
-        F.avg("x").alias("center_x"), F.avg("y").alias("center_y")
+        F.when(whole, F.avg("x")).alias("center_x"), F.when(whole, F.avg("y")).alias("center_y")
     )
 
 
@@ -149,11 +158,12 @@ def phi(anchors: DataFrame, mode: str = "reference", magnification: int = 500) -
     """Angles of the four edges between the corner anchors, and their mean.
 
     `reference` averages them as measured, where the vertical pair of a pure rotation has the
-    opposite sign of the horizontal pair; `consistent` turns the vertical pair round first.
+    opposite sign of the horizontal pair; `consistent` turns the vertical pair round first. An
+    anchor that is missing or repeated gives null angles.
     """
     if mode not in ("reference", "consistent"):
-        raise ValueError(f"Invalid mode '{mode}'. Must be 'reference' or 'consistent'")
-    at = lambda name, axis: F.max(F.when(mark_name(F.col("roi_name")) == name, F.col(axis)))
+        raise ValueError(f"there is no mode '{mode}'; use 'reference' or 'consistent'")
+    at = lambda name, axis: _only(mark_name(F.col("roi_name")) == name, F.col(axis))
     placed = (
         anchors.filter(F.col("magnification") == magnification)
         .groupBy("sample")
@@ -195,21 +205,33 @@ def z_center(tilts: DataFrame, b: float = BASE, h: float = HEIGHT, theta: float
 
 
 def calibration(scales: DataFrame, centers: DataFrame, angles: DataFrame, heights: DataFrame) -> DataFrame:
-    """All constants of a (sample, magnification) in one row."""
+    """All constants of a (sample, magnification) in one row, null where marks do not give them."""
     return (
-        centers.join(scales, ["sample", "magnification"])
-        .join(angles.select("sample", "phi"), "sample")
-        .join(heights, "sample")
+        centers.join(scales, ["sample", "magnification"], "full")
+        .join(angles.select("sample", "phi"), "sample", "left")
+        .join(heights, "sample", "left")
     )
 
 
 def to_part_xyz(centroids: DataFrame, calibrated: DataFrame) -> DataFrame:
-    """Defect centroids in part coordinates, keeping sample, magnification and name."""
+    """Every defect in part coordinates, with sample, magnification and name.
+
+    Where a constant is missing the coordinates are null and `error` names what is missing.
+    """
     px = (F.col("cx") - F.col("center_x")) * F.col("mm_scale")
     py = (F.col("cy") - F.col("center_y")) * F.col("mm_scale")
     defects = centroids.filter(roi_role(F.col("roi_name"), F.col("magnification")) == "defect")
-    turned = join_summary(defects, calibrated, ["sample", "magnification"], ["roi_name"]).select(
+    needs = {
+        "centroid": F.col("cx").isNull() | F.col("cy").isNull(),
+        "center": F.col("center_x").isNull() | F.col("center_y").isNull(),
+        "scale": F.col("mm_scale").isNull(),
+        "rotation": F.col("phi").isNull(),
+        "tilt": F.col("z_center").isNull() | F.col("alpha_top").isNull() | F.col("alpha_left").isNull(),
+    }
+    missing = F.concat_ws(", ", *[F.when(lacks, F.lit(name)) for name, lacks in needs.items()])
+    turned = join_summary(defects, calibrated, ["sample", "magnification"], ["roi_name"], "left").select(
         *ROI,
+        F.when(missing != "", F.concat(F.lit("missing: "), missing)).alias("error"),
         (px * F.cos("phi") + py * F.sin("phi")).alias("x"),
         (py * F.cos("phi") - px * F.sin("phi")).alias("y"),
         "z_center",
@@ -217,4 +239,5 @@ def to_part_xyz(centroids: DataFrame, calibrated: DataFrame) -> DataFrame:
         "alpha_left",
     )
     z = F.col("z_center") + F.col("x") * F.tan("alpha_top") + F.col("y") * F.tan("alpha_left")
-    return turned.select(*ROI, "x", "y", z.alias("z"))
+    placed = {c: F.when(F.col("error").isNull(), v) for c, v in (("x", F.col("x")), ("y", F.col("y")), ("z", z))}
+    return turned.select(*ROI, *[v.alias(c) for c, v in placed.items()], "error")

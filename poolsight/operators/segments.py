@@ -27,7 +27,7 @@ def boundary_flags(grouping: str, state: str = "state0") -> tuple[Column, Column
     the layer do not count.
     """
     if grouping not in GROUPINGS:
-        raise ValueError(f"Invalid grouping '{grouping}'. Must be one of {', '.join(GROUPINGS)}")
+        raise ValueError(f"there is no grouping '{grouping}'; use one of {', '.join(GROUPINGS)}")
     before, inside = (int(part) for part in grouping.split("-"))
     previous, current, following = F.col(f"prev_{state}"), F.col(state), F.col(f"next_{state}")
     if before != inside:
@@ -125,12 +125,12 @@ def segments_per_group(cloud: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def segment_arrays(
-    rows: DataFrame, values: Sequence[str] = tuple(SENSORS), part_rows: int = 1 << 16
+    rows: DataFrame, part_rows: int, values: Sequence[str] = tuple(SENSORS)
 ) -> DataFrame:
-    """Segments as `array<struct<values>>` in position order.
+    """Segments as `array<struct<values>>` in position order, in parts of `part_rows` positions.
 
-    A segment longer than `part_rows` comes as several consecutive parts (`seg_part`
-    0, 1, ...), which keeps every array bounded and the segment whole.
+    Every segment comes as parts `seg_part` 0, 1, ... of which all but the last are full, so
+    arrays stay bounded and the segment whole; the caller names the bound.
     """
     item = F.struct("pos", *values)
     collected = rows.groupBy(*LAYER, "seg_id", "length", _div("pos", part_rows).alias("seg_part")).agg(

@@ -88,9 +88,7 @@ def cluster_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def capped_series(
-    cloud: DataFrame, index: DataFrame, n_segments: int, target_length: int
-) -> DataFrame:
-    """Scaled series of the first segments, the input of clustering."""
-    chosen = segment_cap(index, n_segments)
+def scaled_segments(cloud: DataFrame, index: DataFrame, target_length: int, cap: int | None = None) -> DataFrame:
+    """Scaled series of all segments, or of the first `cap`: the input of clustering."""
+    chosen = index if cap is None else segment_cap(index, cap, cap)
     return zscore_series(pad_or_truncate(segment_rows(keyed(cloud), chosen), target_length))

@@ -20,13 +20,18 @@ def systematic_sample(
     keys: Sequence[str] = ("session",),
     order: str = "idx",
     block_rows: int = ordered.BLOCK_ROWS,
+    parts: Sequence[str] = ("config", "job", "part", "layer"),
 ) -> DataFrame:
     """Every step-th row of a session with more than `max_rows` rows, where step = rows // max_rows.
 
-    Adds `row_nr`. Row numbers come from per-block counts, so a large session is not one task.
+    Rows are numbered (`row_nr`) by `parts` and then `order`, which may start anew in every layer.
+    Row numbers come from per-block counts, so a large session is not one task.
     """
     keys = list(keys)
-    numbered = ordered.with_row_index(cloud, keys, order, "row_nr", block_rows)
+    placed = keyed(cloud) if "part" in parts else cloud
+    numbered = ordered.with_row_index(placed, keys, order, "row_nr", block_rows, [p for p in parts if p not in keys])
+    if "part" not in cloud.columns:
+        numbered = numbered.drop("part")
     totals = cloud.groupBy(*keys).agg(F.count("*").alias("_rows"))
     step = F.greatest(F.lit(1), F.floor(F.col("_rows") / max_rows))
     return (
@@ -45,7 +50,7 @@ def quantiles(
     interpolates between the two values around that position.
     """
     if method not in ("nearest", "linear"):
-        raise ValueError(f"Invalid method '{method}'. Must be 'nearest' or 'linear'")
+        raise ValueError(f"there is no method '{method}'; use 'nearest' or 'linear'")
     keys = list(keys)
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
     blocked = ordered.range_blocks(counts, keys, [column])
@@ -143,7 +148,8 @@ def density_clip(
 
 
 def _usable(column: str) -> Column:
-    return F.col(column).isNotNull() & ~F.isnan(column)
+    """Neither null nor NaN nor infinite."""
+    return F.abs(column) < float("inf")
 
 
 def _bin(axis: str, bins: int) -> Column:

@@ -170,7 +170,28 @@ ALL_SQL = f"{MARKS_SQL}, {SCALE_SQL}, {SIDES_SQL}, {ALPHA_SQL}, {Z_SQL}, {ANCHOR
 )
 def part_xyz(spark, sf_dir):
     centroids = reg.polygon_centroid(fixtures.polygons(spark, sf_dir))
-    return rounded(reg.to_part_xyz(centroids, calibrated(spark, sf_dir)), ["x", "y", "z"])
+    return rounded(reg.to_part_xyz(centroids, calibrated(spark, sf_dir)).drop("error"), ["x", "y", "z"])
+
+
+@query(
+    "part_xyz_errors",
+    f"""with {POLYGONS_SQL} select distinct {ROI_SQL}, case sample % 5 when 1 then 'missing: scale' when 2 then 'missing: center, rotation'
+  when 3 then 'missing: center, rotation' when 4 then 'missing: tilt' end as error, sample % 5 = 0 as placed from polygons""",
+)
+def part_xyz_errors(spark, sf_dir):
+    """Samples without a 500x scale mark, with a missing or a repeated anchor, or without a line mark keep their defects."""
+    kind = F.col("sample") % 5
+    marks, anchors = fixtures.marks(spark, sf_dir), fixtures.anchors(spark, sf_dir)
+    no_scale = (kind == 1) & (F.col("magnification") == 500)
+    no_edge = (kind == 4) & (F.col("roi_name") == "left_2")
+    found = reg.line_length(marks.filter(~no_scale & ~no_edge))
+    scales = reg.mm_scale(found)
+    anchors = anchors.filter((kind != 2) | (F.col("roi_name") != "top_left"))
+    anchors = anchors.unionByName(anchors.filter((kind == 3) & (F.col("roi_name") == "top_right")).withColumn("x", F.col("x") + 5))
+    heights = reg.z_center(reg.alpha(reg.side_edges(reg.edge_lengths(found, scales))))
+    known = reg.calibration(scales, reg.center(anchors), reg.phi(anchors), heights)
+    out = reg.to_part_xyz(reg.polygon_centroid(fixtures.polygons(spark, sf_dir)), known)
+    return out.select(*reg.ROI, "error", (F.col("x").isNotNull() & F.col("z").isNotNull()).alias("placed"))
 
 
 @query(
@@ -180,7 +201,7 @@ middles as (select {ROI_SQL}, ("left" + "right") / 2 as cx, ("top" + "bottom") /
 )
 def part_xyz_150(spark, sf_dir):
     centroids = reg.box_centroid(fixtures.boxes(spark, sf_dir))
-    return rounded(reg.to_part_xyz(centroids, calibrated(spark, sf_dir)), ["x", "y", "z"])
+    return rounded(reg.to_part_xyz(centroids, calibrated(spark, sf_dir)).drop("error"), ["x", "y", "z"])
 
 
 NAMES_SQL = """names as (

@@ -114,19 +114,19 @@ def segments_per_group(spark, sf_dir):
 @query(
     "segment_arrays",
     segments_sql()
-    + """ select session, layer, seg_id, length,
+    + """ select session, layer, seg_id, length, pos // 8 as seg_part,
   string_agg(cast(cast(sensor0 * 100 as bigint) as varchar) || ':' || cast(cast(sensor1 as bigint) as varchar), ' ' order by pos) as samples
 from seg_rows group by all""",
 )
 def segment_arrays(spark, sf_dir):
-    arrays = segments.segment_arrays(rows_of(spark, sf_dir))
+    arrays = segments.segment_arrays(rows_of(spark, sf_dir), part_rows=8)
     text = F.transform(
         "samples",
         lambda s: F.concat(
             F.round(s["sensor0"] * 100).cast("long").cast("string"), F.lit(":"), s["sensor1"].cast("long").cast("string")
         ),
     )
-    return arrays.select(*KEYS, "seg_id", "length", F.array_join(text, " ").alias("samples"))
+    return arrays.select(*KEYS, "seg_id", "length", "seg_part", F.array_join(text, " ").alias("samples"))
 
 
 # --- features ---------------------------------------------------------------------------------
@@ -278,15 +278,16 @@ def feat_neg_log10(spark, sf_dir):
     "feat_histogram",
     segments_sql()
     + f""", {fit_sql(features.FIT_GRID)},
-ends as (select min(x_intercept) as lo, (max(x_intercept) - min(x_intercept)) / 9 as width from fits),
+ends as (select min(y_intercept) as lo, (max(y_intercept) - min(y_intercept)) / 9 as width from fits),
 slots as (
-  select cast(greatest(0, least(9, ceil((x_intercept - lo) / width - 0.5e0))) as integer) as bin from fits, ends
+  select cast(greatest(0, least(9, ceil((y_intercept - lo) / width - 0.5e0))) as integer) as bin from fits, ends
+  where y_intercept is not null
 )
 select cast(b.bin as integer) as bin, {r('lo + b.bin * width', 'center')}, count(slots.bin) as n
 from range(10) b(bin) cross join ends left join slots on slots.bin = b.bin group by b.bin, lo, width""",
 )
 def feat_histogram(spark, sf_dir):
-    return rounded(features.histogram(cut(_fits(spark, sf_dir)), "x_intercept"), ["center"])
+    return rounded(features.histogram(cut(_fits(spark, sf_dir)), "y_intercept"), ["center"])
 
 
 @query(
@@ -312,9 +313,12 @@ def map_segments_query(spark, sf_dir):
         return head.assign(peak_pos=frame["pos"][at], high=frame["v"][at], low=frame["v"].min())
 
     signal = features.signals(rows_of(spark, sf_dir))
-    parts = map_segments(
-        signal, peak, "session string, layer int, seg_id long, sensor string, peak_pos long, high double, low double"
-    )
     best = F.max_by("peak_pos", F.struct("high", -F.col("peak_pos")))
-    out = parts.groupBy(*SIGNAL).agg(best.alias("peak_pos"), (F.max("high") - F.min("low")).alias("spread"))
+    out = map_segments(
+        signal,
+        peak,
+        "session string, layer int, seg_id long, sensor string, peak_pos long, high double, low double",
+        call_rows=8,
+        combine=[best.alias("peak_pos"), (F.max("high") - F.min("low")).alias("spread")],
+    )
     return rounded(out, ["spread"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -162,21 +163,116 @@ def _sizes(name: str, metric: str) -> None:
         return series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
 
 
-for _metric in clustering.METHODS:
+for _metric in ("dtw", "softdtw"):
     _sizes(f"kmeans_{_metric}", _metric)
 
 
-@query("centroids")
+# --- models from given starts: the first series in key order -------------------------------------
+
+PASSES = 3
+_W = "over (partition by session, layer, seg_id)"
+
+
+def _scaled_column(s: str) -> str:
+    std = f"stddev_pop({s}) {_W}"
+    return f"({s} - avg({s}) {_W}) / case when {std} > 0 then {std} else 1 end as {s}"
+
+
+SCALED_SQL = PADDED_SQL + f""",
+scaled as (select session, layer, seg_id, step, {_scaled_column('sensor0')}, {_scaled_column('sensor1')} from padded),
+flat as (
+  select session, layer, seg_id, dense_rank() over (order by session, layer, seg_id) - 1 as nr, step, sensor, v
+  from (unpivot scaled on sensor0, sensor1 into name sensor value v)
+)"""
+
+
+def _lloyd_sql() -> str:
+    parts = [SCALED_SQL, f"cent0 as (select cast(nr as integer) as label, step, sensor, v as m from flat where nr < {CLUSTERS})"]
+    for i in range(PASSES):
+        parts.append(
+            f"""near{i} as (
+  select nr, label, cost from (
+    select nr, c.label, sum(pow(v - m, 2)) as cost from flat f join cent{i} c using (step, sensor) group by nr, c.label
+  ) qualify row_number() over (partition by nr order by cost, label) = 1
+),
+cent{i + 1} as (select label, step, sensor, avg(v) as m from flat join near{i} using (nr) group by label, step, sensor)"""
+        )
+    return ",\n".join(parts)
+
+
+def _first_series(spark, sf_dir) -> tuple[DataFrame, np.ndarray]:
+    """All series, and the first ones in key order as centroids of one start."""
+    prepared = clustering.prepare(scaled_series(spark, sf_dir))
+    first = prepared.orderBy(*UNFOLDED).limit(CLUSTERS).select("series").collect()
+    return prepared.select("series_id", *UNFOLDED, "series"), np.array([[r.series for r in first]], float)
+
+
+@query(
+    "kmeans_euclidean",
+    _lloyd_sql()
+    + f""" select label, count(*) as n, {r(f"(select avg(cost) from near{PASSES - 1})", "inertia")} from near{PASSES - 1} group by label""",
+)
+def kmeans_euclidean(spark, sf_dir):
+    prepared, first = _first_series(spark, sf_dir)
+    model = clustering.fit_from(prepared, "euclidean", first, PASSES)
+    sizes = series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
+    return rounded(sizes, ["inertia"])
+
+
+@query("centroids", _lloyd_sql() + f" select label, cast(step as integer) as step, sensor, {r('m', 'value')} from cent{PASSES - 1}")
 def centroids(spark, sf_dir):
-    prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
-    return clustering.fit(prepared, "euclidean", CLUSTERS).centroid_rows(spark)
+    prepared, first = _first_series(spark, sf_dir)
+    return rounded(clustering.fit_from(prepared, "euclidean", first, PASSES).centroid_rows(spark), ["value"])
+
+
+def _aligned_sql(best: str) -> str:
+    """Alignment costs along the anti-diagonals; d holds the last diagonal by row, e the one before."""
+    t, far = STEPS, "1e300"
+    cell = "pow(p.c0[i] - p.a0[q.d + 1 - i], 2) + pow(p.c1[i] - p.a1[q.d + 1 - i], 2)"
+    return f"""{SCALED_SQL.replace("with ", "with recursive ", 1)},
+packed as (
+  select session, layer, seg_id, dense_rank() over (order by session, layer, seg_id) - 1 as nr,
+    list(sensor0 order by step) as a0, list(sensor1 order by step) as a1 from scaled group by session, layer, seg_id
+),
+pairs as (
+  select a.nr * {CLUSTERS} + c.nr as pair, a.*, cast(c.nr as integer) as label, c.a0 as c0, c.a1 as c1
+  from (select * from packed) a, (select nr, a0, a1 from packed where nr < {CLUSTERS}) c
+),
+walk(pair, d, cur, old) as (
+  select pair, 1, [case when i = 1 then pow(c0[1] - a0[1], 2) + pow(c1[1] - a1[1], 2) else {far} end for i in range(1, {t + 1})],
+    [{far} for i in range(1, {t + 1})] from pairs
+  union all
+  select q.pair, q.d + 1,
+    [case when q.d + 2 - i between 1 and {t} then {cell.replace("q.d + 1 - i", "q.d + 2 - i")} + {best} else {far} end for i in range(1, {t + 1})],
+    q.cur
+  from walk q join pairs p on q.pair = p.pair where q.d < {2 * t - 1}
+),
+costs as (select p.session, p.layer, p.seg_id, p.label, w.cur[{t}] as cost from walk w join pairs p on w.pair = p.pair where w.d = {2 * t - 1})
+select session, layer, seg_id, label, {r('cost', 'cost')} from costs
+qualify row_number() over (partition by session, layer, seg_id order by cost, label) = 1"""
+
+
+_UP, _LEFT, _BOTH = "coalesce(q.cur[i - 1], 1e300)", "q.cur[i]", "coalesce(q.old[i - 1], 1e300)"
+_LEAST = f"least({_UP}, {_LEFT}, {_BOTH})"
+_SOFT = f"{_LEAST} - ln(" + " + ".join(f"exp({_LEAST} - {x})" for x in (_UP, _LEFT, _BOTH)) + ")"
+
+
+def _assigned(name: str, metric: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        prepared, first = _first_series(spark, sf_dir)
+        labelled = clustering.SeriesModel(metric, first[0], 0.0).assign(prepared)
+        return rounded(labelled.select(*UNFOLDED, "label", "cost"), ["cost"])
+
+
+_assigned("assign_dtw", "dtw", _aligned_sql(_LEAST))
+_assigned("assign_softdtw", "softdtw", _aligned_sql(_SOFT))
 
 
 def _clustered(spark, sf_dir) -> clustering.ClusteringRun:
     cloud = point_cloud(spark, sf_dir)
     index = segments.segment_index(cloud, "1-0")
-    prepared = series.capped_series(cloud, index, series.SEGMENT_CAP, STEPS)
-    return clustering.cluster_series(prepared, CLUSTERS)
+    return clustering.cluster_series(series.scaled_segments(cloud, index, STEPS), CLUSTERS)
 
 
 @query("select_model")
@@ -189,11 +285,11 @@ def select_model(spark, sf_dir):
 
 @query("clustering_run")
 def clustering_run(spark, sf_dir):
-    """Cap, segments, series, three fits, choice, and both validation scores."""
+    """Segments, series, three fits, choice, and both validation scores over all series."""
     run = _clustered(spark, sf_dir)
     points = cut(run.labelled.select(F.col("series_id").alias("id"), F.flatten("series").alias("vec"), "label"))
     return (
-        scores.silhouette(points)
+        scores.silhouette_sq(points)
         .join(scores.calinski_harabasz(points))
         .withColumn("method", F.lit(run.chosen))
     )

@@ -9,6 +9,7 @@ from poolsight.operators import batches, ordered, viewer
 from poolsight.plans.fixtures import PC_SQL, point_cloud, table
 from poolsight.plans.registry import query, r, rounded
 from poolsight.schema import MEASURES, STATES
+from poolsight.session import scratch_path
 from poolsight.sources import pcd, sections, tables
 
 LABEL_SQL = """case when rows >= 1000000000000 then cast(rows // 1000000000000 as varchar) || 'T'
@@ -17,14 +18,30 @@ LABEL_SQL = """case when rows >= 1000000000000 then cast(rows // 1000000000000 a
   when rows >= 1000 then cast(rows // 1000 as varchar) || 'K' else cast(rows as varchar) end"""
 
 
+def stored_sessions(spark, sf_dir) -> str:
+    """The point cloud as one Parquet folder per session, each file in row order."""
+    path = scratch_path(spark, "sessions")
+    cloud = point_cloud(spark, sf_dir).repartition("session").sortWithinPartitions("session", "idx")
+    cloud.drop("idx").write.partitionBy("session").parquet(path)
+    return path
+
+
 @query(
     "session_catalog",
     f"""with {PC_SQL}, files as (select session as filename, count(*) as rows from pc group by session)
-select filename, rows, substr(filename, 1, 13) || '-' || {LABEL_SQL} as label from files""",
+select filename, rows, substr(filename, 1, 13) || '-' || {LABEL_SQL} as label, true as has_size, cast(null as varchar) as error from files""",
 )
 def session_catalog(spark, sf_dir):
-    counted = point_cloud(spark, sf_dir).groupBy(F.col("session").alias("filename")).agg(F.count("*").alias("rows"))
-    return counted.withColumn("label", scalars.session_label(F.col("filename"), F.col("rows")))
+    catalog = tables.session_catalog(spark, stored_sessions(spark, sf_dir))
+    return catalog.select("filename", "rows", "label", (F.col("size_mb") > 0).alias("has_size"), "error")
+
+
+@query(
+    "scan_sessions",
+    f"""with {PC_SQL} select session, layer, row_number() over (partition by session order by idx) - 1 as idx, sensor0, state0 from pc""",
+)
+def scan_sessions(spark, sf_dir):
+    return tables.scan_sessions(spark, stored_sessions(spark, sf_dir)).select("session", "layer", "idx", "sensor0", "state0")
 
 
 @query(
@@ -54,6 +71,22 @@ def systematic_sample(spark, sf_dir):
     return sample.select("session", "layer", "idx", "row_nr", "x", "y")
 
 
+LAYERED_SQL = f"""with {PC_SQL},
+numbered as (
+  select session, layer, idx - 500 * (layer // 30) as idx, x, y,
+    row_number() over (partition by session order by layer, idx) - 1 as row_nr, count(*) over (partition by session) as rows from pc
+)
+select session, layer, idx, row_nr, x, y from numbered where rows <= 400 or row_nr % greatest(1, rows // 400) = 0"""
+
+
+@query("systematic_sample_layers", LAYERED_SQL)
+def systematic_sample_layers(spark, sf_dir):
+    """Rows numbered anew in every layer, as `ingest` stores them."""
+    cloud = point_cloud(spark, sf_dir).withColumn("idx", F.expr("idx - 500 * (layer div 30)"))
+    sample = viewer.systematic_sample(cloud, 400, block_rows=128)
+    return sample.select("session", "layer", "idx", "row_nr", "x", "y")
+
+
 @query(
     "row_index",
     """select o_custkey % 10 as grp, o_orderkey,
@@ -234,7 +267,7 @@ def tag_constants(spark, sf_dir):
 @query(
     "warehouse_projection",
     f"""with {PC_SQL} select t, x, y, z, sensor0, sensor1, sensor2, sensor3, cast(state0 as varchar) as state0,
-  cast(state1 as varchar) as state1, cast(layer as bigint) as layer, session, config, job from pc""",
+  cast(state1 as varchar) as state1, cast(layer as bigint) as layer, session, config, job, subfolder from pc""",
 )
 def warehouse_projection(spark, sf_dir):
     return tables.warehouse_rows(point_cloud(spark, sf_dir))
@@ -278,7 +311,12 @@ def layer_files(spark, sf_dir, damaged: bool = False) -> DataFrame:
   cast(null as integer) as subfolder, idx - 500 * (layer // 30) as idx, t, x, y, z, sensor0, sensor1, sensor2, sensor3, state0, state1 from pc""",
 )
 def ingest_point_cloud(spark, sf_dir):
-    return pcd.decode_files(layer_files(spark, sf_dir)).filter("error is null").drop("path", "error")
+    """Decoded, written and read back twice: a second ingest changes nothing."""
+    path = scratch_path(spark, "cloud")
+    for _ in range(2):
+        decoded = pcd.layout(pcd.decode_files(layer_files(spark, sf_dir)))
+        pcd.store(decoded, path)
+    return pcd.read_cloud(spark, path)
 
 
 @query(

@@ -49,4 +49,4 @@ def require(df: DataFrame, *columns: str) -> None:
     """Fail when the plan is built, not when it runs, if a column is missing."""
     for name in columns:
         if name not in df.columns:
-            raise KeyError(f"Column '{name}' not found in DataFrame")
+            raise KeyError(f"the table lacks column {name}")

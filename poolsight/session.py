@@ -10,13 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings the library is tested with."""
+def build_session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the library is tested with.
+
+    Master and shuffle partitions are left to the caller's `spark-submit` unless given.
+    """
+    builder = SparkSession.builder.appName("poolsight")
+    if master is not None:
+        builder = builder.master(master)
+    if partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     builder = (
-        SparkSession.builder.master(master)
-        .appName("poolsight")
-        .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -45,8 +50,7 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a temporary folder: an executor of a
-    cluster could not read it, so there the setting is required.
+    A local session without that setting uses a folder beside its tables; a cluster must set it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -55,15 +59,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if named is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-            named = tempfile.mkdtemp(prefix="poolsight-")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         context.setCheckpointDir(named)
         current = context.getCheckpointDir()
     return named or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the folder of this application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/poolsight-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete everything this application has cut so far; its DataFrames cannot be read afterwards.
+
+    The application owns these tables: call this between jobs, or at the end.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -20,10 +20,17 @@ LAYER_PATH = (
     r"(?:layer/)?(\d{3}\.\d{3})\.pcd"
 )
 
+#: Numeric fields of a file that are not in the schema.
+EXTRA = T.StructField("extra", T.MapType(T.StringType(), T.DoubleType()))
+
 #: NumPy type letters of the PCD field types.
 PCD_TYPES = {"F": "f", "I": "i", "U": "u"}
 
 BATCH_ROWS = 100_000
+#: Without these a file is rejected; other measures and states may be absent and become null.
+NEEDED = ("t", "x", "y", "z", "sensor0", "sensor1", "state0")
+#: The file source cannot hold more of one file.
+MAX_BYTES = 2_000_000_000
 
 
 def path_columns(path: Column) -> dict[str, Column]:
@@ -49,15 +56,16 @@ def tag_constants(points: DataFrame, column: str = "path") -> DataFrame:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """Decode (path, content) rows: the point cloud plus `path` and `error`.
+    """Decode (path, content) rows: the point cloud plus `extra`, `path` and `error`.
 
-    Each point carries its position in the file as `idx`. A file that cannot be decoded
-    becomes one row with the reason in `error`; files whose path is no layer file are ignored.
+    Each point carries its position in the file as `idx`; numeric fields beyond the schema are
+    kept in the map `extra`. A file that cannot be decoded, or comes without content, becomes
+    one row with the reason in `error`; files whose path is no layer file are ignored.
     """
     tagged = parse_log_path(files)
     constants = ["session", "config", "job", "subfolder", "layer"]
     schema = T.StructType(
-        [*POINT_CLOUD.fields, T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
+        [*POINT_CLOUD.fields, EXTRA, T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
     )
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,13 +73,15 @@ def decode_files(files: DataFrame) -> DataFrame:
             for row in frame.itertuples(index=False):
                 where = {c: getattr(row, c) for c in constants}
                 try:
+                    if row.content is None:
+                        raise ValueError("file is too large to be read whole")
                     points = read_points(row.content)
-                except (ValueError, KeyError, UnicodeDecodeError, TypeError) as error:
-                    yield _frame({"path": [row.path], "error": [f"{type(error).__name__}: {error}"]}, where, schema)
-                    continue
-                for at in range(0, len(points["t"]), BATCH_ROWS):
-                    part = {c: v[at : at + BATCH_ROWS] for c, v in points.items()}
-                    yield _frame(part, where, schema)
+                    parts = []
+                    for at in range(0, len(points["t"]), BATCH_ROWS):
+                        parts.append(_frame({c: v[at : at + BATCH_ROWS] for c, v in points.items()}, where, schema))
+                except (ValueError, LookupError, TypeError, OverflowError) as error:
+                    parts = [_frame({"path": [row.path], "error": [f"{type(error).__name__}: {error}"]}, where, schema)]
+                yield from parts
 
     return tagged.select("path", "content", *constants).mapInPandas(decode, schema)
 
@@ -101,17 +111,15 @@ def read_points(content: bytes) -> dict[str, np.ndarray]:
         if words and not words[0].startswith("#"):
             header[words[0].upper()] = words[1:]
         at = end + 1
-    names = [n.lower() for n in header["FIELDS"]]
+    lists = [header.get(key, []) for key in ("FIELDS", "SIZE", "TYPE")]
+    names = [n.lower() for n in lists[0]]
     counts = [int(c) for c in header.get("COUNT", ["1"] * len(names))]
-    kinds = [f"<{PCD_TYPES[t]}{s}" for t, s in zip(header["TYPE"], header["SIZE"])]
-    if not len(names) == len(counts) == len(kinds):
-        raise ValueError("FIELDS, SIZE, TYPE and COUNT differ in length")
-    if "POINTS" in header:
-        total = int(header["POINTS"][0])
-    else:
-        total = int(header["WIDTH"][0]) * int(header["HEIGHT"][0])
+    if not names or {len(names)} != {len(counts), *map(len, lists)} or min(counts) < 1:
+        raise ValueError("FIELDS, SIZE, TYPE and COUNT do not fit together")
+    kinds = [f"<{PCD_TYPES[t]}{s}" for t, s in zip(lists[2], lists[1])]
+    total = _number(header, "POINTS") if "POINTS" in header else _number(header, "WIDTH") * _number(header, "HEIGHT")
     layout = np.dtype([(n, k, (c,)) if c > 1 else (n, k) for n, k, c in zip(names, kinds, counts)])
-    form = header["DATA"][0].lower()
+    form = header["DATA"][0].lower() if header["DATA"] else "without a form"
     if form == "binary":
         if len(content) - at < total * layout.itemsize:
             raise ValueError("body shorter than POINTS")
@@ -126,20 +134,43 @@ def read_points(content: bytes) -> dict[str, np.ndarray]:
         values = {n: grid[:, sum(counts[:i])] for i, n in enumerate(names)}
     else:
         raise ValueError(f"DATA {form} is not supported")
-    out: dict[str, np.ndarray] = {c: values[c].astype(float) for c in MEASURES if c in values}
-    out.update({c: values[c].astype(np.int32) for c in STATES if c in values})
-    missing = [c for c in (*MEASURES, *STATES) if c not in out]
+    several = [n for n, c in zip(names, counts) if c > 1 and n in (*MEASURES, *STATES)]
+    if several:
+        raise ValueError(f"more than one value per point: {', '.join(several)}")
+    missing = [c for c in NEEDED if c not in values]
     if missing:
         raise ValueError(f"missing fields: {', '.join(missing)}")
+    out: dict[str, np.ndarray] = {c: values[c].astype(float) for c in MEASURES if c in values}
+    out.update({c: _states(values[c].astype(float)) for c in STATES if c in values})
+    more = [n for n, c in zip(names, counts) if c == 1 and n not in (*MEASURES, *STATES)]
+    if more:
+        rows = zip(*(values[n].astype(float).tolist() for n in more))
+        extra = np.empty(total, object)
+        extra[:] = [dict(zip(more, row)) for row in rows]
+        out["extra"] = extra
     out["idx"] = np.arange(total, dtype=np.int64)
     return out
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Layer files below `root` as (path, content)."""
+def _number(header: dict[str, list[str]], key: str) -> int:
+    words = header.get(key, [])
+    if len(words) != 1 or not words[0].isdigit():
+        raise ValueError(f"{key} holds no number")
+    return int(words[0])
+
+
+def _states(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as floats; what is no 32-bit number becomes NaN and, in a frame, null."""
+    return np.where(np.abs(values) < 2**31, np.trunc(values), np.nan)
+
+
+def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Layer files below `root` as (path, content); content is null, and unread, above `max_bytes`."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").option("recursiveFileLookup", "true")
     files = reader.load(root)
-    return files.filter(F.col("length") <= max_bytes) if max_bytes else files
+    small = files.filter(F.col("length") <= max_bytes).select("path", "content")
+    large = files.filter(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def layout(decoded: DataFrame) -> DataFrame:
@@ -147,15 +178,25 @@ def layout(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("rejected", F.col("error").isNotNull())
 
 
-def ingest(spark: SparkSession, root: str, out: str, mode: str = "append") -> None:
-    """One pass over the log tree: points and rejects land in separate partitions of `out`."""
-    layout(decode_files(read_files(spark, root))).write.mode(mode).partitionBy("rejected", "session").parquet(out)
+def ingest(spark: SparkSession, root: str, out: str) -> None:
+    """One pass over the log tree: points and rejects land in separate partitions of `out`.
+
+    Sessions found in the tree replace what `out` holds of them, so a second run changes
+    nothing. `streaming.ingest` adds single new files to a session instead.
+    """
+    store(layout(decode_files(read_files(spark, root))), out)
+
+
+def store(decoded: DataFrame, out: str) -> None:
+    """Write decoded rows; the sessions among them replace those stored before."""
+    writer = decoded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("rejected", "session").parquet(out)
 
 
-def read_cloud(spark: SparkSession, out: str) -> DataFrame:
-    """The point cloud written by `ingest`, in the fixed schema."""
+def read_cloud(spark: SparkSession, out: str, extra: bool = False) -> DataFrame:
+    """The point cloud written by `ingest`, in the fixed schema; with `extra`, also further fields."""
     stored = spark.read.schema(_stored()).parquet(out)
-    return stored.filter(~F.col("rejected")).select(*POINT_CLOUD.names)
+    return stored.filter(~F.col("rejected")).select(*POINT_CLOUD.names, *["extra"] * extra)
 
 
 def read_rejects(spark: SparkSession, out: str) -> DataFrame:
@@ -167,6 +208,7 @@ def _stored() -> T.StructType:
     return T.StructType(
         [
             *POINT_CLOUD.fields,
+            EXTRA,
             T.StructField("path", T.StringType()),
             T.StructField("error", T.StringType()),
             T.StructField("rejected", T.BooleanType()),

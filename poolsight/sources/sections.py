@@ -37,8 +37,24 @@ def section_pixels(lines: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Da
 
     The section runs from its first heading to the first heading of another channel, which
     ends the file wherever it stands. Cells that are not all digits are dropped, and rows and
-    columns numbered anew.
+    columns numbered anew. A number beyond 32 bits keeps its place with a null value; see
+    `section_rejects`.
     """
+    rows = _section_cells(lines).select(
+        "file", "line", F.transform("cells", lambda c: c.try_cast("int")).alias("numbers")
+    )
+    numbered = ordered.with_row_index(rows, ["file"], "line", "row", block_rows)
+    return numbered.select("file", "row", F.posexplode("numbers").alias("col", "value"))
+
+
+def section_rejects(lines: DataFrame) -> DataFrame:
+    """(file, line, cell) of numbers in the wanted section that do not fit 32 bits."""
+    cells = _section_cells(lines).select("file", "line", F.explode("cells").alias("cell"))
+    return cells.filter(F.col("cell").try_cast("int").isNull())
+
+
+def _section_cells(lines: DataFrame) -> DataFrame:
+    """Lines of the wanted section with the digits of their numeric cells, lines without any left out."""
     first_cell = F.trim(F.regexp_replace(F.regexp_extract("value", CELL, 1), '^"|"$', ""))
     headed = lines.withColumn("head", first_cell)
     limits = headed.filter(F.col("head").isin(WANTED, *STOPS)).groupBy("file").agg(
@@ -49,12 +65,10 @@ def section_pixels(lines: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Da
     cells = F.filter(
         F.regexp_extract_all("value", F.lit(CELL), F.lit(1)), lambda c: c.rlike(DIGITS)
     )
-    numbers = F.transform(cells, lambda c: F.regexp_replace(c, r"\D", "").cast("int"))
-    rows = (
+    digits = F.transform(cells, lambda c: F.regexp_replace(c, r"\D", ""))
+    return (
         join_summary(headed, limits, ["file"], ["line"])
         .filter(inside & (F.col("head") != WANTED))
-        .select("file", "line", numbers.alias("numbers"))
-        .filter(F.size("numbers") > 0)
+        .select("file", "line", digits.alias("cells"))
+        .filter(F.size("cells") > 0)
     )
-    numbered = ordered.with_row_index(rows, ["file"], "line", "row", block_rows)
-    return numbered.select("file", "row", F.posexplode("numbers").alias("col", "value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from poolsight.functions.scalars import session_label
@@ -25,29 +25,52 @@ def scan_sessions(spark: SparkSession, path: str, tolerant: bool = False) -> Dat
 
 
 def session_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: filename, rows, size_mb, label, and an error where no row can be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), "length"
+    """Per session: folder, filename, rows, size_mb, label, and an error where files give no rows.
+
+    A session is one file, or all files of a `session=` folder as `pcd.ingest` writes them (its
+    rejects are not counted); it is then named by the value of that folder.
+    """
+    inside = F.regexp_extract("path", "^(.*?/session=[^/]+)/", 1)
+    unit = F.when(inside != "", inside).otherwise(F.col("path"))
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select(_plain(F.col("path")).alias("path"), "length")
+        .filter(~F.col("path").contains("/rejected=true/"))
     )
     counts = (
         spark.read.schema(LEGACY)
         .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true")
         .parquet(path)
-        .groupBy(F.col("_metadata.file_name").alias("filename"))
-        .agg(F.count("*").alias("rows"))
+        .groupBy(_plain(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"))
+        .agg(F.count("*").alias("n"))
     )
-    rows = F.coalesce("rows", F.lit(0))
-    found = files.join(counts, "filename", "left")
+    mute = F.count(F.when(F.col("n").isNull(), 1))
+    found = (
+        files.join(counts, "path", "left")
+        .groupBy(unit.alias("unit"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), (F.sum("length") / 1048576).alias("size_mb"), mute.alias("mute"))
+    )
+    name = F.regexp_replace(F.element_at(F.split("unit", "/"), -1), "^session=", "")
     return found.select(
-        "filename",
-        rows.alias("rows"),
-        F.when(rows > 0, F.col("length") / 1048576).otherwise(F.lit(0.0)).alias("size_mb"),
-        session_label(F.col("filename"), rows).alias("label"),
-        F.when(rows == 0, F.lit("no readable rows")).alias("error"),
+        F.regexp_replace("unit", "/[^/]*$", "").alias("folder"),
+        name.alias("filename"),
+        "rows",
+        "size_mb",
+        session_label(name, F.col("rows")).alias("label"),
+        F.when(F.col("mute") > 0, F.concat(F.col("mute").cast("string"), F.lit(" files without readable rows"))).alias("error"),
     )
 
 
+def _plain(path: Column) -> Column:
+    """One spelling of a path, whichever source names it."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header and no index."""
     df.write.mode(mode).option("header", "true").csv(path)
@@ -59,13 +82,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 
 def warehouse_rows(cloud: DataFrame) -> DataFrame:
-    """The 14 warehouse columns with their types: floats, text states, integer layer."""
+    """The warehouse columns with their types: floats, text states, integer layer, and the part number last."""
     text = [*STATES, "session", "config", "job"]
     return cloud.select(
         *[F.col(c).cast("double").alias(c) for c in MEASURES],
         *[F.col(c).cast("string").alias(c) for c in STATES],
         F.col("layer").cast("long").alias("layer"),
         *[F.col(c).cast("string").alias(c) for c in text[len(STATES) :]],
+        F.col("subfolder").cast("int").alias("subfolder"),
     )
 
 

@@ -107,9 +107,13 @@ def test_histogram_and_summary(spark):
 def test_map_segments_in_parts(rows):
     def sizes(frame):
         assert frame["pos"].is_monotonic_increasing
-        return frame[["seg_id", "sensor", "seg_part"]].iloc[:1].assign(n=len(frame), total=frame["v"].sum())
+        return frame[["seg_id", "sensor"]].iloc[:1].assign(n=len(frame), total=frame["v"].sum())
 
     signal = features.signals(rows(SIGNAL))
-    out = map_segments(signal, sizes, "seg_id long, sensor string, seg_part long, n long, total double", call_rows=4)
-    got = sorted((r.sensor, r.seg_part, r.n) for r in out.collect())
-    assert got == [(s, p, n) for s in ("sensor0", "sensor1") for p, n in ((0, 4), (1, 4), (2, 2))]
+    whole = [F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum("total").alias("total")]
+    results = []
+    for call_rows, parts in ((4, 3), (100, 1)):
+        out = map_segments(signal, sizes, "seg_id long, sensor string, n long, total double", call_rows, whole).collect()
+        assert sorted((r.sensor, r.n, r.parts) for r in out) == [("sensor0", 10, parts), ("sensor1", 10, parts)]
+        results.append(sorted((r.sensor, r.total) for r in out))
+    assert results[0] == results[1]

@@ -102,7 +102,7 @@ def test_sessions_and_catalog(spark, tmp_path):
     folder.mkdir()
     body, content = pcd_bytes(30)
     frame = spark.createDataFrame([(f"/{FOLDER}/000.030.pcd", bytearray(content))], "path string, content binary")
-    points = pcd.decode_files(frame).drop("idx", "path", "error").toPandas()
+    points = pcd.decode_files(frame).drop("idx", "path", "error", "extra").toPandas()
     points["subfolder"] = points["subfolder"].astype("Int32")
     points.to_parquet(folder / "2025_03_25_18-52.parquet")
     (folder / "bad.parquet").write_bytes(b"PAR1 nothing")
@@ -110,7 +110,8 @@ def test_sessions_and_catalog(spark, tmp_path):
     catalog = {r.filename: r for r in tables.session_catalog(spark, str(folder)).collect()}
     good = catalog["2025_03_25_18-52.parquet"]
     assert (good.rows, good.label, good.error) == (30, "2025_03_25_18-30", None) and good.size_mb > 0
-    assert (catalog["bad.parquet"].rows, catalog["bad.parquet"].size_mb) == (0, 0.0) and catalog["bad.parquet"].error
+    bad = catalog["bad.parquet"]
+    assert bad.rows == 0 and bad.size_mb > 0 and bad.error == "1 files without readable rows"
     scanned = tables.scan_sessions(spark, str(folder), tolerant=True).orderBy("idx").collect()
     assert [r.idx for r in scanned] == list(range(30))
     assert [r.sensor0 for r in scanned] == body["sensor0"].tolist()
@@ -122,7 +123,7 @@ def test_warehouse_append(spark, tmp_path):
     tables.warehouse_append(cloud, "pcd_rows")
     tables.warehouse_append(cloud, "pcd_rows")
     stored = spark.table("pcd_rows")
-    assert stored.count() == 8 and len(stored.columns) == 14
+    assert stored.count() == 8 and stored.columns[-1] == "subfolder" and len(stored.columns) == 15
     assert dict(stored.dtypes)["state0"] == "string" and dict(stored.dtypes)["layer"] == "bigint"
     spark.sql("drop table pcd_rows")
 
