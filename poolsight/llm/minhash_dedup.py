@@ -224,7 +224,8 @@ def confirmed_links(
     placed = members.join(tiles, "root").select("_md_doc", "node", "root", F.inline(meets))
     texts = docs.select(F.col("doc_id").cast("long").alias("_md_doc"), "text").filter("_md_doc is not null")
     return (
-        placed.join(texts, "_md_doc")
+        # a merge join at every size: the members' share of the documents decides nothing about the plan
+        placed.hint("merge").join(texts, "_md_doc")
         .select("root", "a", "b", "node", "text")
         .repartition("root", "a", "b")
         .sortWithinPartitions("root", "a", "b")
