@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = minhash_dedup.near_duplicates(docs, width=5, percent=80)
     gone = found.groupBy(F.col("doc_id").alias("_cp_gone")).agg(F.bool_or("kept").alias("_cp_kept")).filter("not _cp_kept")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_cp_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_cp_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
