@@ -3,8 +3,8 @@
 A line's key is hashed to 128 bits. Occurrences are dealt by ranges of (hash, slice of the
 document) and sorted there by document and position, so that a line found everywhere fills many
 ranges. A window streams over each slice and marks the first occurrence in each document; the marks
-are summed per hash, and the occurrences of hashes found in enough documents come back as one
-bitmap per document. Texts are read twice but only the caller's last join moves them.
+are summed per slice and per hash. Hashes found in enough documents meet their occurrences slice by
+slice, and what goes comes back as one bitmap per document. Texts are read twice but only the caller's last join moves them.
 """
 
 from __future__ import annotations
@@ -59,12 +59,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slices
     stream = Window.partitionBy(*slice_of).orderBy(F.desc("doc_id"), "pos")
     sorted_lines = hashed.repartitionByRange(*slice_of).withColumn("before", F.lag(F.struct("doc_id")).over(stream))
     first = sorted_lines.filter(F.col("before").isNull() | ~F.col("before.doc_id").eqNullSafe(F.col("doc_id")))
+    parts = cut(first.groupBy(*slice_of).agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
     shared = (
-        first.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        parts.groupBy("h1", "h2")
+        .agg(F.sum("n").alias("n_docs"), F.max("last").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    gone = hashed.join(shared, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    shared_slices = parts.select(*slice_of).join(shared, ["h1", "h2"])
+    gone = hashed.join(shared_slices, slice_of).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     words = gone.groupBy("doc_id", "text_name", F.expr("pos div 64").alias("word")).agg(
         F.expr("~bit_or(shiftleft(1L, pos % 64))").alias("bits")
     )
