@@ -21,7 +21,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_minhash_dedup")
+NEAR_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+),
+shingles as (
+  select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from worded where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select u, v from (
+    select a.doc_id as u, b.doc_id as v, count(*) as common
+    from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+    join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+    where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    group by all
+  ) join sizes x on x.doc_id = u join sizes y on y.doc_id = v
+  where 100 * common >= 80 * (x.n + y.n - common)
+),
+reach(u, v) as (select doc_id, doc_id from documents union select r.u, l.v from reach r join links l on r.v = l.u),
+parts as (select u, min(v) as component_id from reach group by u)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, p.component_id, d.doc_id = p.component_id as kept
+from documents d join parts p on d.doc_id = p.u left join sizes s on d.doc_id = s.doc_id"""
+
+
+@query("op3_minhash_dedup", NEAR_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
