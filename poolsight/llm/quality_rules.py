@@ -18,40 +18,55 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from poolsight.functions.scalars import let
 from poolsight.session import cut
 
 #: Labelled texts used to fit, at most about this many, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 0.0003, 11
-PREFIX = "_qr_"
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a text; null counts as empty, and all are finite."""
-    t = F.coalesce(text, F.lit(""))
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count(t, F.lit(pattern)).cast("double")
-
-    chars, words = F.greatest(F.char_length(t).cast("double"), F.lit(1.0)), F.greatest(count(r"\S+"), F.lit(1.0))
-    lines = F.split(t, "\n", -1)
-    return {
-        "log_chars": F.log1p(F.char_length(t).cast("double")),
-        "word_length": chars / words,
-        "capitals": count(r"\p{Lu}") / chars,
-        "capital_words": count(r"\b\p{Lu}{2,}\b") / words,
-        "digits": count(r"[0-9]") / chars,
-        "marks": count(r"[!?]") / words,
-        "stops": count(r"[.,;:]") / words,
-        "symbols": count(r"[#$%&*+=~^@_]") / words,
-        "bars": count(r"[|<>{}()\[\]/\\]") / words,
-        "short_words": count(r"\b\p{L}{1,3}\b") / words,
-        "long_words": count(r"\p{L}{13,}") / words,
-        "links": count(r"https?:|www\.|\w@\w") / words,
-        "line_words": words / F.size(lines),
-        "distinct_words": F.size(F.array_distinct(F.split(t, r"\s+"))) / words,
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-    }
+
+
+def statistics(text: Column) -> Column:
+    """A struct of numbers that describe a text; null counts as empty, and all are finite.
+
+    Counts that several numbers share are bound once, so no optimizer rule can repeat them.
+    """
+
+    def basics(t: Column) -> Column:
+        return F.struct(
+            t.alias("t"),
+            F.char_length(t).cast("double").alias("n"),
+            F.greatest(F.regexp_count(t, F.lit(r"\S+")).cast("double"), F.lit(1.0)).alias("words"),
+            F.split(t, "\n", -1).alias("lines"),
+        )
+
+    def numbers(b: Column) -> Column:
+        t, words, lines = b["t"], b["words"], b["lines"]
+        chars = F.greatest(b["n"], F.lit(1.0))
+
+        def count(pattern: str) -> Column:
+            return F.regexp_count(t, F.lit(pattern)).cast("double")
+
+        found = {
+            "log_chars": F.log1p(b["n"]),
+            "word_length": chars / words,
+            "capitals": count(r"\p{Lu}") / chars,
+            "capital_words": count(r"\b\p{Lu}{2,}\b") / words,
+            "digits": count(r"[0-9]") / chars,
+            "marks": count(r"[!?]") / words,
+            "stops": count(r"[.,;:]") / words,
+            "symbols": count(r"[#$%&*+=~^@_]") / words,
+            "bars": count(r"[|<>{}()\[\]/\\]") / words,
+            "short_words": count(r"\b\p{L}{1,3}\b") / words,
+            "long_words": count(r"\p{L}{13,}") / words,
+            "links": count(r"https?:|www\.|\w@\w") / words,
+            "line_words": words / F.size(lines),
+            "distinct_words": F.size(F.array_distinct(F.split(t, r"\s+"))) / words,
+            "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+        }
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    return let(let(F.coalesce(text, F.lit("")), basics), numbers)
 
 
 @dataclass(frozen=True)
@@ -60,10 +75,10 @@ class Rule:
 
     bounds: tuple[tuple[str, float | None, float | None], ...]
 
-    def column(self, prefix: str = PREFIX) -> Column:
+    def column(self, numbers: Column) -> Column:
         tests = []
         for name, low, high in self.bounds:
-            value = F.col(prefix + name)
+            value = numbers[name]
             tests += [value > F.lit(low)] if low is not None else []
             tests += [value <= F.lit(high)] if high is not None else []
         return reduce(lambda a, b: a & b, tests)
@@ -105,12 +120,13 @@ class RuleModel:
 
     def add_score(self, docs: DataFrame, name: str = "score") -> DataFrame:
         """`docs` with a column 0..1, higher where label 1 is likelier. Other columns stay as they are."""
-        used = {n for rule, _ in self.weights for n, _, _ in rule.bounds}
-        columns = {PREFIX + n: c for n, c in statistics(F.col("text")).items() if n in used}
-        total = F.lit(float(self.intercept))
-        for rule, weight in self.weights:
-            total = total + F.when(rule.column(), F.lit(float(weight))).otherwise(0.0)
-        return docs.withColumns(columns).withColumn(name, 1 / (1 + F.exp(-total))).drop(*columns)
+        def scored(numbers: Column) -> Column:
+            total = F.lit(float(self.intercept))
+            for rule, weight in self.weights:
+                total = total + F.when(rule.column(numbers), F.lit(float(weight))).otherwise(0.0)
+            return 1 / (1 + F.exp(-total))
+
+        return docs.withColumn(name, let(statistics(F.col("text")), scored))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,7 +145,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT
     place = F.pmod(F.xxhash64("_qr_id"), F.lit(1 << 30))
     chosen = known.filter(place < int((1 << 30) * min(1.0, fit_rows / max(n, 1))))
     joined = docs.select(F.col("doc_id").cast("long").alias("_qr_id"), "text").join(F.broadcast(chosen), "_qr_id")
-    return joined.select(F.col("_qr_label").alias("label"), *[c.alias(PREFIX + n) for n, c in statistics(F.col("text")).items()])
+    numbers = joined.select(F.col("_qr_label").alias("label"), statistics(F.col("text")).alias("numbers"))
+    return numbers.select("label", "numbers.*")
 
 
 def fit(
@@ -151,8 +168,8 @@ def fit(
     prior = log((ones + 1) / (n - ones + 1))
     if ones == 0 or ones == n:
         return RuleModel(prior, ())
-    names = [c.removeprefix(PREFIX) for c in rows.columns[1:]]
-    features = VectorAssembler(inputCols=rows.columns[1:], outputCol="features").transform(rows)
+    names = rows.columns[1:]
+    features = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, minInstancesPerNode=5, seed=SEED
     ).fit(features.select("label", "features"))
@@ -160,7 +177,7 @@ def fit(
     if not rules:
         return RuleModel(prior, ())
     sample = rows.toPandas()
-    values = {n: sample[PREFIX + n].to_numpy() for n in names}
+    values = {n: sample[n].to_numpy() for n in names}
     holds = np.stack([rule.holds(values) for rule in rules], axis=1)
     weights, intercept = lasso_logistic(holds, sample["label"].to_numpy(), lasso)
     return RuleModel(intercept, tuple((rule, float(w)) for rule, w in zip(rules, weights) if w != 0.0))
