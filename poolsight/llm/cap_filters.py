@@ -5,7 +5,8 @@ two halves, and every pair of a code for the first half and one for the second i
 vector's list is all directions whose inner product with it reaches a threshold. It is decoded from
 the two code tables alone: only codes that can still reach the threshold with the other half's best
 are combined. Codes and threshold follow from the number of vectors, so that a list has about
-`expected` directions and unrelated vectors rarely meet.
+`expected` directions and unrelated vectors rarely meet. List lengths vary from vector to vector, so
+`repeats` independent rotations and code pairs are used side by side.
 
 Vectors with equal components are one node, named by a hash of them, with a count. The nodes of a filter meet in one task,
 beyond `tile_rows` in one task per pair of tiles. A pair is counted at the smallest filter it shares
@@ -28,15 +29,16 @@ from poolsight.llm.runs import dense, key_runs
 from poolsight.session import cut
 
 COSINE = 0.95
-EXPECTED, SPREAD = 16, 20
+#: Filters of a vector on average in each of `REPEATS` independent code pairs, directions per vector.
+EXPECTED, REPEATS, SPREAD = 12, 4, 20
 TILE_ROWS = 1024
 SEED = 5
 
 
-@lru_cache(maxsize=2)
-def filters(width: int, codes: int, expected: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+@lru_cache(maxsize=8)
+def filters(width: int, codes: int, expected: float, repeat: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Rotation, the two code tables and the threshold that gives `expected` directions on average."""
-    draw = np.random.default_rng(SEED)
+    draw = np.random.default_rng(SEED + repeat)
     rotation = np.linalg.qr(draw.standard_normal((width, width)))[0]
     half = width // 2
     tables = []
@@ -55,9 +57,14 @@ def filters(width: int, codes: int, expected: float) -> tuple[np.ndarray, np.nda
     return rotation, tables[0], tables[1], high
 
 
-def decode(vectors: np.ndarray, codes: int, expected: float) -> list[np.ndarray]:
-    """The sorted filter numbers of each unit vector."""
-    rotation, left, right, t = filters(vectors.shape[1], codes, expected)
+def decode(vectors: np.ndarray, codes: int, expected: float, repeats: int) -> list[np.ndarray]:
+    """The sorted filter numbers of each unit vector, over all code pairs."""
+    lists = [_decode_one(vectors, codes, expected, r) for r in range(repeats)]
+    return [np.concatenate([found + r * codes * codes for r, found in enumerate(of)]) for of in zip(*lists)]
+
+
+def _decode_one(vectors: np.ndarray, codes: int, expected: float, repeat: int) -> list[np.ndarray]:
+    rotation, left, right, t = filters(vectors.shape[1], codes, expected, repeat)
     turned = vectors @ rotation
     half = vectors.shape[1] // 2
     first = turned[:, :half] @ left.T if half else np.zeros((len(turned), codes))
@@ -75,13 +82,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _decode(width: int, codes: int, expected: float):
+def _decode(width: int, codes: int, expected: float, repeats: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 part = whole.slice(at, 500)
                 vectors = _unit(dense(pa.chunked_array([part.column(2)]), width, np.float64))
-                lists = pa.array([x for x in decode(vectors, codes, expected)], pa.list_(pa.int64()))
+                lists = pa.array(decode(vectors, codes, expected, repeats), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["node", "copies", "embedding", "filters"])
 
     return run
@@ -132,7 +139,12 @@ def _meet(width: int, cosine: float):
 
 
 def near_vectors(
-    vectors: DataFrame, cosine: float = COSINE, expected: float = EXPECTED, spread: int = SPREAD, tile_rows: int = TILE_ROWS
+    vectors: DataFrame,
+    cosine: float = COSINE,
+    expected: float = EXPECTED,
+    repeats: int = REPEATS,
+    spread: int = SPREAD,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding, any other columns).
 
@@ -157,7 +169,7 @@ def near_vectors(
     codes = max(64, int(np.ceil((spread * n) ** 0.5)))
     decoded = cut(
         nodes.select("node", "copies", "embedding").mapInArrow(
-            _decode(width, codes, expected),
+            _decode(width, codes, expected, repeats),
             f"node long, copies long, embedding {rows.schema['embedding'].dataType.simpleString()}, filters array<long>",
         )
     )

@@ -32,6 +32,8 @@ from poolsight.operators.joins import stored_bytes
 MAGIC = b"IDPL"
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20
+#: Spark states such a size where it knows none.
+UNKNOWN_BYTES = 1 << 60
 PIECE = pa.struct([("doc_nr", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 BLOCK_SCHEMA = (
     "shard int, block int, first_id long, n_ids long,"
@@ -120,7 +122,9 @@ def write_ids(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     if shards is None:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(texts) // SHARD_BYTES))
+        size = stored_bytes(texts)
+        by_size = -(-size // SHARD_BYTES) if size < UNKNOWN_BYTES else 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_size)
     blocks = (
         texts.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")

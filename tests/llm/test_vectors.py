@@ -81,8 +81,8 @@ def test_filters_are_those_above_the_threshold():
     draw = np.random.default_rng(4)
     x = draw.standard_normal((20, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rotation, left, right, t = cap_filters.filters(10, 50, 16)
-    for v, found in zip(x @ rotation, cap_filters.decode(x, 50, 16)):
+    rotation, left, right, t = cap_filters.filters(10, 50, 16, 0)
+    for v, found in zip(x @ rotation, cap_filters.decode(x, 50, 16, 1)):
         both = (left @ v[:5])[:, None] + (right @ v[5:])[None, :]
         assert found.tolist() == np.flatnonzero(both.ravel() >= t).tolist()
 
