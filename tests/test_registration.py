@@ -90,3 +90,17 @@ def test_box_centroid(spark):
     )
     out = reg.box_centroid(df).first()
     assert (out.cx, out.cy) == (3.0, 5.0)
+
+
+def test_nothing_is_blended_or_lost(spark):
+    anchors = corner_frame(spark)
+    twice = anchors.unionByName(anchors.filter("roi_name = 'top_left'").withColumn("x", F.col("x") + 9))
+    missing = anchors.filter("roi_name <> 'middle'")
+    assert reg.center(twice).first().center_x is None and reg.center(missing).first().center_x is None
+    assert reg.phi(twice).first().phi is None and reg.phi(missing).first().phi is not None
+    defects = spark.createDataFrame([(1, 500, "a-1", 1.0, 1.0), (9, 500, "b-1", 1.0, 1.0)], "sample long, magnification int, roi_name string, cx double, cy double")
+    scales = spark.createDataFrame([(1, 500, 0.01)], "sample long, magnification int, mm_scale double")
+    heights = spark.createDataFrame([(1, 3.0, 0.1, 0.1)], "sample long, z_center double, alpha_top double, alpha_left double")
+    known = reg.calibration(scales, reg.center(twice), reg.phi(twice), heights)
+    got = {r.sample: (r.x, r.error) for r in reg.to_part_xyz(defects, known).collect()}
+    assert got[1] == (None, "missing: center, rotation") and got[9][0] is None and got[9][1].startswith("missing: center, scale")

@@ -84,6 +84,46 @@ def test_ingest_keeps_rejects_and_mixed_parts(spark, tmp_path):
     assert len(rejects) == 1 and "000.090.pcd" in rejects[0].path
 
 
+def test_second_ingest_changes_nothing(spark, tmp_path):
+    root, out = str(tmp_path / "log"), str(tmp_path / "cloud")
+    put(root, "layer/000.030.pcd", pcd_bytes(20)[1])
+    put(root, "000.090.pcd", b"broken")
+    for _ in range(2):
+        pcd.ingest(spark, root, out)
+        assert pcd.read_cloud(spark, out).count() == 20 and pcd.read_rejects(spark, out).count() == 1
+    put(root, "layer/000.060.pcd", pcd_bytes(5)[1])
+    pcd.ingest(spark, root, out)
+    assert pcd.read_cloud(spark, out).count() == 25
+
+
+def test_large_files_are_rejected_unread(spark, tmp_path):
+    root = str(tmp_path / "log")
+    put(root, "000.030.pcd", pcd_bytes(500)[1])
+    put(root, "000.060.pcd", pcd_bytes(3)[1])
+    decoded = pcd.decode_files(pcd.read_files(spark, root, max_bytes=2000))
+    assert decoded.filter("error is null").count() == 3
+    assert "too large" in decoded.filter("error is not null").first().error
+
+
+def header(**lines):
+    known = {"FIELDS": "t x y z sensor0 sensor1 state0 more", "SIZE": "8 8 8 8 8 8 8 8", "TYPE": "F F F F F F F F", "POINTS": "2", "DATA": "ascii"}
+    known |= lines
+    return "".join(f"{k} {v}\n" for k, v in known.items()).encode() + b"0 1 2 3 4 5 1 7\n0 1 2 3 4 5 nan 8\n"
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [{"POINTS": ""}, {"POINTS": "x"}, {"DATA": ""}, {"DATA": "lzf"}, {"COUNT": "2 1 1 1 1 1 1 1"}, {"COUNT": "1"}, {"SIZE": "3 3 3 3 3 3 3 3"},
+     {"TYPE": "Q Q Q Q Q Q Q Q"}, {"FIELDS": ""}, {"FIELDS": "t t y z sensor0 sensor1 state0 more"}, {"POINTS": "3"}],
+)
+def test_damaged_headers_become_rejects(spark, lines):
+    files = [(f"/{FOLDER}/000.030.pcd", bytearray(header(**lines))), (f"/{FOLDER}/000.060.pcd", bytearray(header()))]
+    rows = pcd.decode_files(spark.createDataFrame(files, "path string, content binary")).collect()
+    assert [r.layer for r in rows if r.error] == [30]
+    good = [r for r in rows if not r.error]
+    assert [(r.state0, r.state1, r.sensor2, r.extra) for r in good] == [(1, None, None, {"more": 7.0}), (None, None, None, {"more": 8.0})]
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     root, out, seen = (str(tmp_path / d) for d in ("log", "cloud", "seen"))
     put(root, "000.030.pcd", pcd_bytes(5)[1])
@@ -184,6 +224,29 @@ def test_size_batches(spark):
     assert got == {g: walk(sizes, 100) for g, sizes in cases.items()}
 
 
+def test_size_batches_of_the_null_group(spark):
+    rows = [(None, "a", 60), (None, "b", 60), ("g", "a", 1)]
+    got = batches.size_batches(spark.createDataFrame(rows, "grp string, name string, size long"), 100).collect()
+    assert sorted((r.grp or "", r.name, r.batch) for r in got) == [("", "a", 0), ("", "b", 1), ("g", "a", 0)]
+
+
+def test_numbers_beyond_32_bits(spark):
+    rows = [("f", 0, "Monochrome (R)"), ("f", 1, "1,12345678901,3"), ("f", 2, "4")]
+    lines = spark.createDataFrame(rows, "file string, line long, value string")
+    got = sorted((r.row, r.col, r.value or -1) for r in sections.section_pixels(lines).collect())
+    assert got == [(0, 0, 1), (0, 1, -1), (0, 2, 3), (1, 0, 4)]
+    assert [tuple(r) for r in sections.section_rejects(lines).collect()] == [("f", 1, "12345678901")]
+
+
+def test_catalog_of_ingested_sessions(spark, tmp_path):
+    root, out = str(tmp_path / "log"), str(tmp_path / "cloud")
+    put(root, "layer/000.030.pcd", pcd_bytes(20)[1])
+    put(root, "000.090.pcd", b"broken")
+    pcd.ingest(spark, root, out)
+    found = tables.session_catalog(spark, out).collect()
+    assert [(r.filename, r.rows, r.error) for r in found] == [(SESSION, 20, None)] and found[0].size_mb > 0
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1, "a,b"), (2, None, 'q"q')], "i int, d double, s string")
     tables.write_csv(df, str(tmp_path / "out"))

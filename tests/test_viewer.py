@@ -69,3 +69,18 @@ def test_scalars(spark):
         assert r.role == r.want
     names = spark.createDataFrame([("bottm_right.roi",), ("bottom_left",)], "n string")
     assert [r[0] for r in names.select(scalars.mark_name(F.col("n"))).collect()] == ["bottom_right", "bottom_left"]
+
+
+def test_sample_of_layers_that_restart(spark):
+    rows = [("s", "c", "j", None, layer, i, 0.0) for layer in range(4) for i in range(100)]
+    cloud = spark.createDataFrame(rows, "session string, config string, job string, subfolder int, layer int, idx long, x double")
+    want = [(n // 100, n % 100, n) for n in range(0, 400, 4)]
+    for parts in (1, 3, 7):
+        sample = viewer.systematic_sample(cloud.repartition(parts), 100, block_rows=16)
+        assert sorted((r.layer, r.idx, r.row_nr) for r in sample.collect()) == want
+
+
+def test_infinite_coordinates_take_no_part(spark):
+    rows = [("s", float(i), float(i)) for i in range(4)] + [("s", float("inf"), 0.0), ("s", 1.0, float("nan"))]
+    cloud = spark.createDataFrame(rows, "session string, x double, y double")
+    assert sorted((r.bx, r.by, r.n) for r in viewer.density_grid(cloud, bins=4).collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1)]
