@@ -23,10 +23,15 @@ SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
 SEEDS, STEP = 8, 8
 
 
-def usable(vector: Column) -> Column:
-    """Neither null nor empty, and all components finite numbers."""
+def finite(vector: Column) -> Column:
+    """Not null, and all components finite numbers; true for an empty vector."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~bad
+    return vector.isNotNull() & ~bad
+
+
+def usable(vector: Column) -> Column:
+    """Finite and not empty."""
+    return finite(vector) & (F.size(vector) > 0)
 
 
 class Shard:
