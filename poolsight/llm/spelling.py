@@ -61,7 +61,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep = np.array([not known[b].startswith(queries[a][: len(queries[a]) // 2]) for a, b in zip(mine, found)], bool)
                 split = keep & (slices[who[mine]] > 1)
                 for i in np.flatnonzero(split):  # words of another slice, here for another half
-                    keep[i] = crc32(known[found[i]].encode()) % slices[who[mine[i]]] == part[who[mine[i]]]
+                    keep[i] = crc32(known[found[i]].encode()) % int(slices[who[mine[i]]]) == part[who[mine[i]]]
                 mine, found = mine[keep], found[keep]
                 if not len(mine):
                     continue
