@@ -35,7 +35,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOP_SQL = """
 with whole as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as vector from embeddings
-  where embedding is not null and len(embedding) > 0
+  where embedding is not null
     and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
 ),
 scored as (

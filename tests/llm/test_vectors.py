@@ -1,6 +1,8 @@
 import math
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
 from poolsight.llm import cap_filters, maxscore
 
@@ -88,22 +90,28 @@ def test_filters_are_those_above_the_threshold():
 
 
 def brute_top(rows, k=5):
-    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
-    whole = sorted(set((i, tuple(v)) for i, v in whole))
+    def number(c):
+        return max(-(1 << 63), min(math.floor(Fraction(c) * 256), (1 << 63) - 1))
+
+    def score(a, b):
+        return max(1 - (1 << 63), min(sum(x * y for x, y in zip(a, b)), (1 << 63) - 1))
+
+    whole = [(i, tuple(map(number, v))) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    whole = [(i, v + (0,) * (max(map(len, (w for _, w in whole))) - len(v))) for i, v in whole]
     out = []
-    for q, a in whole:
+    for at, (q, a) in enumerate(whole):
         if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:k]
+            scored = sorted((-score(a, b), i) for j, (i, b) in enumerate(whole) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
 def test_top_k(spark):
     draw = np.random.default_rng(5)
-    for n, shard, spread in ((400, 64, 0.3), (400, 4096, 1e-2), (4, 2, 0.3), (1, 4, 0.3)):
+    for n, shard, spread in ((400, 64, 0.3), (400, 4096, 1e-2), (4, 2, 0.3), (1, 4, 0.3), (300, 50, 1e6), (120, 30, 1e300)):
         rows = [(i, (draw.standard_normal(16) * spread).tolist()) for i in range(n)]
         frame = maxscore.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-        got = maxscore.top_k(frame.filter("vec_id % 50 = 0"), frame, shard_rows=shard, block_queries=3).collect()
+        got = maxscore.top_k(frame.filter("vec_id % 50 = 0"), frame, shard_rows=shard, block_queries=3, group_queries=5).collect()
         assert sorted(map(tuple, got)) == brute_top(rows)
 
 
@@ -114,3 +122,22 @@ def test_top_k_of_awkward_rows(spark):
     assert got == brute_top(rows)
     none = maxscore.whole_numbers(table(spark, []))
     assert maxscore.top_k(none, none).count() == 0
+
+
+def test_top_k_of_repeated_and_similar_rows(spark):
+    draw = np.random.default_rng(6)
+    centers = draw.standard_normal((6, 12))
+    rows = [(i, (centers[i % 6] + 0.05 * draw.standard_normal(12)).tolist()) for i in range(300)]
+    rows += rows[:60] + rows[:1] * 8 + [(50, [1.0]), (100, []), (100, [-1.0] * 12)]
+    frame = maxscore.whole_numbers(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, row int, score int"))
+    got = maxscore.top_k(frame.filter("vec_id % 50 = 0"), frame, shard_rows=40)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+
+
+def test_cells_without_a_chance_are_dropped():
+    queries = np.eye(3) * 100
+    look = maxscore._look(np.arange(10, 13), np.eye(3) * 90, [([90.0, 5, 5], [80.0, -5, -5]), ([5.0, 90, 5], [-5.0, 0, 0])], 1, 3, np.float64)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([1, 2, 3]), pa.array(queries.astype(int).tolist())], ["row", "vec_id", "vector"])
+    (found,) = look([batch])
+    assert found.column("cells").to_pylist() == [[0], [1], []]
+    assert found.column("floor").to_pylist() == ["9000"] * 3
