@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from poolsight.functions.scalars import let
+from poolsight.operators.joins import join_on, join_summary
 from poolsight.operators.spectrum import long_spectrum_peak
 from poolsight.schema import LAYER, SENSORS
 from poolsight.session import cut
@@ -32,6 +33,8 @@ FIT_LOWER = -1000.0
 #: same curve in double precision, so nothing is gained below the start.
 FIT_GRID = tuple(FIT_START * 10.0 ** (j / 8) for j in range(32)) + (FIT_LOWER,)
 FIT_DIGITS = 6
+#: A pass of the refinement tries this many values of b between the neighbours of a signal's best one.
+REFINE_VALUES, REFINE_PASSES = 16, 3
 
 SIGNAL = [*LAYER, "seg_id", "sensor"]
 
@@ -117,15 +120,9 @@ def fit_aggregates(grid: Sequence[float]) -> list[Column]:
     return [F.array(*sums).alias("weighted")] if sums else []
 
 
-def best_fit(grid: Sequence[float]) -> Column:
-    """Least squares of `a - exp(x / b)`, a >= 0, over the values of b in `grid`.
-
-    With w = exp(x / b) the best a is max(0, mean(v + w)); the error is the variance of v + w
-    plus the squared clipping of a. Mean and variance of w are geometric sums. Errors equal
-    after rounding go to the b nearest to the start.
-    """
-    n, mean, std = F.col("segment_length"), F.col("mean"), F.col("std")
-    curves = F.array(
+def grid_curves(grid: Sequence[float]) -> Column:
+    """The same curves for every signal: exp(x / b) as ratio of neighbouring samples, distance from the start, b."""
+    return F.array(
         *[
             F.struct(
                 F.lit(float(np.exp(FIT_STEP / b))).alias("ratio"),
@@ -136,6 +133,30 @@ def best_fit(grid: Sequence[float]) -> Column:
         ]
     )
 
+
+def bracket_curves(values: int) -> Column:
+    """Curves at `values` even steps of log b inside the columns `low` and `high`, in decades from the start."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(values)),
+        lambda k: let(
+            F.col("low") + (F.col("high") - F.col("low")) * k / (values + 1),
+            lambda u: let(
+                F.lit(FIT_START) * F.pow(F.lit(10.0), u),
+                lambda b: F.struct(F.exp(F.lit(FIT_STEP) / b).alias("ratio"), u.alias("distance"), b.alias("b")),
+            ),
+        ),
+    )
+
+
+def trials(curves: Column) -> Column:
+    """Least squares of `a - exp(x / b)`, a >= 0, for each curve, given `weighted` sums in the same order.
+
+    With w = exp(x / b) the best a is max(0, mean(v + w)); the error is the variance of v + w
+    plus the squared clipping of a. Mean and variance of w are geometric sums. The least struct
+    is the best fit: errors equal after rounding go to the b nearest to the start.
+    """
+    n, mean, std = F.col("segment_length"), F.col("mean"), F.col("std")
+
     def trial(weighted: Column, j: Column) -> Column:
         curve = F.get(curves, j)
         r = curve["ratio"]
@@ -162,7 +183,71 @@ def best_fit(grid: Sequence[float]) -> Column:
 
         return let(sums, with_curve)
 
-    return F.array_min(F.transform("weighted", trial))
+    return F.transform("weighted", trial)
+
+
+def best_fit(grid: Sequence[float]) -> Column:
+    """The best fit over the values of b in `grid`."""
+    return F.array_min(trials(grid_curves(grid)))
+
+
+def refine_fit(
+    table: DataFrame,
+    rows: DataFrame,
+    sensors: Sequence[str] = tuple(SENSORS),
+    passes: int = REFINE_PASSES,
+    values: int = REFINE_VALUES,
+    step: float = 1 / 8,
+) -> DataFrame:
+    """Fits of `features` with b moved off the grid, whose points are `step` decades apart.
+
+    Each pass puts `values` values of b between the neighbours of a signal's best one, at even steps
+    of log b, and sums v * exp(x / b) for each of them in one pass over the samples; the next bracket
+    is (values + 1) / 2 times narrower. The best fit so far is kept, so the error never rises. b stays
+    between the start and the bound of the grid. Bad signals keep their nulls.
+    """
+    far = float(np.log10(FIT_LOWER / FIT_START))
+    least = F.lit(0.0)
+    distance = F.log10(F.col("y_intercept") / FIT_START)
+    best = F.struct(
+        F.round("mse", FIT_DIGITS).alias("rank"),
+        distance.alias("distance"),
+        F.col("mse").alias("fit_mse"),
+        F.col("x_intercept").alias("fit_a"),
+        F.col("y_intercept").alias("fit_b"),
+    )
+    now = table.filter(F.col("mse").isNotNull()).select(
+        *SIGNAL, "segment_length", "mean", "std", best.alias("best"), F.lit(float(step)).alias("step")
+    )
+    samples = cut(signals(rows, sensors).select(*SIGNAL, "pos", "v"))
+    for _ in range(passes):
+        at = F.col("best.distance")
+        now = now.withColumns(
+            {"low": F.greatest(least, at - F.col("step")), "high": F.least(F.lit(far), at + F.col("step"))}
+        )
+        now = cut(now.withColumn("curves", bracket_curves(values)))
+        asked = join_summary(samples, now.select(*SIGNAL, F.col("curves.b").alias("b")), SIGNAL, ["pos"])
+        x = F.col("pos") * FIT_STEP
+        sums = asked.groupBy(*SIGNAL).agg(
+            F.array(*[F.sum(F.col("v") * F.exp(x / F.get("b", F.lit(k)))) for k in range(values)]).alias("weighted")
+        )
+        now = join_on(now, sums, SIGNAL).select(
+            *SIGNAL,
+            "segment_length",
+            "mean",
+            "std",
+            F.array_min(F.concat(F.array("best"), trials(F.col("curves")))).alias("best"),
+            ((F.col("high") - F.col("low")) / (values + 1)).alias("step"),
+        )
+    fitted = cut(
+        now.select(
+            *SIGNAL,
+            F.col("best.fit_mse").alias("mse"),
+            F.col("best.fit_a").alias("x_intercept"),
+            F.col("best.fit_b").alias("y_intercept"),
+        )
+    )
+    return join_on(table.drop("mse", "x_intercept", "y_intercept"), fitted, SIGNAL, "left").select(*table.columns)
 
 
 def features(

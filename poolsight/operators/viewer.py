@@ -24,12 +24,14 @@ def systematic_sample(
 ) -> DataFrame:
     """Every step-th row of a session with more than `max_rows` rows, where step = rows // max_rows.
 
-    Rows are numbered (`row_nr`) by `parts` and then `order`, which may start anew in every layer.
-    Row numbers come from per-block counts, so a large session is not one task.
+    Rows are numbered (`row_nr`) by those `parts` that the cloud has (`part` also as `subfolder`) and
+    then `order`, which may start anew in every layer; without any part, `order` must not repeat inside
+    a session. Row numbers come from per-block counts, so a large session is not one task.
     """
     keys = list(keys)
-    placed = keyed(cloud) if "part" in parts else cloud
-    numbered = ordered.with_row_index(placed, keys, order, "row_nr", block_rows, [p for p in parts if p not in keys])
+    placed = keyed(cloud) if "part" in parts and "subfolder" in cloud.columns else cloud
+    present = [p for p in parts if p not in keys and p in placed.columns]
+    numbered = ordered.with_row_index(placed, keys, order, "row_nr", block_rows, present)
     if "part" not in cloud.columns:
         numbered = numbered.drop("part")
     totals = cloud.groupBy(*keys).agg(F.count("*").alias("_rows"))

@@ -228,6 +228,51 @@ def feat_expfit_fixed_b(spark, sf_dir):
     return rounded(out.select(*SIGNAL, *FIT), FIT)
 
 
+def refine_sql(passes: int = features.REFINE_PASSES, values: int = features.REFINE_VALUES, step: float = 0.125) -> str:
+    """The passes of the refinement, each from the best fits of the one before."""
+    text = f"""refined0 as (
+  select {SIGNAL_SQL}, mse, x_intercept as a, y_intercept as b, log10(y_intercept / -0.1e0) as u, {step!r}e0 as step from fits
+)"""
+    for p in range(passes):
+        text += f""",
+asked{p} as (
+  select {SIGNAL_SQL}, u, (high - low) / {values + 1} as step, -0.1e0 * pow(10e0, u) as b
+  from (
+    select *, low + (high - low) * k / {values + 1} as u
+    from (select * exclude (u), greatest(0, u - step) as low, least(4, u + step) as high from refined{p}), range(1, {values + 1}) t(k)
+  )
+),
+level{p} as (
+  select {SIGNAL_SQL}, u, any_value(b) as b, any_value(step) as step, greatest(0, avg(v + exp(10 * pos / b))) as a
+  from signal join asked{p} using ({SIGNAL_SQL}) group by {SIGNAL_SQL}, u
+),
+tried{p} as (
+  select {SIGNAL_SQL}, avg(pow(v - a + exp(10 * pos / b), 2)) as mse, any_value(a) as a, any_value(b) as b, u, any_value(step) as step
+  from signal join level{p} using ({SIGNAL_SQL}) group by {SIGNAL_SQL}, u
+),
+refined{p + 1} as (
+  select * replace (max(step) over (partition by {SIGNAL_SQL}, true) as step)
+  from (
+    select {SIGNAL_SQL}, mse, a, b, u, null as step from refined{p} union all select {SIGNAL_SQL}, mse, a, b, u, step from tried{p}
+  )
+  qualify row_number() over (partition by {SIGNAL_SQL} order by round(mse, 6), u) = 1
+)"""
+    return text
+
+
+@query(
+    "feat_expfit_refined",
+    segments_sql()
+    + f", {fit_sql(features.FIT_GRID)}, {refine_sql()} select {SIGNAL_SQL}, {r('mse', 'mse')}, {r('a', 'x_intercept')}, "
+    + f"{r('b', 'y_intercept', 4)} from refined{features.REFINE_PASSES}",
+)
+def feat_expfit_refined(spark, sf_dir):
+    rows = cut(rows_of(spark, sf_dir))
+    fits = cut(features.features(rows, autocov=False))
+    out = features.refine_fit(fits, rows).select(*SIGNAL, *FIT)
+    return rounded(rounded(out, FIT[:2]), FIT[2:], 4)
+
+
 TABLE_SQL = (
     segments_sql()
     + f", {LAGS_SQL}, {spectrum_cte(0)}, {fit_sql(features.FIT_GRID)}, "

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolsight.operators import features
 from poolsight.operators.mapping import map_segments
@@ -63,6 +64,25 @@ def test_bad_signals_are_flagged_not_fatal(rows):
     assert features.features(rows([1.0, -1.0] * 6), autocov=False, fit_grid=None).first()["cv"] is None
 
 
+def test_refined_fit(rows):
+    series = [[5 - math.exp(10 * i / b) for i in range(60)] for b in (-0.05, -37.3, -111.0, -999.0)]
+    series += [np.random.default_rng(8).normal(size=40).tolist(), [1.0, 2.0], [float("nan")] * 5]
+    data = rows(*series)
+    grid = features.features(data, autocov=False)
+    refined = {(r.seg_id, r.sensor): r for r in features.refine_fit(grid, data, passes=5).collect()}
+    assert len(refined) == 14
+    for r in grid.collect():
+        now = refined[(r.seg_id, r.sensor)]
+        if r.seg_id > 4:
+            assert now.bad_signal and now.mse is None and now.y_intercept is None
+            continue
+        assert now.mse <= r.mse + 1e-6
+        assert (now["mean"], now.segment_length) == (r["mean"], r.segment_length)
+    for seg, b in ((1, -37.3), (2, -111.0), (3, -999.0)):
+        assert refined[(seg, "sensor0")].y_intercept == pytest.approx(b, rel=0.02)
+        assert refined[(seg, "sensor0")].mse < 1e-5
+
+
 def test_lags_cross_window_borders(spark, rows):
     rng = np.random.default_rng(3)
     v = rng.normal(size=50)
