@@ -37,6 +37,11 @@ FIT_DIGITS = 6
 REFINE_VALUES, REFINE_PASSES = 16, 3
 
 SIGNAL = [*LAYER, "seg_id", "sensor"]
+TABLE_ORDER = [
+    *["mean", "std", "cv", "slope", "dominant_freq"],
+    *[f"autoco_{k}" for k in range(1, LAGS + 1)],
+    *["mse", "x_intercept", "y_intercept", "segment_length", "bad_signal"],
+]
 
 
 def signals(rows: DataFrame, sensors: Sequence[str] = tuple(SENSORS)) -> DataFrame:
@@ -267,6 +272,13 @@ def features(
     sums = source.groupBy(*SIGNAL).agg(
         *sign_aggregates(), *basic_aggregates(), *(autocov_aggregates() if autocov else []), *fit_aggregates(grid)
     )
+    return finish(sums, autocov, grid, signs=signs)
+
+
+def finish(
+    sums: DataFrame, autocov: bool, grid: Sequence[float], more: Sequence[str] = (), signs: bool = False
+) -> DataFrame:
+    """Features from one row of aggregates per signal; columns in `more` are passed on."""
     bad = F.col("has_bad") | (F.col("segment_length") <= 2)
     columns = {
         "mean": F.col("mean"),
@@ -282,6 +294,7 @@ def features(
         fit = {"mse": F.col("fit_mse"), "x_intercept": F.col("fit_a"), "y_intercept": F.col("fit_b")}
     return sums.select(
         *SIGNAL,
+        *more,
         bad.alias("bad_signal"),
         *[F.when(~bad, column).alias(name) for name, column in columns.items()],
         *[column.alias(name) for name, column in fit.items()],
@@ -302,7 +315,7 @@ def dominant_freq(
     |v|, which no other bin exceeds. Only signals of mixed sign are gathered and transformed.
     """
     known = cut(signals(rows, sensors).groupBy(*SIGNAL).agg(*sign_aggregates()).select(*SIGNAL, *sign_columns()))
-    return _with_spectrum(known, rows, sensors, skip_dc, digits, fft_rows).select(*SIGNAL, "dominant_freq")
+    return with_spectrum(known, rows, sensors, skip_dc, digits, fft_rows).select(*SIGNAL, "dominant_freq")
 
 
 def sign_aggregates() -> list[Column]:
@@ -320,7 +333,7 @@ def sign_columns() -> list[Column]:
     return [F.col("segment_length"), F.col("has_bad"), (one_sign & ~F.col("has_bad")).alias("one_sign")]
 
 
-def _with_spectrum(
+def with_spectrum(
     known: DataFrame, rows: DataFrame, sensors: Sequence[str], skip_dc: bool, digits: int, fft_rows: int
 ) -> DataFrame:
     """Add `dominant_freq` to a stored table with `segment_length`, `has_bad` and `one_sign`.
@@ -374,12 +387,9 @@ def feature_table(rows: DataFrame, sensors: Sequence[str] = tuple(SENSORS), fft_
     The table is written once; the signals are read again only where a spectrum needs them.
     """
     stored = cut(features(rows, sensors, signs=True))
-    table = _with_spectrum(stored, rows, sensors, False, 6, fft_rows)
-    order = ["mean", "std", "cv", "slope", "dominant_freq"]
-    order += [f"autoco_{k}" for k in range(1, LAGS + 1)]
-    order += ["mse", "x_intercept", "y_intercept", "segment_length", "bad_signal"]
+    table = with_spectrum(stored, rows, sensors, False, 6, fft_rows)
     spectrum = F.when(~F.col("bad_signal"), F.col("dominant_freq")).alias("dominant_freq")
-    return table.select(*SIGNAL, *[spectrum if c == "dominant_freq" else c for c in order])
+    return table.select(*SIGNAL, *[spectrum if c == "dominant_freq" else c for c in TABLE_ORDER])
 
 
 def mean_sd(table: DataFrame) -> DataFrame:

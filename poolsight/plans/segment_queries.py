@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poolsight.operators import features, segments
+from poolsight.operators import features, segments, signal_blocks
 from poolsight.operators.mapping import map_segments
 from poolsight.plans.fixtures import PC_SQL, point_cloud
 from poolsight.plans.registry import query, r, rounded
@@ -289,7 +289,7 @@ TABLE_SQL = (
 from basics join covs using ({SIGNAL_SQL}) join peaks using ({SIGNAL_SQL}) join fits using ({SIGNAL_SQL})""",
 )
 def feature_table(spark, sf_dir):
-    table = features.feature_table(rows_of(spark, sf_dir)).drop("config", "job", "part")
+    table = signal_blocks.segment_features(point_cloud(spark, sf_dir)).drop("config", "job", "part")
     return rounded(table, [*BASIC, *AUTOCOV, *FIT])
 
 
