@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +32,12 @@ PCD_TYPES = {"F": "f", "I": "i", "U": "u"}
 BATCH_ROWS = 100_000
 #: Without these a file is rejected; other measures and states may be absent and become null.
 NEEDED = ("t", "x", "y", "z", "sensor0", "sensor1", "state0")
-#: The file source cannot hold more of one file.
-MAX_BYTES = 2_000_000_000
+#: Files up to this size are read whole, larger ones as byte ranges of this size.
+RANGE_BYTES = 128 << 20
+#: A header must end within this many bytes.
+HEADER_BYTES = 1 << 20
+#: Most tasks that share the ranges of one ingest.
+RANGE_TASKS = 20_000
 
 
 def path_columns(path: Column) -> dict[str, Column]:
@@ -55,52 +62,122 @@ def tag_constants(points: DataFrame, column: str = "path") -> DataFrame:
     return parse_log_path(points, column)
 
 
+CONSTANTS = ["session", "config", "job", "subfolder", "layer"]
+DECODED = T.StructType(
+    [*POINT_CLOUD.fields, EXTRA, T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
+)
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """Decode (path, content) rows: the point cloud plus `extra`, `path` and `error`.
 
     Each point carries its position in the file as `idx`; numeric fields beyond the schema are
     kept in the map `extra`. A file that cannot be decoded, or comes without content, becomes
-    one row with the reason in `error`; files whose path is no layer file are ignored.
+    one row with the reason in `error`, a file without points one row without `idx` and error; files
+    whose path is no layer file are ignored.
     """
-    tagged = parse_log_path(files)
-    constants = ["session", "config", "job", "subfolder", "layer"]
-    schema = T.StructType(
-        [*POINT_CLOUD.fields, EXTRA, T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
-    )
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                where = {c: getattr(row, c) for c in constants}
-                try:
-                    if row.content is None:
-                        raise ValueError("file is too large to be read whole")
-                    points = read_points(row.content)
-                    parts = []
-                    for at in range(0, len(points["t"]), BATCH_ROWS):
-                        parts.append(_frame({c: v[at : at + BATCH_ROWS] for c, v in points.items()}, where, schema))
-                except (ValueError, LookupError, TypeError, OverflowError) as error:
-                    parts = [_frame({"path": [row.path], "error": [f"{type(error).__name__}: {error}"]}, where, schema)]
-                yield from parts
-
-    return tagged.select("path", "content", *constants).mapInPandas(decode, schema)
-
-
-def _frame(columns: dict, where: dict, schema: T.StructType) -> pd.DataFrame:
+                yield from _frames(row, lambda row=row: iter([read_points(_content(row))]))
+
+    return parse_log_path(files).select("path", "content", *CONSTANTS).mapInPandas(decode, DECODED)
+
+
+def _content(row) -> bytes:
+    if row.content is None:
+        raise ValueError("file comes without content")
+    return row.content
+
+
+def decode_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Like `decode_files`, for (path, length) rows of files of any size.
+
+    Every file is cut into byte ranges; a task reads the header and the points whose first byte lies in
+    its range, some 100,000 at a time. The places of points in an ascii body are known only after all
+    lines before them, so such a body is streamed by the task of its first range, once to check it and
+    once for its points.
+    """
+    last = F.greatest(F.col("length") - 1, F.lit(0))
+    begins = F.sequence(F.lit(0).cast("long"), F.expr(f"cast({range_bytes} as bigint)") * F.floor(last / range_bytes), F.lit(range_bytes).cast("long"))
+    ranges = parse_log_path(files).select("path", "length", *CONSTANTS, F.explode(begins).alias("begin"))
+    tasks = ranges.count()
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield from _frames(row, lambda row=row: read_range(row.path, int(row.begin), int(row.begin) + range_bytes), row.begin == 0)
+
+    return ranges.repartition(max(1, min(tasks, RANGE_TASKS))).mapInPandas(decode, DECODED)
+
+
+def _frames(row, read, speaks: bool = True) -> Iterator[pd.DataFrame]:
+    """Points of a file or range in pieces, or its error; only the one that speaks for a file tells that it has none."""
+    where = {c: getattr(row, c) for c in CONSTANTS} | {"path": row.path}
+    seen = False
+    try:
+        for points in read():
+            for at in range(0, len(points["t"]), BATCH_ROWS):
+                seen = True
+                yield _frame({c: v[at : at + BATCH_ROWS] for c, v in points.items()}, where)
+        parts = [] if seen or not speaks else [{"path": [row.path]}]
+    except (ValueError, LookupError, TypeError, OverflowError) as error:
+        parts = [{"path": [row.path], "error": [f"{type(error).__name__}: {error}"]}] if speaks else []
+    yield from (_frame(part, where) for part in parts)
+
+
+def _frame(columns: dict, where: dict) -> pd.DataFrame:
     out = pd.DataFrame(columns)
     for name, value in where.items():
         out[name] = None if pd.isna(value) else value
-    for name in schema.names:
+    for name in DECODED.names:
         if name not in out:
             out[name] = None
     for name in ("layer", "subfolder", *STATES):
         out[name] = out[name].astype("Int32")
     out["idx"] = out["idx"].astype("Int64")
-    return out[schema.names]
+    return out[DECODED.names]
+
+
+@dataclass
+class Header:
+    """What the header of a file says; `at` is where its body starts."""
+
+    names: list[str]
+    counts: list[int]
+    layout: np.dtype
+    total: int
+    form: str
+    at: int
+
+    def columns(self, values: dict[str, np.ndarray], first: int) -> dict[str, np.ndarray]:
+        """The schema's columns, `extra` and `idx` of points from position `first` on."""
+        rows = len(values["t"])
+        out: dict[str, np.ndarray] = {c: values[c].astype(float) for c in MEASURES if c in values}
+        out.update({c: _states(values[c].astype(float)) for c in STATES if c in values})
+        more = [n for n, c in zip(self.names, self.counts) if c == 1 and n not in (*MEASURES, *STATES)]
+        if more:
+            pairs = zip(*(values[n].astype(float).tolist() for n in more))
+            extra = np.empty(rows, object)
+            extra[:] = [dict(zip(more, row)) for row in pairs]
+            out["extra"] = extra
+        out["idx"] = np.arange(first, first + rows, dtype=np.int64)
+        return out
+
+    def ascii(self, words: list[bytes], first: int) -> dict[str, np.ndarray]:
+        """Columns of whole points given as words."""
+        width = sum(self.counts)
+        grid = np.array(words, dtype=float).reshape(-1, width)
+        return self.columns({n: grid[:, sum(self.counts[:i])] for i, n in enumerate(self.names)}, first)
+
+    def check(self, length: int) -> None:
+        if self.form == "binary" and length - self.at < self.total * self.layout.itemsize:
+            raise ValueError("body shorter than POINTS")
 
 
-def read_points(content: bytes) -> dict[str, np.ndarray]:
-    """Columns of one PCD file (ascii or binary body), with `idx`; ValueError if malformed."""
+def read_header(content: bytes) -> Header:
+    """ValueError if the header is malformed or names fields that cannot be used."""
     header: dict[str, list[str]] = {}
     at = 0
     while "DATA" not in header:
@@ -120,36 +197,79 @@ def read_points(content: bytes) -> dict[str, np.ndarray]:
     total = _number(header, "POINTS") if "POINTS" in header else _number(header, "WIDTH") * _number(header, "HEIGHT")
     layout = np.dtype([(n, k, (c,)) if c > 1 else (n, k) for n, k, c in zip(names, kinds, counts)])
     form = header["DATA"][0].lower() if header["DATA"] else "without a form"
-    if form == "binary":
-        if len(content) - at < total * layout.itemsize:
-            raise ValueError("body shorter than POINTS")
-        table = np.frombuffer(content, dtype=layout, count=total, offset=at)
-        values = {n: table[n] for n in names}
-    elif form == "ascii":
-        words = content[at:].split()
-        width = sum(counts)
-        if len(words) < total * width:
-            raise ValueError("body shorter than POINTS")
-        grid = np.array(words[: total * width], dtype=float).reshape(total, width)
-        values = {n: grid[:, sum(counts[:i])] for i, n in enumerate(names)}
-    else:
+    if form not in ("binary", "ascii"):
         raise ValueError(f"DATA {form} is not supported")
     several = [n for n, c in zip(names, counts) if c > 1 and n in (*MEASURES, *STATES)]
     if several:
         raise ValueError(f"more than one value per point: {', '.join(several)}")
-    missing = [c for c in NEEDED if c not in values]
+    missing = [c for c in NEEDED if c not in names]
     if missing:
         raise ValueError(f"missing fields: {', '.join(missing)}")
-    out: dict[str, np.ndarray] = {c: values[c].astype(float) for c in MEASURES if c in values}
-    out.update({c: _states(values[c].astype(float)) for c in STATES if c in values})
-    more = [n for n, c in zip(names, counts) if c == 1 and n not in (*MEASURES, *STATES)]
-    if more:
-        rows = zip(*(values[n].astype(float).tolist() for n in more))
-        extra = np.empty(total, object)
-        extra[:] = [dict(zip(more, row)) for row in rows]
-        out["extra"] = extra
-    out["idx"] = np.arange(total, dtype=np.int64)
-    return out
+    return Header(names, counts, layout, total, form, at)
+
+
+def read_points(content: bytes) -> dict[str, np.ndarray]:
+    """Columns of one PCD file (ascii or binary body), with `idx`; ValueError if malformed."""
+    header = read_header(content)
+    header.check(len(content))
+    if header.form == "binary":
+        table = np.frombuffer(content, dtype=header.layout, count=header.total, offset=header.at)
+        return header.columns({n: table[n] for n in header.names}, 0)
+    words = content[header.at :].split()
+    if len(words) < header.total * sum(header.counts):
+        raise ValueError("body shorter than POINTS")
+    return header.ascii(words[: header.total * sum(header.counts)], 0)
+
+
+def open_file(path: str) -> BinaryIO:
+    """A file as Spark names it, on the local disk or in a store that Arrow reads."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    if "://" in path:
+        store, path = pyarrow.fs.FileSystem.from_uri(path)
+    else:
+        store = pyarrow.fs.LocalFileSystem()
+    return store.open_input_file(path)
+
+
+def read_range(path: str, begin: int, end: int) -> Iterator[dict[str, np.ndarray]]:
+    """The points of a file whose first byte lies in [begin, end), in pieces; all of them at `begin` 0 of an ascii file."""
+    with open_file(path) as f:
+        header = read_header(f.read_at(min(HEADER_BYTES, f.size()), 0))
+        header.check(f.size())
+        if header.form == "ascii":
+            if begin == 0:
+                for _ in _ascii_pieces(f, header):  # a damaged body gives no points at all
+                    pass
+                yield from _ascii_pieces(f, header)
+            return
+        size = header.layout.itemsize
+        first = max(0, -(-(begin - header.at) // size))
+        last = min(header.total, max(0, -(-(end - header.at) // size)))
+        for at in range(first, last, BATCH_ROWS):
+            rows = min(BATCH_ROWS, last - at)
+            table = np.frombuffer(f.read_at(rows * size, header.at + at * size), dtype=header.layout, count=rows)
+            yield header.columns({n: table[n] for n in header.names}, at)
+
+
+def _ascii_pieces(f: BinaryIO, header: Header) -> Iterator[dict[str, np.ndarray]]:
+    width, done, words, rest = sum(header.counts), 0, [], b""
+    f.seek(header.at)
+    while done < header.total:
+        block = f.read(1 << 22)
+        text = rest + block
+        if block:  # a word may go on in the next block
+            stop = max(text.rfind(c) for c in (b" ", b"\n", b"\t", b"\r")) + 1
+            text, rest = text[:stop], text[stop:]
+        words += text.split()
+        whole = min(len(words) // width, header.total - done)
+        if whole:
+            yield header.ascii(words[: whole * width], done)
+            done, words = done + whole, words[whole * width :]
+        if not block:
+            break
+    if done < header.total:
+        raise ValueError("body shorter than POINTS")
 
 
 def _number(header: dict[str, list[str]], key: str) -> int:
@@ -164,53 +284,54 @@ def _states(values: np.ndarray) -> np.ndarray:
     return np.where(np.abs(values) < 2**31, np.trunc(values), np.nan)
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Layer files below `root` as (path, content); content is null, and unread, above `max_bytes`."""
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """Layer files below `root` as (path, length, content); contents are read only where they are used."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").option("recursiveFileLookup", "true")
-    files = reader.load(root)
-    small = files.filter(F.col("length") <= max_bytes).select("path", "content")
-    large = files.filter(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    return reader.load(root).select("path", "length", "content")
+
+
+def decode(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Decode (path, length, content) rows; of files above `range_bytes` the content stays unread and ranges are read."""
+    small = decode_files(files.filter(F.col("length") <= range_bytes).select("path", "content"))
+    large = files.filter(F.col("length") > range_bytes).select("path", "length")
+    if large.isEmpty():
+        return small
+    return small.unionByName(decode_ranges(large, range_bytes))
 
 
 def layout(decoded: DataFrame) -> DataFrame:
-    """Decoded rows with the partition column `rejected`; points do not repeat their path."""
-    return decoded.withColumn("rejected", F.col("error").isNotNull())
+    """Decoded rows with the partition column `file`, the part of the path that names a file in its session."""
+    return decoded.withColumn("file", F.sha1(F.regexp_extract("path", LAYER_PATH, 0)))
 
 
-def ingest(spark: SparkSession, root: str, out: str) -> None:
-    """One pass over the log tree: points and rejects land in separate partitions of `out`.
+def ingest(spark: SparkSession, root: str, out: str, range_bytes: int = RANGE_BYTES) -> None:
+    """Take in the log tree; every file found replaces what `out` holds of it.
 
-    Sessions found in the tree replace what `out` holds of them, so a second run changes
-    nothing. `streaming.ingest` adds single new files to a session instead.
+    A second run changes nothing, also after or before `streaming.ingest` on the same `out`: both
+    write through `store`. Files that are gone from the tree stay in `out`.
     """
-    store(layout(decode_files(read_files(spark, root))), out)
+    store(layout(decode(read_files(spark, root), range_bytes)), out)
 
 
 def store(decoded: DataFrame, out: str) -> None:
-    """Write decoded rows; the sessions among them replace those stored before."""
+    """Write decoded rows; the files among them, points and rejects alike, replace those stored before.
+
+    A file is one partition and always leaves a row, so a run that broke off is mended by repeating it.
+    """
     writer = decoded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("rejected", "session").parquet(out)
+    writer.partitionBy("session", "file").parquet(out)
 
 
 def read_cloud(spark: SparkSession, out: str, extra: bool = False) -> DataFrame:
     """The point cloud written by `ingest`, in the fixed schema; with `extra`, also further fields."""
     stored = spark.read.schema(_stored()).parquet(out)
-    return stored.filter(~F.col("rejected")).select(*POINT_CLOUD.names, *["extra"] * extra)
+    return stored.filter("idx is not null").select(*POINT_CLOUD.names, *["extra"] * extra)
 
 
 def read_rejects(spark: SparkSession, out: str) -> DataFrame:
     stored = spark.read.schema(_stored()).parquet(out)
-    return stored.filter("rejected").select("path", "error")
+    return stored.filter("error is not null").select("path", "error")
 
 
 def _stored() -> T.StructType:
-    return T.StructType(
-        [
-            *POINT_CLOUD.fields,
-            EXTRA,
-            T.StructField("path", T.StringType()),
-            T.StructField("error", T.StringType()),
-            T.StructField("rejected", T.BooleanType()),
-        ]
-    )
+    return T.StructType([*DECODED.fields, T.StructField("file", T.StringType())])

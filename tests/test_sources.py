@@ -3,11 +3,13 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from poolsight.operators import batches
 from poolsight.schema import MEASURES, POINT_CLOUD, STATES
 from poolsight.sources import pcd, sections, tables
-from poolsight.streaming.ingest import ingest_new
+from poolsight.sources.pcd_source import PcdReader, PcdSource
+from poolsight.streaming.ingest import ingest_new, read_manifest
 
 SESSION = "2025_03_25_18-52-34.763"
 FOLDER = f"session_{SESSION}/config_12_ab3f/job_4_0c1d/sensors/ECAMPCDWriterSink__1"
@@ -96,13 +98,81 @@ def test_second_ingest_changes_nothing(spark, tmp_path):
     assert pcd.read_cloud(spark, out).count() == 25
 
 
-def test_large_files_are_rejected_unread(spark, tmp_path):
+@pytest.mark.parametrize("range_bytes", [1000, 1 << 20])
+def test_ranges_and_whole_files_agree(spark, tmp_path, range_bytes):
+    root, out = str(tmp_path / "log"), str(tmp_path / "cloud")
+    body, content = pcd_bytes(500)
+    put(root, "000.030.pcd", content)
+    put(root, "000.060.pcd", pcd_bytes(300, "ascii", 1)[1])
+    put(root, "000.090.pcd", pcd_bytes(0)[1])
+    put(root, "000.120.pcd", pcd_bytes(200, points=201)[1])
+    put(root, "000.150.pcd", pcd_bytes(200, "ascii", points=201)[1])
+    put(root, "7/000.030.pcd", header(POINTS="1") + b"x" * 3000)
+    pcd.ingest(spark, root, out, range_bytes)
+    whole = pcd.decode_files(pcd.read_files(spark, root).select("path", "content"))
+    got = pcd.read_cloud(spark, out, extra=True).orderBy("layer", "subfolder", "idx").collect()
+    assert got == whole.filter("idx is not null").select(*POINT_CLOUD.names, "extra").orderBy("layer", "subfolder", "idx").collect()
+    assert len(got) == 801
+    rejects = {r.path.split("/")[-1]: r.error for r in pcd.read_rejects(spark, out).collect()}
+    assert sorted(rejects) == ["000.120.pcd", "000.150.pcd"] and "shorter" in rejects["000.120.pcd"]
+    assert spark.read.parquet(out).filter("layer = 90").count() == 1  # a valid file without points
+
+
+def test_data_source_of_layer_files(spark, tmp_path):
     root = str(tmp_path / "log")
     put(root, "000.030.pcd", pcd_bytes(500)[1])
-    put(root, "000.060.pcd", pcd_bytes(3)[1])
-    decoded = pcd.decode_files(pcd.read_files(spark, root, max_bytes=2000))
-    assert decoded.filter("error is null").count() == 3
-    assert "too large" in decoded.filter("error is not null").first().error
+    put(root, "7/layer/000.060.pcd", pcd_bytes(40, "ascii")[1])
+    put(root, "000.090.pcd", b"broken")
+    spark.dataSource.register(PcdSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    files = spark.read.format("pcd").option("range_bytes", "1000").load(root)
+    whole = pcd.decode_files(pcd.read_files(spark, root).select("path", "content"))
+    key = lambda df: df.select(*POINT_CLOUD.names).orderBy("layer", "idx").collect()
+    assert key(files.filter("error is null")) == key(whole.filter("error is null"))
+    assert files.filter("error is not null").count() == 1
+    assert files.filter("layer = 60").count() == 40 and files.filter("subfolder = 8").count() == 0
+    reader = PcdReader({"path": root, "range_bytes": "1000"}, pcd.DECODED)
+    assert list(reader.pushFilters([EqualTo(("layer",), 60), EqualTo(("t",), 1.0)])) == [EqualTo(("t",), 1.0)]
+    assert {p.path.split("/")[-1] for p in reader.partitions()} == {"000.060.pcd"}
+
+
+def test_batch_and_stream_in_one_folder(spark, tmp_path):
+    root, out, seen = (str(tmp_path / d) for d in ("log", "cloud", "seen"))
+    put(root, "000.030.pcd", pcd_bytes(5)[1])
+    pcd.ingest(spark, root, out)
+    put(root, "000.060.pcd", pcd_bytes(700)[1])
+    ingest_new(spark, root, out, seen, range_bytes=5000).awaitTermination()
+    assert pcd.read_cloud(spark, out).count() == 705
+    pcd.ingest(spark, root, out)
+    assert pcd.read_cloud(spark, out).count() == 705
+    assert sorted(r.path.split("/")[-1] for r in read_manifest(spark, out).collect()) == ["000.030.pcd", "000.060.pcd"]
+    # a file that turns out damaged, and a reject that is mended, replace what was stored of them
+    put(root, "000.030.pcd", b"broken")
+    put(root, "000.060.pcd", pcd_bytes(6)[1])
+    pcd.ingest(spark, root, out)
+    assert pcd.read_cloud(spark, out).count() == 6 and pcd.read_rejects(spark, out).count() == 1
+    put(root, "000.030.pcd", pcd_bytes(4)[1])
+    pcd.ingest(spark, root, out)
+    assert pcd.read_cloud(spark, out).count() == 10 and pcd.read_rejects(spark, out).count() == 0
+
+
+def test_a_killed_micro_batch_is_repeated(spark, tmp_path, monkeypatch):
+    root, out, seen = (str(tmp_path / d) for d in ("log", "cloud", "seen"))
+    for i in range(4):
+        put(root, f"000.0{i}0.pcd", pcd_bytes(10, seed=i)[1])
+    whole = pcd.store
+
+    def half_way(decoded, path):
+        whole(decoded, path)
+        raise RuntimeError("killed after its points were stored")
+
+    monkeypatch.setattr(pcd, "store", half_way)
+    with pytest.raises(Exception, match="killed"):
+        ingest_new(spark, root, out, seen, max_files=2).awaitTermination()
+    monkeypatch.undo()
+    ingest_new(spark, root, out, seen, max_files=2).awaitTermination()
+    assert pcd.read_cloud(spark, out).count() == 40
+    assert read_manifest(spark, out).count() == 4
 
 
 def header(**lines):
@@ -145,13 +215,16 @@ def test_sessions_and_catalog(spark, tmp_path):
     points = pcd.decode_files(frame).drop("idx", "path", "error", "extra").toPandas()
     points["subfolder"] = points["subfolder"].astype("Int32")
     points.to_parquet(folder / "2025_03_25_18-52.parquet")
+    points.iloc[:0].to_parquet(folder / "2025_03_26_00-00.parquet")
     (folder / "bad.parquet").write_bytes(b"PAR1 nothing")
     (folder / "notes.txt").write_text("x")
     catalog = {r.filename: r for r in tables.session_catalog(spark, str(folder)).collect()}
     good = catalog["2025_03_25_18-52.parquet"]
     assert (good.rows, good.label, good.error) == (30, "2025_03_25_18-30", None) and good.size_mb > 0
     bad = catalog["bad.parquet"]
-    assert bad.rows == 0 and bad.size_mb > 0 and bad.error == "1 files without readable rows"
+    assert bad.rows == 0 and bad.size_mb > 0 and bad.error.startswith("1 unreadable: ArrowInvalid")
+    none = catalog["2025_03_26_00-00.parquet"]
+    assert (none.rows, none.error) == (0, None)
     scanned = tables.scan_sessions(spark, str(folder), tolerant=True).orderBy("idx").collect()
     assert [r.idx for r in scanned] == list(range(30))
     assert [r.sensor0 for r in scanned] == body["sensor0"].tolist()
