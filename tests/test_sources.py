@@ -297,6 +297,42 @@ def test_size_batches(spark):
     assert got == {g: walk(sizes, 100) for g, sizes in cases.items()}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_functions_of_blocks(seed):
+    draw = np.random.default_rng(seed)
+    sizes, limit = draw.integers(0, draw.choice([3, 40, 130]), 60), 100
+    cuts = np.sort(draw.choice(np.arange(1, 60), draw.integers(1, 9), replace=False))
+    blocks = np.split(sizes, cuts)
+    functions = [batches.transfer(b, limit) for b in blocks]
+    entry, batch, whole, found = 0, 0, functions[0], []
+    for b, f in zip(blocks, functions):
+        found += batches.replay(b, limit, entry, batch).tolist()
+        more, entry = f.apply(entry, limit)
+        batch += more
+    assert found == walk(sizes.tolist(), limit)
+    for f in functions[1:]:
+        whole = whole.then(f, limit)
+    for start in range(0, 160, 7):
+        step = (0, start)
+        for f in functions:
+            more, left = f.apply(step[1], limit)
+            step = (step[0] + more, left)
+        assert whole.apply(start, limit) == step
+
+
+@pytest.mark.parametrize(("block_rows", "fan"), [(3, 2), (7, 256)])
+def test_size_batches_over_many_blocks(spark, block_rows, fan):
+    draw = np.random.default_rng(9)
+    cases = {"a": draw.integers(0, 130, 90).tolist(), None: draw.integers(0, 20, 60).tolist(), "b": [500]}
+    rows = [(g, f"f{i:04d}", int(s), "x") for g, sizes in cases.items() for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "grp string, name string, size int, batch_of string").repartition(5)
+    got = {}
+    for r in batches.size_batches(df, 100, block_rows=block_rows, fan=fan).orderBy("name").collect():
+        got.setdefault(r.grp, []).append(r.batch)
+    assert got == {g: walk(sizes, 100) for g, sizes in cases.items()}
+    assert batches.size_batches(df.limit(0), 100).count() == 0
+
+
 def test_size_batches_of_the_null_group(spark):
     rows = [(None, "a", 60), (None, "b", 60), ("g", "a", 1)]
     got = batches.size_batches(spark.createDataFrame(rows, "grp string, name string, size long"), 100).collect()
