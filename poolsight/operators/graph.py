@@ -1,37 +1,36 @@
 """Exact nearest-neighbour graphs per layer without comparing all pairs.
 
-Points at the same position become one spot that keeps its k + 1 smallest ids: no other point
-there can be among anybody's k nearest. Spots are placed in a grid whose crowded cells are
-split until each leaf holds at most `leaf_rows` spots. A spot finds its neighbours in its own
-leaf first; the distance to the last of them bounds the search, and only leaves that this
-ball touches are searched as well.
+Points at the same position become one spot that keeps its smallest ids: beyond k + 1 no other point
+there can be among anybody's k nearest. The spots of a layer are cut by a k-d tree whose planes lie
+at medians, taken from a bounded sample of each crowded cell, until a leaf holds at most `leaf_rows`
+spots. Distinct positions can always be parted, so no spread, outlier or dense core stops that. A
+spot finds its neighbours in its own leaf first; the distance to the last of them bounds the search,
+and only leaves whose bounding box this ball touches are searched as well.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window, functions as F
 
-from poolsight.operators.joins import join_skewed, join_stored, join_summary
+from poolsight.operators.joins import join_skewed, join_summary
 from poolsight.schema import LAYER, keyed
 from poolsight.session import cut
 
 K = 5
 LEAF_ROWS = 1024
 QUERY_ROWS = 8192
-MAX_LEVEL = 48
+#: Children of a cell at most, and spots of a crowded cell from which its planes are taken.
+FAN, SAMPLE = 1024, 1 << 14
 AXES = ["x", "y", "z"]
-CELL = ["level", "cx", "cy", "cz"]
-LEAF = [*LAYER, *CELL]
-#: Where a spot lies: its leaf, the width of its layer, and its position in the unit cube.
-PLACE = [*CELL, "side", "ux", "uy", "uz"]
-#: Any cell around a leaf.
-ABOVE = [*LAYER, "above", "ax", "ay", "az"]
-#: Slack for rounding when a ball is compared with the sides of a cell.
+#: A leaf is named by its path of child numbers from the root of its layer, which is the empty text.
+LEAF = [*LAYER, "cell"]
+BOX = [f"{a}{end}" for a in AXES for end in ("0", "1")]
+#: Slack for rounding when a ball is compared with a box.
 SLACK = 1e-9
 
 
@@ -49,21 +48,31 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
     points = keyed(cloud).select(*LAYER, "idx", *[(F.col(a) + 0.0).alias(a) for a in AXES]).filter(
         whole[0] & whole[1] & whole[2]
     )
-    placed = _place(_spots(points, k), points, leaf_rows)
-    own = cut(placed.groupBy(*LEAF).applyInArrow(_own_leaf(k), _own_schema(placed)))
+    leaf_rows = max(leaf_rows, 4 * (k + 1))  # so that both halves of a cell hold k + 1 spots
     spot = [*LAYER, *AXES]
-    best = own.select(*spot, "near")
-    crossing = _crossing(own, placed, k)
-    if not crossing.isEmpty():
+    spots = _spots(points, k)
+    if points.groupBy(*LAYER).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf_rows).isEmpty():
+        placed, split = spots.withColumn("cell", F.lit("")), False
+    else:
+        placed, split = _place(spots, leaf_rows)
+    own = placed.groupBy(*LEAF).applyInArrow(_own_leaf(k), _own_schema(placed))
+    best = own.select(*spot, "ids", "near")
+    if split:
+        own = cut(own)
         # only spots near a border have candidates from more than one leaf
-        other = _other_leaves(placed, crossing, k)
-        both = best.unionByName(other).select(*spot, F.inline("near")).withColumn("item", F.struct("dist", "id"))
-        best = _first_per_group(both, spot, ["dist", "id"], "item", k + 1, "near")
+        other = _other_leaves(placed, own, k)
+        both = own.select(*spot, "near").unionByName(other).select(*spot, F.inline("near")).withColumn("item", F.struct("dist", "id"))
+        found = _first_per_group(both, spot, ["dist", "id"], "item", k + 1, "near")
+        best = own.select(*spot, "ids").join(found, spot)
+    best = cut(best)
+    # a spot that lists all its points gives their edges at once; only the points of others are joined
+    asked = best.filter(F.size("ids") <= k + 1).select(*LAYER, F.explode("ids").alias("src"), "near")
+    crowded = best.filter(F.size("ids") > k + 1).select(*spot, "near")
+    if not crowded.isEmpty():
+        more = join_skewed(points.withColumnRenamed("idx", "src"), crowded, spot, ["src"])
+        asked = asked.unionByName(more.select(*LAYER, "src", "near"))
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("src")), 1, k)
-    edges = (
-        join_skewed(points.withColumnRenamed("idx", "src"), best, spot, ["src"])
-        .select(*LAYER, "src", F.posexplode(others).alias("rank", "n"))
-    )
+    edges = asked.select(*LAYER, "src", F.posexplode(others).alias("rank", "n"))
     return edges.select(
         *LAYER, "src", F.col("n.id").alias("dst"), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank")
     )
@@ -103,50 +112,91 @@ def _first_per_group(
 
 
 def _spots(points: DataFrame, k: int) -> DataFrame:
-    """Distinct positions with their k + 1 smallest ids."""
-    return _first_per_group(points, [*LAYER, *AXES], ["idx"], "idx", k + 1, "ids")
+    """Distinct positions with their k + 2 smallest ids: k + 1 that may be neighbours, one to tell that there are more."""
+    return _first_per_group(points, [*LAYER, *AXES], ["idx"], "idx", k + 2, "ids")
 
 
-def _place(spots: DataFrame, points: DataFrame, leaf_rows: int) -> DataFrame:
-    """Scale each layer to the unit cube and split crowded cells until none is left."""
-    ends = points.groupBy(*LAYER).agg(
-        F.count("*").alias("_n"),
-        *[F.min(a).alias(f"_{a}0") for a in AXES],
-        *[F.max(a).alias(f"_{a}1") for a in AXES],
-    )
-    widest = F.greatest(*[F.col(f"_{a}1") - F.col(f"_{a}0") for a in AXES])
-    first = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / leaf_rows) / 2)).cast("int")
-    frame = ends.select(
-        *LAYER,
-        *[f"_{a}0" for a in AXES],
-        F.when(widest > 0, widest).otherwise(F.lit(1.0)).alias("side"),
-        first.alias("level"),
-    )
-    scaled = join_summary(spots, frame, LAYER, AXES)
-    pending = scaled.select(
-        *LAYER, *AXES, "ids", "side", *[((F.col(a) - F.col(f"_{a}0")) / F.col("side")).alias(f"u{a}") for a in AXES], "level"
-    )
-    done: DataFrame | None = None
+def _place(spots: DataFrame, leaf_rows: int) -> tuple[DataFrame, bool]:
+    """Add `cell`, the leaf of each spot; also whether any layer has more than one leaf."""
+    pending = cut(spots.withColumn("cell", F.lit("")))
+    done: list[DataFrame] = []
     while True:
-        celled = cut(pending.withColumns({f"c{a}": _cell(F.col(f"u{a}")) for a in AXES}))
-        crowded = (
-            celled.groupBy(*LEAF)
-            .agg(F.count("*").alias("_n"))
-            .filter((F.col("_n") > leaf_rows) & (F.col("level") < MAX_LEVEL))
-            .select(*LEAF)
-        )
-        crowded = cut(crowded)
+        counts = pending.groupBy(*LEAF).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf_rows)
+        crowded = cut(counts)
         if crowded.isEmpty():
-            return celled if done is None else cut(done.unionByName(celled))
-        marked = join_stored(celled, crowded.withColumn("split", F.lit(True)), LEAF, AXES, "left")
-        quiet = marked.filter(F.col("split").isNull()).drop("split")
-        done = quiet if done is None else done.unionByName(quiet)
-        pending = marked.filter("split").withColumn("level", F.col("level") + 1).drop("cx", "cy", "cz", "split")
+            break
+        # crowded cells and their trees are as many as their spots divided by `leaf_rows` at most
+        marked = join_summary(pending, crowded, LEAF, AXES, "left")
+        done.append(marked.filter("_n is null").drop("_n"))
+        open_spots = marked.filter("_n is not null")
+        rate = F.col("_n").cast("double") * (F.pmod(F.xxhash64(*AXES), F.lit(1 << 31)) / float(1 << 31))
+        sample = open_spots.filter(rate < SAMPLE).select(*LEAF, *AXES, "_n")
+        types = dict(sample.dtypes)
+        tree = ", ".join(f"{c} {types[c]}" for c in LEAF) + ", axis array<int>, plane array<double>, _n long"
+        trees = cut(sample.groupBy(*LEAF).applyInArrow(_planes(leaf_rows, FAN), tree))
+        pending = cut(_dealt(open_spots.drop("_n"), trees, _descend, pending.schema.simpleString()[7:-1]))
+    whole = pending
+    for part in done:
+        whole = whole.unionByName(part)
+    return (cut(whole) if done else whole), bool(done)
+
+
+def _dealt(rows: DataFrame, cells: DataFrame, work, schema: str) -> DataFrame:
+    """Give `work` the rows of a cell, some `QUERY_ROWS` at a time on average, with the cell's row or rows of `cells`."""
+    slices = cut(rows.groupBy(*LEAF).agg(F.count("*").alias("_rows")).withColumn("_slices", F.ceil(F.col("_rows") / QUERY_ROWS).cast("int")).drop("_rows"))
+    dealt = join_summary(rows, slices, LEAF, AXES).withColumn("_slice", F.pmod(F.xxhash64(*AXES), F.col("_slices")).cast("int")).drop("_slices")
+    copies = cells.join(slices, LEAF).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    group = [*LEAF, "_slice"]
+    return dealt.groupBy(*group).cogroup(copies.groupBy(*group)).applyInArrow(work, schema)
+
+
+def _planes(leaf_rows: int, fan: int):
+    """A tree over the sample of one cell: node i has children 2i + 1 and 2i + 2; axis -1 marks a leaf."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        at, n = _positions(sample), sample["_n"][0].as_py()
+        # half full on average, so that few leaves of a sampled cell have to be split again
+        leaves = min(fan, -(-2 * n // leaf_rows)) if n > len(at) else -(-n // leaf_rows)
+        depth = max(1, int(np.ceil(np.log2(leaves))))
+        axis, plane = np.full((1 << depth) - 1, -1, np.int32), np.zeros((1 << depth) - 1)
+        parts = {0: np.arange(len(at))}
+        for node in range(len(axis)):
+            mine = parts.pop(node, np.zeros(0, np.int64))
+            spread = np.ptp(at[mine], axis=0) if len(mine) > 1 else np.zeros(3)
+            if spread.max() <= 0:
+                continue
+            a = int(spread.argmax())
+            values = np.sort(at[mine, a])
+            cut_at = values[len(values) // 2]
+            if cut_at == values[0]:  # more than half at the low end
+                cut_at = values[np.searchsorted(values, cut_at, side="right")]
+            axis[node], plane[node] = a, cut_at
+            low = at[mine, a] < cut_at
+            parts[2 * node + 1], parts[2 * node + 2] = mine[low], mine[~low]
+        out = sample.select(LEAF).slice(0, 1)
+        for name, values in (("axis", pa.array([axis])), ("plane", pa.array([plane])), ("_n", pa.array([n]))):
+            out = out.append_column(name, values)
+        return out
+
+    return run
 
 
-def _cell(u: Column, level: Column | None = None) -> Column:
-    cells = F.pow(F.lit(2.0), F.col("level") if level is None else level)
-    return F.greatest(F.lit(0), F.least(cells - 1, F.floor(u * cells)).cast("long"))
+def _descend(spots: pa.Table, tree: pa.Table) -> pa.Table:
+    """Extend the path of each spot by the leaf it falls into."""
+    spots = spots.drop_columns(["_slice"])
+    if not len(spots) or not len(tree):
+        return spots
+    axis, plane = (tree[c][0].values.to_numpy() for c in ("axis", "plane"))
+    at, node = _positions(spots), np.zeros(len(spots), np.int64)
+    inner = np.ones(len(spots), bool)
+    while inner.any():
+        inner &= node < len(axis)
+        inner[inner] = axis[node[inner]] >= 0
+        here = node[inner]
+        node[inner] = 2 * here + 1 + (at[inner, axis[here]] >= plane[here])
+    path = spots["cell"][0].as_py()
+    cells = pa.array([f"{path}{i}." for i in node.tolist()], pa.string())
+    return spots.set_column(spots.schema.get_field_index("cell"), "cell", cells)
 
 
 def _near_schema(placed: DataFrame, extra: Sequence[str] = ()) -> str:
@@ -156,7 +206,7 @@ def _near_schema(placed: DataFrame, extra: Sequence[str] = ()) -> str:
 
 
 def _own_schema(placed: DataFrame) -> str:
-    return _near_schema(placed, PLACE) + ", reach double"
+    return _near_schema(placed, ["cell", "ids"]) + ", reach double"
 
 
 NEAR = pa.struct([("dist", pa.float64()), ("id", pa.int64())])
@@ -209,91 +259,76 @@ def _own_leaf(k: int):
         offsets, dist, who = _nearest(_positions(leaf), leaf, k)
         full = np.diff(offsets) > k
         reach = np.where(full, dist[np.minimum(offsets[:-1] + k, len(dist) - 1)], np.nan)
-        return _with_near(leaf, offsets, dist, who, PLACE).append_column("reach", pa.array(reach, from_pandas=True))
+        ids = leaf["ids"].cast(pa.list_(pa.field("element", pa.int64())))
+        leaf = leaf.set_column(leaf.schema.get_field_index("ids"), "ids", ids)
+        return _with_near(leaf, offsets, dist, who, ["cell", "ids"]).append_column("reach", pa.array(reach, from_pandas=True))
 
     return run
 
 
-def _ancestry(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The leaves with their number of ids, and each leaf once per cell around it."""
-    leaves = placed.groupBy(*LEAF).agg(F.sum(F.size("ids")).alias("n_ids"))
-    up = F.pow(F.lit(2.0), F.col("level") - F.col("above"))
-    ancestry = leaves.withColumn("above", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumns(
-        {f"a{a}": F.floor(F.col(f"c{a}") / up).cast("long") for a in AXES}
-    )
-    return leaves, ancestry
-
-
-def _crossing(own: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """Spots whose ball leaves their leaf, with the `radius` of the ball in the unit cube."""
-    spots = own.select(*LAYER, *AXES, *PLACE, "reach")
-    # a leaf without k + 1 points of its own: the smallest cell around it that has them
-    _, ancestry = _ancestry(placed)
-    filled = ancestry.groupBy(*ABOVE).agg(F.sum("n_ids").alias("_n")).filter(F.col("_n") > k)
-    room = ancestry.filter(F.col("n_ids") <= k).join(filled, ABOVE).groupBy(*LEAF).agg(F.max("above").alias("room"))
-    known = spots.filter(F.col("reach").isNotNull()).withColumn("ball", F.col("reach") / F.col("side"))
-    diagonal = math.sqrt(3.0) / F.pow(F.lit(2.0), F.coalesce("room", F.lit(0)))
-    sparse = spots.filter(F.col("reach").isNull()).join(room, LEAF, "left").withColumn("ball", diagonal)
-    balls = known.unionByName(sparse.drop("room"))
-    asked = balls.withColumn("radius", F.col("ball") * (1 + SLACK) + SLACK * SLACK)
-    size = F.pow(F.lit(2.0), -F.col("level"))
-    inside = F.lit(True)
-    for a in AXES:
-        low, high = F.col(f"c{a}") * size, (F.col(f"c{a}") + 1) * size
-        inside &= (F.col(f"u{a}") - F.col("radius") > low) | (low <= 0)
-        inside &= (F.col(f"u{a}") + F.col("radius") < high) | (high >= 1)
-    return asked.filter(~inside).drop("ball", "reach", "side")
-
-
-def _other_leaves(placed: DataFrame, crossing: DataFrame, k: int) -> DataFrame:
-    """Neighbours from the other leaves that a spot's ball touches."""
-    leaves, ancestry = _ancestry(placed)
-    size = F.pow(F.lit(2.0), -F.col("level"))
-    # cells of the finest level whose side is at least the ball's width: two per axis at most
-    fine = F.floor(-F.log2(2 * F.col("radius")))
-    fine = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), fine)).cast("int")
-    touched = crossing.withColumnsRenamed({c: f"own_{c}" for c in CELL}).withColumn("fine", fine)
-    for a in AXES:
-        span = F.sequence(
-            _cell(F.col(f"u{a}") - F.col("radius"), F.col("fine")), _cell(F.col(f"u{a}") + F.col("radius"), F.col("fine"))
-        )
-        touched = touched.withColumn(f"a{a}", F.explode(span))
-    finer = touched.withColumnRenamed("fine", "above").join(ancestry, ABOVE)
-    shrink = F.pow(F.lit(2.0), F.col("fine") - F.col("level"))
-    coarser = (
-        touched.withColumn("level", F.explode(F.filter(F.sequence(F.lit(0), F.col("fine")), lambda l: l < F.col("fine"))))
-        .withColumns({f"c{a}": F.floor(F.col(f"a{a}") / shrink).cast("long") for a in AXES})
-        .join(leaves, LEAF)
-    )
-    columns = [*LAYER, *AXES, "ux", "uy", "uz", "radius", *[f"own_{c}" for c in CELL], *CELL]
-    pairs = finer.select(*columns).unionByName(coarser.select(*columns))
-    gap2 = F.lit(0.0)
-    same = F.lit(True)
-    for c in CELL:
-        same &= F.col(c) == F.col(f"own_{c}")
-    for a in AXES:
-        low, high = F.col(f"c{a}") * size, (F.col(f"c{a}") + 1) * size
-        gap = F.greatest(F.lit(0.0), low - F.col(f"u{a}"), F.col(f"u{a}") - high)
-        gap2 += gap * gap
-    queries = cut(
-        pairs.filter(~same & (F.sqrt(gap2) <= F.col("radius"))).select(*LAYER, *AXES, *CELL).distinct()
+def _boxes(placed: DataFrame) -> DataFrame:
+    """Bounding box of every cell of the trees but the roots: `cell` is its parent, `child` its own path."""
+    leaves = cut(
+        placed.groupBy(*LEAF).agg(*[end(a).alias(f"{a}{i}") for a in AXES for i, end in enumerate((F.min, F.max))])
     )
-    slices = (
-        queries.groupBy(*LEAF)
-        .agg(F.count("*").alias("_n"))
-        .select(*LEAF, F.ceil(F.col("_n") / QUERY_ROWS).cast("int").alias("slices"))
+    steps = F.split(F.regexp_replace("cell", r"\.$", ""), r"\.")
+    around = F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.array_join(F.slice(steps, F.lit(1), n), "."), F.lit("."))
     )
-    dealt = queries.join(slices, LEAF).withColumn("slice", F.pmod(F.xxhash64(*AXES), F.col("slices")).cast("int"))
-    copies = placed.join(slices, LEAF).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    group = [*LEAF, "slice"]
     return (
-        dealt.select(*group, *AXES)
-        .groupBy(*group)
-        .cogroup(copies.select(*group, *AXES, "ids").groupBy(*group))
-        .applyInArrow(_other_leaf(k), _near_schema(placed))
+        leaves.filter("cell <> ''")
+        .withColumn("child", F.explode(around))
+        .withColumn("leaf", F.col("child") == F.col("cell"))
+        .groupBy(*LAYER, "child")
+        .agg(F.max("leaf").alias("leaf"), *[end(f"{a}{i}").alias(f"{a}{i}") for a in AXES for i, end in enumerate((F.min, F.max))])
+        .withColumn("cell", F.regexp_replace("child", r"[0-9]+\.$", ""))
     )
 
 
+def _other_leaves(placed: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """Neighbours from the other leaves whose box a spot's ball touches, found level by level of the trees."""
+    boxes = cut(_boxes(placed))
+    radius = F.when(F.col("reach").isNotNull(), F.col("reach") * (1 + SLACK)).otherwise(F.lit(float("inf")))
+    split = boxes.select(*LAYER).distinct()
+    asked = own.select(*LAYER, *AXES, F.col("cell").alias("home"), radius.alias("radius")).join(split, LAYER)
+    asked = cut(asked.withColumn("cell", F.lit("")))
+    types = dict(asked.dtypes)
+    fields = ", ".join(f"{c} {types[c]}" for c in asked.columns) + ", leaf boolean"
+    found: list[DataFrame] = []
+    while not asked.isEmpty():
+        touched = cut(_dealt(asked, boxes, _touching, fields))
+        found.append(touched.filter("leaf").select(*LAYER, *AXES, "cell"))
+        asked = touched.filter("not leaf").drop("leaf")
+    queries = found[0]
+    for part in found[1:]:
+        queries = queries.unionByName(part)
+    return _dealt(queries, placed.select(*LEAF, *AXES, "ids"), _other_leaf(k), _near_schema(placed))
+
+
+def _touching(spots: pa.Table, boxes: pa.Table) -> pa.Table:
+    """Each spot once per child whose box its ball touches, the spot's own leaf left out."""
+    spots = spots.drop_columns(["_slice"])
+    if not len(spots) or not len(boxes):
+        return spots.slice(0, 0).append_column("leaf", pa.array([], pa.bool_()))
+    at, reach = _positions(spots), spots["radius"].to_numpy()
+    low = np.column_stack([boxes[f"{a}0"].to_numpy() for a in AXES])
+    high = np.column_stack([boxes[f"{a}1"].to_numpy() for a in AXES])
+    rows, cells = [], []
+    step = max(1, (1 << 20) // len(low))
+    for begin in range(0, len(at), step):
+        gap = np.zeros((len(at[begin : begin + step]), len(low)))
+        for i in range(3):
+            here = at[begin : begin + step, i, None]
+            gap += np.maximum(0.0, np.maximum(low[None, :, i] - here, here - high[None, :, i])) ** 2
+        row, cell = np.nonzero(np.sqrt(gap) <= reach[begin : begin + step, None])
+        rows.append(row + begin), cells.append(cell)
+    row, cell = np.concatenate(rows), np.concatenate(cells)
+    children = boxes["child"].take(pa.array(cell))
+    out = spots.take(pa.array(row))
+    out = out.set_column(out.schema.get_field_index("cell"), "cell", children).append_column("leaf", boxes["leaf"].take(pa.array(cell)))
+    return out.filter(pa.compute.not_equal(out["cell"], out["home"]))
+
+
 def _other_leaf(k: int):
     def run(queries: pa.Table, spots: pa.Table) -> pa.Table:
         if not len(queries) or not len(spots):

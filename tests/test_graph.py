@@ -48,7 +48,8 @@ def shapes():
     copies = np.concatenate([np.zeros((40, 3)), rng.integers(0, 3, (60, 3))])
     line = np.stack([np.arange(80) ** 2.0, np.zeros(80), np.zeros(80)], axis=1)
     few = rng.random((4, 3))
-    return {"uniform": uniform, "dense": dense, "copies": copies, "line": line, "few": few}
+    outlier = np.concatenate([rng.normal(scale=1e-9, size=(150, 3)), rng.random((20, 3)), [[1e15, -1e15, 3.0], [1e300, 0, 0]]])
+    return {"outlier": outlier, "uniform": uniform, "dense": dense, "copies": copies, "line": line, "few": few}
 
 
 @pytest.mark.parametrize("name", list(shapes()))
@@ -63,3 +64,15 @@ def test_layers_do_not_mix_and_gaps_are_left_out(spark):
     a = points_frame(spark, [(0, 0, 0), (1, 0, 0), (None, 0, 0)])
     b = points_frame(spark, [(0.1, 0, 0), (5, 0, 0)], layer=60, start=100)
     assert edges_of(a.unionByName(b), 3, 2) == {(0, 1, 1), (1, 0, 1), (100, 101, 1), (101, 100, 1)}
+
+
+def test_trees_from_samples_over_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SAMPLE", 60)
+    monkeypatch.setattr(graph, "FAN", 4)
+    monkeypatch.setattr(graph, "QUERY_ROWS", 50)
+    rng = np.random.default_rng(3)
+    positions = np.concatenate([rng.normal(scale=1e-6, size=(300, 3)), rng.random((200, 3)) * [50, 3, 0], np.ones((30, 3))])
+    assert edges_of(points_frame(spark, positions), 5, 4) == brute(positions, 5)
+    placed, split = graph._place(graph._spots(graph.keyed(points_frame(spark, positions)), 5), 24)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert split and max(sizes) <= 24 and sum(sizes) == 501
