@@ -1,7 +1,8 @@
 """Alignment kernels for a small batch of series against one centroid.
 
-Arrays are `batch` (B, T, S) and `centroid` (T, S). Tables are filled one anti-diagonal at a
-time, so each NumPy call covers all series of the batch.
+Arrays are `batch` (B, T, S) and `centroid` (T, S). Cells are filled one anti-diagonal at a time, so
+each NumPy call covers all series of the batch. Costs need the last two diagonals only; whole tables
+are built for the series whose alignment itself is asked for.
 """
 
 from __future__ import annotations
@@ -85,13 +86,92 @@ def soft_weights(table: np.ndarray, cost: np.ndarray, gamma: float) -> np.ndarra
     return weights[:, 1 : rows + 1, 1 : cols + 1]
 
 
+def _walk(centroid: np.ndarray, batch: np.ndarray, join, limit: np.ndarray | None) -> np.ndarray:
+    """Cost of the last cell with two diagonals kept; series whose cost must exceed `limit` give up and stay infinite.
+
+    A path steps on one of any two neighbouring diagonals, so the least value on them bounds its cost.
+    """
+    size, cols, _ = batch.shape
+    rows = len(centroid)
+    out, alive = np.full(size, np.inf), np.arange(size)
+    older = np.full((size, rows + 1), np.inf)
+    last = older
+    for i, j in _diagonals(rows, cols):
+        gap = centroid[i][None] - batch[:, j]
+        cost = np.einsum("bcs,bcs->bc", gap, gap)
+        now = np.full((len(alive), rows + 1), np.inf)
+        now[:, i + 1] = cost if i[0] + j[0] == 0 else cost + join(older[:, i], last[:, i], last[:, i + 1])
+        older, last = last, now
+        if limit is not None and (i[0] + j[0]) % 8 == 7:
+            keep = np.minimum(older.min(axis=1), last.min(axis=1)) <= limit[alive]
+            if not keep.all():
+                alive, batch, older, last = alive[keep], batch[keep], older[keep], last[keep]
+                if not len(alive):
+                    return out
+    out[alive] = last[:, rows]
+    return out
+
+
+def dtw_costs(centroid: np.ndarray, batch: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """Squared DTW cost of each series, infinite where it is certain to exceed `limit`."""
+    return _walk(centroid, batch, lambda a, b, c: np.minimum(np.minimum(a, b), c), limit)
+
+
+def soft_costs(centroid: np.ndarray, batch: np.ndarray, gamma: float) -> np.ndarray:
+    def soft(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        steps = np.stack([a, b, c])
+        low = steps.min(axis=0)
+        return low - gamma * np.log(np.exp((low - steps) / gamma).sum(axis=0))
+
+    return _walk(centroid, batch, soft, None)
+
+
+def dtw_bounds(centroid: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """A cost no alignment can stay below: how far samples lie outside the other's envelope, or its two ends.
+
+    Every sample is aligned with some sample of the other series, the first ones and the last ones with each other.
+    """
+
+    def outside(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (np.maximum(0.0, np.maximum(low - x, x - high)) ** 2).sum(axis=(1, 2))
+
+    of_batch = outside(batch, centroid.min(axis=0)[None, None], centroid.max(axis=0)[None, None])
+    of_centroid = outside(centroid[None], batch.min(axis=1)[:, None], batch.max(axis=1)[:, None])
+    first, last = ((centroid[at] - batch[:, at]) ** 2 for at in (0, -1))
+    ends = first.sum(axis=1) + (last.sum(axis=1) if batch.shape[1] > 1 or len(centroid) > 1 else 0.0)
+    return np.maximum(np.maximum(of_batch, of_centroid), ends) * (1 - 1e-12)
+
+
+def nearest(metric: str, centroids: np.ndarray, batch: np.ndarray, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(label, cost, alignments begun) of each series, ties to the lower label.
+
+    For DTW the centroids are tried by rising bound; one whose bound exceeds the least cost so far is
+    not aligned, and an alignment that exceeds it on the way is given up.
+    """
+    if metric != "dtw":
+        every = np.stack([costs(metric, c, batch, gamma) for c in centroids], axis=1)
+        return every.argmin(axis=1), every.min(axis=1), every.size
+    bounds = np.stack([dtw_bounds(c, batch) for c in centroids], axis=1)
+    order = np.argsort(bounds, axis=1, kind="stable")
+    best, label = np.full(len(batch), np.inf), np.full(len(batch), len(centroids))
+    begun = 0
+    for turn in range(len(centroids)):
+        for c, centroid in enumerate(centroids):
+            rows = np.flatnonzero((order[:, turn] == c) & (bounds[:, c] <= best))
+            if not len(rows):
+                continue
+            begun += len(rows)
+            found = dtw_costs(centroid, batch[rows], best[rows])
+            better = (found < best[rows]) | ((found == best[rows]) & (c < label[rows]))
+            best[rows[better]], label[rows[better]] = found[better], c
+    return label, best, begun
+
+
 def costs(metric: str, centroid: np.ndarray, batch: np.ndarray, gamma: float = 1.0) -> np.ndarray:
     """Squared Euclidean, squared DTW or soft-DTW cost of each series."""
     if metric == "euclidean":
         return ((batch - centroid[None]) ** 2).sum(axis=(1, 2))
-    cost = local_cost(centroid, batch)
-    table = dtw_table(cost) if metric == "dtw" else soft_table(cost, gamma)
-    return table[:, -1, -1]
+    return dtw_costs(centroid, batch) if metric == "dtw" else soft_costs(centroid, batch, gamma)
 
 
 def weights(metric: str, centroid: np.ndarray, batch: np.ndarray, gamma: float = 1.0) -> np.ndarray:

@@ -7,18 +7,20 @@ which Spark adds up. All starts advance together in one job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from poolsight.functions import alignment
 from poolsight.session import cut
 
 SEED = 42
 TOLERANCE = 1e-6
+#: Parts of the full step that a line search tries.
+SHARES = (2.0, 1.5, 1.0, 0.5, 0.25)
 
 #: Iterations and starts of the three methods, in order of preference.
 METHODS = {"dtw": (20, 3), "euclidean": (20, 5), "softdtw": (10, 2)}
@@ -38,6 +40,8 @@ class SeriesModel:
     centroids: np.ndarray
     inertia: float
     history: list[float] = field(default_factory=list)
+    #: Share of alignments (series by centroid) that bounds made unnecessary in the passes of the fit.
+    skipped: float = 0.0
 
     def assign(self, series: DataFrame) -> DataFrame:
         """Adds `label` and `cost`, the nearest centroid and the cost of reaching it."""
@@ -47,9 +51,8 @@ class SeriesModel:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    cost = _all_costs(metric, shared.value, _dense(batch.column("series")))
-                    label = pa.array(cost.argmin(axis=1).astype(np.int32))
-                    arrays = [*batch.columns, label, pa.array(cost.min(axis=1))]
+                    label, cost, _ = _nearest(metric, shared.value, _dense(batch.column("series")))
+                    arrays = [*batch.columns, pa.array(label.astype(np.int32)), pa.array(cost)]
                     yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "label", "cost"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields)
@@ -74,25 +77,23 @@ def _dense(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), len(steps) // len(column), -1)
 
 
-def _all_costs(metric: str, centroids: np.ndarray, data: np.ndarray) -> np.ndarray:
-    step = alignment.batch_rows(data.shape[1])
-    out = np.empty((len(data), len(centroids)))
-    for at in range(0, len(data), step):
-        batch = data[at : at + step]
-        for c, centroid in enumerate(centroids):
-            out[at : at + step, c] = alignment.costs(metric, centroid, batch)
-    return out
+def _nearest(metric: str, centroids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Label and cost of each series, and the number of alignments begun; a bounded batch at a time."""
+    size = alignment.batch_rows(data.shape[1])
+    parts = [alignment.nearest(metric, centroids, data[at : at + size]) for at in range(0, len(data), size)]
+    labels, least, begun = zip(*parts)
+    return np.concatenate(labels), np.concatenate(least), sum(begun)
+
+
+def draws(seed: int, starts: int, pick: int) -> Column:
+    """One exponential number per start, from a hash of the series, the seed, the start and the pick."""
 
+    def draw(start: int) -> Column:
+        text = F.concat_ws("|", "series_id", F.lit(str(seed)), F.lit(str(start)), F.lit(str(pick)))
+        place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+        return -F.log((place + 0.5) / F.lit(2.0**52))
 
-def _uniform(place: np.ndarray, *salt: int) -> np.ndarray:
-    """A number in (0, 1) per hash, another one for every salt."""
-    x = place.view(np.uint64)
-    for n in salt:
-        x = x + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return (x >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+    return F.array(*[draw(s) for s in range(starts)])
 
 
 def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
@@ -103,7 +104,6 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
     A task returns its best series per start.
     """
     spark = series.sparkSession
-    hashed = series.select(F.xxhash64("series_id", F.lit(seed)).alias("place"), "series_id", "series")
     picks: list[list[np.ndarray]] = [[] for _ in range(starts)]
     taken: list[set[str]] = [set() for _ in range(starts)]
     kind = series.schema["series"].dataType.simpleString()
@@ -116,16 +116,20 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
                 if not len(batch):
                     continue
                 data, ids = _dense(batch.column("series")), batch.column("series_id").to_pylist()
-                place = batch.column("place").to_numpy()
+                drawn = batch.column("draws").flatten().to_numpy().reshape(len(data), -1)
                 rows = []
                 for s in range(len(chosen)):
-                    draw = -np.log(_uniform(place, s, pick))
+                    draw = drawn[:, s]
                     if chosen[s]:
-                        near = _all_costs("euclidean", np.stack(chosen[s]), data).min(axis=1)
+                        near = np.min([alignment.costs("euclidean", c, data) for c in chosen[s]], axis=0)
                         draw = np.where(near > 0, draw / np.where(near > 0, near, 1.0), np.inf)
-                    free = [i for i in np.argsort(draw, kind="stable")[: len(before[s]) + 1] if ids[i] not in before[s]]
-                    if free:
-                        rows.append((s, float(draw[free[0]]), int(free[0])))
+                    order = sorted(np.argsort(draw, kind="stable")[: len(before[s]) + 1].tolist(), key=lambda i: (draw[i], ids[i]))
+                    least = draw[order[0]] if order else 0.0
+                    if np.isinf(least):  # nothing but copies of the picks: the smallest name that is free
+                        order = sorted(range(len(ids)), key=ids.__getitem__)
+                    free = next((i for i in order if ids[i] not in before[s]), None)
+                    if free is not None:
+                        rows.append((s, float(draw[free]), int(free)))
                 columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())]
                 at = pa.array([r[2] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +137,8 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
                     ["start", "draw", "series_id", "series"],
                 )
 
-        found = hashed.mapInArrow(best, f"start int, draw double, series_id string, series {kind}")
+        drawn = series.select(draws(seed, starts, pick).alias("draws"), "series_id", "series")
+        found = drawn.mapInArrow(best, f"start int, draw double, series_id string, series {kind}")
         least = found.groupBy("start").agg(F.min_by(F.struct("series_id", "series"), F.struct("draw", "series_id")).alias("s"))
         rows = {r["start"]: r["s"] for r in least.collect()}
         shared.unpersist()
@@ -146,12 +151,12 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
 
 
 def _step(metric: str, shared, series: DataFrame) -> DataFrame:
-    """One E-step: per start and cluster the number of series, cost, weighted sums and weights."""
+    """One E-step: per start and cluster the number of series, cost, alignments, weighted sums and weights."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         starts, k, steps, sensors = centroids.shape
-        count, cost_sum = np.zeros((starts, k)), np.zeros((starts, k))
+        count, cost_sum, aligned = np.zeros((starts, k)), np.zeros((starts, k)), np.zeros((starts, k))
         sums, mass = np.zeros((starts, k, steps, sensors)), np.zeros((starts, k, steps))
         size = alignment.batch_rows(steps)
         for batch in batches:
@@ -159,12 +164,12 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
                 continue
             data = _dense(batch.column("series"))
             for s in range(starts):
-                cost = _all_costs(metric, centroids[s], data)
-                label = cost.argmin(axis=1)
+                label, cost, begun = _nearest(metric, centroids[s], data)
+                aligned[s, label[0]] += begun
                 for c in range(k):
                     members = data[label == c]
                     count[s, c] += len(members)
-                    cost_sum[s, c] += cost[label == c, c].sum()
+                    cost_sum[s, c] += cost[label == c].sum()
                     if metric == "euclidean":
                         sums[s, c] += members.sum(axis=0)
                         mass[s, c] += len(members)
@@ -181,13 +186,64 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
             "label": pa.array([c for _, c in at], pa.int32()),
             "n": pa.array([count[i] for i in at], pa.float64()),
             "cost": pa.array([cost_sum[i] for i in at], pa.float64()),
+            "aligned": pa.array([aligned[i] for i in at], pa.float64()),
             "parts": pa.array(parts, pa.list_(pa.float64())),
         }
         yield pa.RecordBatch.from_pydict(columns)
 
     return series.select("series").mapInArrow(
-        partial, "start int, label int, n double, cost double, parts array<double>"
+        partial, "start int, label int, n double, cost double, aligned double, parts array<double>"
+    )
+
+
+@dataclass
+class _Measured:
+    """Sums over all series for the centroids of one start."""
+
+    centroids: np.ndarray
+    size: float
+    inertia: float
+    aligned: float
+    sums: np.ndarray
+    mass: np.ndarray
+
+    def moved(self, share: float = 1.0) -> np.ndarray:
+        """Centroids moved towards the weighted means, which is against the gradient of the cost.
+
+        The gradient of a (soft) alignment cost by a centroid step is 2 * (mass * step - sums).
+        """
+        known = self.mass > 0
+        target = np.where(known[..., None], self.sums / np.where(known, self.mass, 1.0)[..., None], self.centroids)
+        return target if share == 1 else self.centroids + share * (target - self.centroids)
+
+
+def _measure(metric: str, series: DataFrame, centroids: np.ndarray) -> list[_Measured]:
+    """Costs, sums and weights of each start, in one pass."""
+    shared = series.sparkSession.sparkContext.broadcast(centroids)
+    parts = (
+        _step(metric, shared, series)
+        .select("start", "label", F.posexplode(F.concat(F.array("n", "cost", "aligned"), "parts")).alias("at", "v"))
+        .groupBy("start", "label", "at")
+        .agg(F.sum("v").alias("v"))
+        .toPandas()
     )
+    shared.unpersist()
+    _, k, steps, sensors = centroids.shape
+    out = []
+    for s, of in enumerate(centroids):
+        mine = parts[parts["start"] == s]
+        head = [mine.loc[mine["at"] == i, "v"].sum() for i in range(3)]
+        sums, mass = np.zeros((k, steps, sensors)), np.zeros((k, steps))
+        for label, rows in mine.groupby("label"):
+            values = rows.sort_values("at")["v"].to_numpy()[3:]
+            sums[label], mass[label] = values[: steps * sensors].reshape(steps, sensors), values[steps * sensors :]
+        out.append(_Measured(of, head[0], head[1] / max(head[0], 1.0), head[2], sums, mass))
+    return out
+
+
+def move(series: DataFrame, metric: str, centroids: np.ndarray) -> np.ndarray:
+    """One E-step and M-step from given centroids (k, T, S)."""
+    return _measure(metric, series, centroids[None])[0].moved()
 
 
 def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: int) -> SeriesModel:
@@ -198,54 +254,68 @@ def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: in
     fractional weights for soft-DTW. Starts that have settled take no part in further passes. The
     centroids kept are those whose cost was measured.
     """
-    spark = series.sparkSession
     starts = len(centroids)
     history: list[list[float]] = [[] for _ in range(starts)]
-    open_starts = set(range(starts))
+    running = list(range(starts))
     best = centroids.copy()
+    begun = possible = 0.0
     for _ in range(max_iter):
-        running = sorted(open_starts)
-        shared = spark.sparkContext.broadcast(centroids[running])
-        found = _step(metric, shared, series)
-        parts = (
-            found.select("start", "label", F.posexplode(F.concat(F.array("n", "cost"), "parts")).alias("at", "v"))
-            .groupBy("start", "label", "at")
-            .agg(F.sum("v").alias("v"))
-            .toPandas()
-        )
-        shared.unpersist()
         moved = centroids.copy()
-        steps, sensors = centroids.shape[2], centroids.shape[3]
-        for at, s in enumerate(running):
-            mine = parts[parts["start"] == at]
-            size = mine.loc[mine["at"] == 0, "v"].sum()
-            inertia = mine.loc[mine["at"] == 1, "v"].sum() / size
-            past = history[s]
+        still = []
+        for s, found in zip(running, _measure(metric, series, centroids[running])):
+            past, inertia = history[s], found.inertia
+            begun, possible = begun + found.aligned, possible + found.size * centroids.shape[1]
             if not past or inertia < min(past):
                 best[s] = centroids[s]
             past.append(float(inertia))
             if len(past) > 1 and past[-2] - inertia < TOLERANCE * max(1.0, abs(past[-2])):
-                open_starts.discard(s)
                 continue
-            for label, rows in mine.groupby("label"):
-                values = rows.sort_values("at")["v"].to_numpy()[2:]
-                sums = values[: steps * sensors].reshape(steps, sensors)
-                mass = values[steps * sensors :]
-                known = mass > 0
-                moved[s, label][known] = sums[known] / mass[known, None]
-        centroids = moved
-        if not open_starts:
+            moved[s] = found.moved()
+            still.append(s)
+        centroids, running = moved, still
+        if not running:
             break
     winner = min(range(starts), key=lambda s: float(f"{min(history[s]):.9e}"))
-    return SeriesModel(metric, best[winner], min(history[winner]), history[winner])
+    return SeriesModel(metric, best[winner], min(history[winner]), history[winner], 1 - begun / max(possible, 1.0))
+
 
+def descend(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: int, shares: Sequence[float] = SHARES) -> SeriesModel:
+    """k-means from one start (k, T, S) by line-searched descent of the cost, chiefly for soft-DTW.
 
-def fit(series: DataFrame, metric: str, k: int, max_iter: int | None = None, starts: int | None = None, seed: int = SEED) -> SeriesModel:
+    The direction is the gradient of the cost scaled by the weights, along which share 1 is the step of
+    `fit_from`. All shares are measured in one pass, and the cheapest is taken, so the cost never rises
+    and no step is worse than that one; the run ends where none lowers the cost.
+    """
+    if 1.0 not in shares:
+        raise ValueError("shares must hold 1.0, the full step")
+    now = _measure(metric, series, centroids[None])[0]
+    history = [float(now.inertia)]
+    for _ in range(max_iter - 1):
+        tried = _measure(metric, series, np.stack([now.moved(s) for s in shares]))
+        best = min(tried, key=lambda m: m.inertia)
+        if now.inertia - best.inertia < TOLERANCE * max(1.0, abs(now.inertia)):
+            break
+        now = best
+        history.append(float(now.inertia))
+    return SeriesModel(metric, now.centroids, now.inertia, history)
+
+
+def fit(
+    series: DataFrame,
+    metric: str,
+    k: int,
+    max_iter: int | None = None,
+    starts: int | None = None,
+    seed: int = SEED,
+    line_search: bool = False,
+) -> SeriesModel:
+    """k-means from k-means++ starts; with `line_search` the winner's centroids are descended further."""
     if metric not in METHODS:
         raise ValueError(f"no metric '{metric}'; there are {', '.join(METHODS)}")
     default_iter, default_starts = METHODS[metric]
     max_iter, starts = max_iter or default_iter, starts or default_starts
-    return fit_from(series, metric, _seeds(series, k, starts, seed), max_iter)
+    model = fit_from(series, metric, _seeds(series, k, starts, seed), max_iter)
+    return descend(series, metric, model.centroids, max_iter) if line_search else model
 
 
 def select_model(distinct_labels: dict[str, int]) -> str:
@@ -265,7 +335,7 @@ class ClusteringRun:
 
 
 def cluster_series(series: DataFrame, k: int, seed: int = SEED, settings: dict[str, tuple[int, int]] | None = None) -> ClusteringRun:
-    """Fit all three methods, skip those that fail, and label the series with the chosen one."""
+    """Fit all three methods, leave out those that the data do not suit, and label the series with the chosen one."""
     series = prepare(series)
     if series.isEmpty():
         raise ValueError("there are no series to cluster")
@@ -278,7 +348,7 @@ def cluster_series(series: DataFrame, k: int, seed: int = SEED, settings: dict[s
             model = fit(series, metric, k, max_iter, starts, seed)
             counts[metric] = model.assign(series).select("label").distinct().count()
             models[metric] = model
-        except Exception as error:  # a method that fails is left out, the others go on
+        except (ValueError, np.linalg.LinAlgError, FloatingPointError) as error:  # the data do not suit it; the others go on
             failures[metric] = str(error)
     chosen = select_model(counts)
     return ClusteringRun(chosen, models, models[chosen].assign(series), failures)

@@ -152,7 +152,7 @@ def calinski_harabasz(spark, sf_dir):
     return rounded(scores.calinski_harabasz(vectors(spark, sf_dir)), ["calinski_harabasz"])
 
 
-# --- fitted models: rows only, labels depend on the starts ---------------------------------------
+# --- fitted models without SQL: compared with a naive fit in the tests ---------------------------
 
 
 def _sizes(name: str, metric: str) -> None:
@@ -208,11 +208,12 @@ def _first_series(spark, sf_dir) -> tuple[DataFrame, np.ndarray]:
 
 
 @query(
-    "kmeans_euclidean",
+    "lloyd_steps",
     _lloyd_sql()
     + f""" select label, count(*) as n, {r(f"(select avg(cost) from near{PASSES - 1})", "inertia")} from near{PASSES - 1} group by label""",
 )
-def kmeans_euclidean(spark, sf_dir):
+def lloyd_steps(spark, sf_dir):
+    """Three passes from given centroids; `kmeans_euclidean` is the whole fit."""
     prepared, first = _first_series(spark, sf_dir)
     model = clustering.fit_from(prepared, "euclidean", first, PASSES)
     sizes = series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
@@ -225,31 +226,140 @@ def centroids(spark, sf_dir):
     return rounded(clustering.fit_from(prepared, "euclidean", first, PASSES).centroid_rows(spark), ["value"])
 
 
-def _aligned_sql(best: str) -> str:
-    """Alignment costs along the anti-diagonals; d holds the last diagonal by row, e the one before."""
+def _fit_sql(passes: int, starts: int, seed: int) -> str:
+    """Seeding by the same hash, all passes of all starts, then each start up to where it settles."""
+    dist = "select f.nr, c.s, c.pick, sum(pow(f.v - g.v, 2)) as cost from flat f join chosen{0} c on true join flat g on g.nr = c.nr and g.step = f.step and g.sensor = f.sensor group by all"
+    parts = [
+        SCALED_SQL.replace("flat as (", "flat as materialized ("),
+        "ids as (select distinct nr, session || '/1_c/1_j/-1/' || layer || '/' || seg_id as id from flat)",
+    ]
+    for p in range(CLUSTERS):
+        u = f"(('0x' || substr(md5(id || '|{seed}|' || s || '|{p}'), 1, 13))::ubigint + 0.5e0) / 4503599627370496e0"
+        near = "" if p == 0 else f"join (select s, nr, min(cost) as near from ({dist.format(p - 1)}) group by all) using (s, nr)"
+        draw = f"-ln({u})" if p == 0 else f"case when near > 0 then -ln({u}) / near else 'infinity'::double end"
+        free = "" if p == 0 else f"where (s, nr) not in (select (s, nr) from chosen{p - 1})"
+        before = "" if p == 0 else f"select * from chosen{p - 1} union all "
+        parts.append(
+            f"""chosen{p} as materialized ({before}select s, {p} as pick, nr from (
+  select s, nr, id, {draw} as draw from (select * from ids, range({starts}) t(s)) {near} {free}
+) qualify row_number() over (partition by s order by draw, id) = 1)"""
+        )
+    parts.append(f"cent0 as materialized (select s, cast(pick as integer) as label, step, sensor, v as m from chosen{CLUSTERS - 1} join flat using (nr))")
+    for i in range(passes):
+        parts.append(
+            f"""near{i} as materialized (
+  select s, nr, label, cost from (
+    select s, nr, label, sum(pow(v - m, 2)) as cost from flat join cent{i} using (step, sensor) group by all
+  ) qualify row_number() over (partition by s, nr order by cost, label) = 1
+),
+cent{i + 1} as materialized (
+  select s, c.label, step, sensor, coalesce(n.m, c.m) as m from cent{i} c
+  left join (select s, label, step, sensor, avg(v) as m from flat join near{i} using (nr) group by all) n using (s, label, step, sensor)
+)"""
+        )
+    every = " union all ".join(f"select {i} as i, s, nr, label, cost from near{i}" for i in range(passes))
+    parts.append(
+        f"""every as materialized ({every}),
+history as (select s, i, avg(cost) as inertia, lag(avg(cost)) over (partition by s order by i) as past from every group by s, i),
+settled as (select s, min(i) filter (past - inertia < 1e-6 * greatest(1, abs(past))) as stop from history group by s),
+kept as (
+  select s, i, inertia from history join settled using (s) where i <= coalesce(stop, {passes})
+  qualify row_number() over (partition by s order by inertia, i) = 1
+),
+winner as (select * from kept order by printf('%.9e', inertia)::double, s limit 1)"""
+    )
+    return ",\n".join(parts)
+
+
+@query(
+    "kmeans_euclidean",
+    _fit_sql(*clustering.METHODS["euclidean"], clustering.SEED)
+    + f" select label, count(*) as n, {r('any_value(w.inertia)', 'inertia')} from every join winner w using (s, i) group by label",
+)
+def kmeans_euclidean(spark, sf_dir):
+    prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
+    model = clustering.fit(prepared, "euclidean", CLUSTERS)
+    sizes = series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
+    return rounded(sizes, ["inertia"])
+
+
+def _walk_sql(name: str, pairs: str, best: str) -> str:
+    """Alignment costs of all cells along the anti-diagonals; cur holds diagonal d by row, old the one before."""
     t, far = STEPS, "1e300"
-    cell = "pow(p.c0[i] - p.a0[q.d + 1 - i], 2) + pow(p.c1[i] - p.a1[q.d + 1 - i], 2)"
+    cell = "pow(p.c0[i] - p.a0[q.d + 2 - i], 2) + pow(p.c1[i] - p.a1[q.d + 2 - i], 2)"
+    return f"""{name}(pair, d, cur, old) as (
+  select pair, 1, [case when i = 1 then pow(c0[1] - a0[1], 2) + pow(c1[1] - a1[1], 2) else {far} end for i in range(1, {t + 1})],
+    [{far} for i in range(1, {t + 1})] from {pairs}
+  union all
+  select q.pair, q.d + 1,
+    [case when q.d + 2 - i between 1 and {t} then {cell} + {best} else {far} end for i in range(1, {t + 1})],
+    q.cur
+  from {name} q join {pairs} p on q.pair = p.pair where q.d < {2 * t - 1}
+)"""
+
+
+def _costs_sql(best: str) -> str:
     return f"""{SCALED_SQL.replace("with ", "with recursive ", 1)},
 packed as (
   select session, layer, seg_id, dense_rank() over (order by session, layer, seg_id) - 1 as nr,
     list(sensor0 order by step) as a0, list(sensor1 order by step) as a1 from scaled group by session, layer, seg_id
 ),
-pairs as (
+pairs as materialized (
   select a.nr * {CLUSTERS} + c.nr as pair, a.*, cast(c.nr as integer) as label, c.a0 as c0, c.a1 as c1
   from (select * from packed) a, (select nr, a0, a1 from packed where nr < {CLUSTERS}) c
 ),
-walk(pair, d, cur, old) as (
-  select pair, 1, [case when i = 1 then pow(c0[1] - a0[1], 2) + pow(c1[1] - a1[1], 2) else {far} end for i in range(1, {t + 1})],
-    [{far} for i in range(1, {t + 1})] from pairs
+{_walk_sql("walk", "pairs", best)},
+costs as (
+  select p.pair, p.session, p.layer, p.seg_id, p.label, w.cur[{STEPS}] as cost
+  from walk w join pairs p on w.pair = p.pair where w.d = {2 * STEPS - 1}
+)"""
+
+
+_NEAREST = "qualify row_number() over (partition by session, layer, seg_id order by cost, label) = 1"
+
+
+def _aligned_sql(best: str) -> str:
+    return f"{_costs_sql(best)} select session, layer, seg_id, label, {r('cost', 'cost')} from costs {_NEAREST}"
+
+
+def _moved_sql(best: str, cells: str, weight: str) -> str:
+    """Centroids after one M-step: the weighted mean of the samples aligned with each step."""
+    return f"""{_costs_sql(best)},
+won as materialized (select pair, label, cost from costs {_NEAREST}),
+{cells}
+select label, cast(i - 1 as integer) as step, sensor, {r("sum(" + weight + " * x) / sum(" + weight + ")", "value")}
+from (
+  select c.*, 'sensor0' as sensor, p.a0[c.j] as x from cells c join pairs p using (pair)
+  union all select c.*, 'sensor1', p.a1[c.j] from cells c join pairs p using (pair)
+) group by label, i, sensor"""
+
+
+#: The cheapest path back from the last cell; diagonal steps win ties, then steps along the centroid.
+_PATH_CELLS = f"""back(pair, label, i, j) as (
+  select pair, label, {STEPS}, {STEPS} from won
   union all
-  select q.pair, q.d + 1,
-    [case when q.d + 2 - i between 1 and {t} then {cell.replace("q.d + 1 - i", "q.d + 2 - i")} + {best} else {far} end for i in range(1, {t + 1})],
-    q.cur
-  from walk q join pairs p on q.pair = p.pair where q.d < {2 * t - 1}
+  select b.pair, b.label, case when coalesce(o.cur[b.i - 1], 1e300) <= w.cur[b.i] or coalesce(w.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.i - 1 else b.i end,
+    case when coalesce(o.cur[b.i - 1], 1e300) <= coalesce(w.cur[b.i - 1], 1e300) and coalesce(o.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.j - 1
+      when coalesce(w.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.j else b.j - 1 end
+  from back b join walk w on w.pair = b.pair and w.d = b.i + b.j - 2
+  left join walk o on o.pair = b.pair and o.d = b.i + b.j - 3
+  where b.i + b.j > 2
 ),
-costs as (select p.session, p.layer, p.seg_id, p.label, w.cur[{t}] as cost from walk w join pairs p on w.pair = p.pair where w.d = {2 * t - 1})
-select session, layer, seg_id, label, {r('cost', 'cost')} from costs
-qualify row_number() over (partition by session, layer, seg_id order by cost, label) = 1"""
+cells as (select * from back)"""
+
+
+def _soft_cells(best: str) -> str:
+    """Expected alignment from the costs up to a cell and from the far end back to it."""
+    t = STEPS
+    return f"""turned as materialized (
+  select pair, list_reverse(a0) as a0, list_reverse(a1) as a1, list_reverse(c0) as c0, list_reverse(c1) as c1 from pairs join won using (pair)
+),
+{_walk_sql("rewalk", "turned", best)},
+cells as (
+  select won.pair, won.label, i, j, exp(won.cost - w.cur[i] - v.cur[{t + 1} - i] + pow(p.c0[i] - p.a0[j], 2) + pow(p.c1[i] - p.a1[j], 2)) as weight
+  from won join pairs p using (pair), range(1, {t + 1}) y(i), range(1, {t + 1}) x(j), walk w, rewalk v
+  where w.pair = won.pair and w.d = i + j - 1 and v.pair = won.pair and v.d = {2 * t + 1} - i - j
+)"""
 
 
 _UP, _LEFT, _BOTH = "coalesce(q.cur[i - 1], 1e300)", "q.cur[i]", "coalesce(q.old[i - 1], 1e300)"
@@ -269,6 +379,26 @@ _assigned("assign_dtw", "dtw", _aligned_sql(_LEAST))
 _assigned("assign_softdtw", "softdtw", _aligned_sql(_SOFT))
 
 
+def _stepped(name: str, metric: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        prepared, first = _first_series(spark, sf_dir)
+        moved = clustering.SeriesModel(metric, clustering.move(prepared, metric, first[0]), 0.0)
+        return rounded(moved.centroid_rows(spark), ["value"])
+
+
+_stepped("dtw_step", "dtw", _moved_sql(_LEAST, _PATH_CELLS, "1"))
+_stepped("softdtw_step", "softdtw", _moved_sql(_SOFT, _soft_cells(_SOFT), "weight"))
+
+
+@query("softdtw_descent")
+def softdtw_descent(spark, sf_dir):
+    """Cost per pass of the line-searched descent from the first series; it never rises."""
+    prepared, first = _first_series(spark, sf_dir)
+    model = clustering.descend(prepared, "softdtw", first[0], 6)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(model.history)], "pass int, inertia double")
+
+
 def _clustered(spark, sf_dir) -> clustering.ClusteringRun:
     cloud = point_cloud(spark, sf_dir)
     index = segments.segment_index(cloud, "1-0")
