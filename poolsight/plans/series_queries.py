@@ -152,22 +152,7 @@ def calinski_harabasz(spark, sf_dir):
     return rounded(scores.calinski_harabasz(vectors(spark, sf_dir)), ["calinski_harabasz"])
 
 
-# --- fitted models without SQL: compared with a naive fit in the tests ---------------------------
-
-
-def _sizes(name: str, metric: str) -> None:
-    @query(name)
-    def run(spark, sf_dir):
-        prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
-        model = clustering.fit(prepared, metric, CLUSTERS)
-        return series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
-
-
-for _metric in ("dtw", "softdtw"):
-    _sizes(f"kmeans_{_metric}", _metric)
-
-
-# --- models from given starts: the first series in key order -------------------------------------
+# --- fitted models, and models from given starts: the first series in key order -----------------
 
 PASSES = 3
 _W = "over (partition by session, layer, seg_id)"
@@ -226,11 +211,12 @@ def centroids(spark, sf_dir):
     return rounded(clustering.fit_from(prepared, "euclidean", first, PASSES).centroid_rows(spark), ["value"])
 
 
-def _fit_sql(passes: int, starts: int, seed: int) -> str:
+def _fit_sql(metric: str, seed: int = clustering.SEED) -> str:
     """Seeding by the same hash, all passes of all starts, then each start up to where it settles."""
+    passes, starts = clustering.METHODS[metric]
     dist = "select f.nr, c.s, c.pick, sum(pow(f.v - g.v, 2)) as cost from flat f join chosen{0} c on true join flat g on g.nr = c.nr and g.step = f.step and g.sensor = f.sensor group by all"
     parts = [
-        SCALED_SQL.replace("flat as (", "flat as materialized ("),
+        SCALED_SQL.replace("flat as (", "flat as materialized (").replace("with ", "with recursive ", 1),
         "ids as (select distinct nr, session || '/1_c/1_j/-1/' || layer || '/' || seg_id as id from flat)",
     ]
     for p in range(CLUSTERS):
@@ -245,7 +231,16 @@ def _fit_sql(passes: int, starts: int, seed: int) -> str:
 ) qualify row_number() over (partition by s order by draw, id) = 1)"""
         )
     parts.append(f"cent0 as materialized (select s, cast(pick as integer) as label, step, sensor, v as m from chosen{CLUSTERS - 1} join flat using (nr))")
+    if metric != "euclidean":
+        parts.append(
+            """wide as materialized (
+  select nr, list(v order by step) filter (sensor = 'sensor0') as a0, list(v order by step) filter (sensor = 'sensor1') as a1 from flat group by nr
+)"""
+        )
     for i in range(passes):
+        if metric != "euclidean":
+            parts.append(_aligned_pass_sql(metric, i))
+            continue
         parts.append(
             f"""near{i} as materialized (
   select s, nr, label, cost from (
@@ -271,18 +266,6 @@ winner as (select * from kept order by printf('%.9e', inertia)::double, s limit
     return ",\n".join(parts)
 
 
-@query(
-    "kmeans_euclidean",
-    _fit_sql(*clustering.METHODS["euclidean"], clustering.SEED)
-    + f" select label, count(*) as n, {r('any_value(w.inertia)', 'inertia')} from every join winner w using (s, i) group by label",
-)
-def kmeans_euclidean(spark, sf_dir):
-    prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
-    model = clustering.fit(prepared, "euclidean", CLUSTERS)
-    sizes = series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia))
-    return rounded(sizes, ["inertia"])
-
-
 def _walk_sql(name: str, pairs: str, best: str) -> str:
     """Alignment costs of all cells along the anti-diagonals; cur holds diagonal d by row, old the one before."""
     t, far = STEPS, "1e300"
@@ -334,18 +317,18 @@ from (
 ) group by label, i, sensor"""
 
 
-#: The cheapest path back from the last cell; diagonal steps win ties, then steps along the centroid.
-_PATH_CELLS = f"""back(pair, label, i, j) as (
-  select pair, label, {STEPS}, {STEPS} from won
+def _path_sql(name: str, won: str, walk: str) -> str:
+    """The cheapest path back from the last cell; diagonal steps win ties, then steps along the centroid."""
+    return f"""{name}(pair, label, i, j) as (
+  select pair, label, {STEPS}, {STEPS} from {won}
   union all
   select b.pair, b.label, case when coalesce(o.cur[b.i - 1], 1e300) <= w.cur[b.i] or coalesce(w.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.i - 1 else b.i end,
     case when coalesce(o.cur[b.i - 1], 1e300) <= coalesce(w.cur[b.i - 1], 1e300) and coalesce(o.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.j - 1
       when coalesce(w.cur[b.i - 1], 1e300) <= w.cur[b.i] then b.j else b.j - 1 end
-  from back b join walk w on w.pair = b.pair and w.d = b.i + b.j - 2
-  left join walk o on o.pair = b.pair and o.d = b.i + b.j - 3
+  from {name} b join {walk} w on w.pair = b.pair and w.d = b.i + b.j - 2
+  left join {walk} o on o.pair = b.pair and o.d = b.i + b.j - 3
   where b.i + b.j > 2
-),
-cells as (select * from back)"""
+)"""
 
 
 def _soft_cells(best: str) -> str:
@@ -367,6 +350,58 @@ _LEAST = f"least({_UP}, {_LEFT}, {_BOTH})"
 _SOFT = f"{_LEAST} - ln(" + " + ".join(f"exp({_LEAST} - {x})" for x in (_UP, _LEFT, _BOTH)) + ")"
 
 
+def _aligned_pass_sql(metric: str, i: int) -> str:
+    """One pass of all starts: nearest centroids by alignment cost, and the means of what is aligned with each step."""
+    best = _LEAST if metric == "dtw" else _SOFT
+    t, walk, pairs = STEPS, f"walk{i}", f"pairs{i}"
+    text = f"""{pairs} as materialized (
+  select (s * 1000000 + nr) * {CLUSTERS} + label as pair, s, nr, label, a0, a1, c0, c1 from wide, (
+    select s, label, list(m order by step) filter (sensor = 'sensor0') as c0, list(m order by step) filter (sensor = 'sensor1') as c1 from cent{i} group by s, label
+  )
+),
+{_walk_sql(walk, pairs, best)},
+near{i} as materialized (
+  select pair, s, nr, label, w.cur[{t}] as cost from {walk} w join {pairs} using (pair) where w.d = {2 * t - 1}
+  qualify row_number() over (partition by s, nr order by cost, label) = 1
+),
+"""
+    if metric == "dtw":
+        text += _path_sql(f"back{i}", f"near{i}", walk) + f",\ncells{i} as (select pair, i, j, 1 as weight from back{i}),\n"
+    else:
+        text += f"""turned{i} as materialized (
+  select pair, list_reverse(a0) as a0, list_reverse(a1) as a1, list_reverse(c0) as c0, list_reverse(c1) as c1 from {pairs} join near{i} using (pair)
+),
+{_walk_sql(f"rewalk{i}", f"turned{i}", best)},
+cells{i} as (
+  select n.pair, i, j, exp(n.cost - w.cur[i] - v.cur[{t + 1} - i] + pow(p.c0[i] - p.a0[j], 2) + pow(p.c1[i] - p.a1[j], 2)) as weight
+  from near{i} n join {pairs} p using (pair), range(1, {t + 1}) y(i), range(1, {t + 1}) x(j), {walk} w, rewalk{i} v
+  where w.pair = n.pair and w.d = i + j - 1 and v.pair = n.pair and v.d = {2 * t + 1} - i - j
+),
+"""
+    return text + f"""cent{i + 1} as materialized (
+  select s, c.label, step, sensor, coalesce(n.m, c.m) as m from cent{i} c left join (
+    select s, label, i - 1 as step, sensor, sum(weight * x) / sum(weight) as m from (
+      select s, label, i, weight, 'sensor0' as sensor, a0[j] as x from cells{i} join {pairs} using (pair)
+      union all select s, label, i, weight, 'sensor1', a1[j] from cells{i} join {pairs} using (pair)
+    ) group by all
+  ) n using (s, label, step, sensor)
+)"""
+
+
+def _sizes(metric: str) -> None:
+    sql = f"{_fit_sql(metric)} select label, count(*) as n, {r('any_value(w.inertia)', 'inertia')} from every join winner w using (s, i) group by label"
+
+    @query(f"kmeans_{metric}", sql)
+    def run(spark, sf_dir):
+        prepared = clustering.prepare(scaled_series(spark, sf_dir).select("series_id", "series"))
+        model = clustering.fit(prepared, metric, CLUSTERS)
+        return rounded(series.cluster_sizes(model.assign(prepared)).withColumn("inertia", F.lit(model.inertia)), ["inertia"])
+
+
+for _metric in clustering.METHODS:
+    _sizes(_metric)
+
+
 def _assigned(name: str, metric: str, sql: str) -> None:
     @query(name, sql)
     def run(spark, sf_dir):
@@ -387,7 +422,7 @@ def _stepped(name: str, metric: str, sql: str) -> None:
         return rounded(moved.centroid_rows(spark), ["value"])
 
 
-_stepped("dtw_step", "dtw", _moved_sql(_LEAST, _PATH_CELLS, "1"))
+_stepped("dtw_step", "dtw", _moved_sql(_LEAST, _path_sql("back", "won", "walk") + ",\ncells as (select * from back)", "1"))
 _stepped("softdtw_step", "softdtw", _moved_sql(_SOFT, _soft_cells(_SOFT), "weight"))
 
 
@@ -405,7 +440,22 @@ def _clustered(spark, sf_dir) -> clustering.ClusteringRun:
     return clustering.cluster_series(series.scaled_segments(cloud, index, STEPS), CLUSTERS)
 
 
-@query("select_model")
+def _chosen_sql() -> str:
+    """The three fits, and the one with the most labels, at least two; earlier methods win ties."""
+    fits = ",\n".join(
+        f"{m} as materialized (\n{_fit_sql(m)} select '{m}' as method, {n} as place, nr, label from every join winner using (s, i))"
+        for n, m in enumerate(clustering.METHODS)
+    )
+    every = " union all ".join(f"select * from {m}" for m in clustering.METHODS)
+    return f"""with {fits},
+fitted as ({every}),
+chosen as (
+  select method, count(distinct label) as n_labels, count(*) as n_series from fitted group by method, place
+  having count(distinct label) > 1 order by n_labels desc, place limit 1
+)"""
+
+
+@query("select_model", _chosen_sql() + " select method, n_labels, n_series from chosen")
 def select_model(spark, sf_dir):
     run = _clustered(spark, sf_dir)
     return run.labelled.groupBy(F.lit(run.chosen).alias("method")).agg(
@@ -413,13 +463,34 @@ def select_model(spark, sf_dir):
     )
 
 
-@query("clustering_run")
+RUN_SQL = f"""{_chosen_sql()},
+points as materialized (
+  {SCALED_SQL} select nr, step, sensor, v, label, method from flat join fitted using (nr) join chosen using (method)
+),
+gaps as (
+  select a.nr, a.label, b.label as other, sum(pow(a.v - b.v, 2)) as total, count(distinct b.nr) as n
+  from points a join points b using (step, sensor) group by all
+),
+sides as (
+  select nr, max(case when label = other then n end) as size,
+    max(case when label = other and n > 1 then total / (n - 1) end) as a, min(case when label <> other then total / n end) as b
+  from gaps group by nr
+),
+means as (select label, step, sensor, avg(v) as m from points group by all),
+centre as (select step, sensor, avg(v) as c from points group by all),
+sizes as (select label, count(distinct nr) as n from points group by label),
+between_ as (select sum(n * pow(m - c, 2)) as b from means join centre using (step, sensor) join sizes using (label)),
+within_ as (select sum(pow(v - m, 2)) as w from points join means using (label, step, sensor)),
+shape as (select cast(sum(n) as bigint) as n, count(*) as k from sizes)
+select (select {r("avg(case when size = 1 then 0 else (b - a) / greatest(a, b) end)")} from sides) as silhouette_sq,
+  n, k, {r('b / w * (n - k) / (k - 1)', 'calinski_harabasz')}, method
+from shape, between_, within_, chosen"""
+
+
+@query("clustering_run", RUN_SQL)
 def clustering_run(spark, sf_dir):
     """Segments, series, three fits, choice, and both validation scores over all series."""
     run = _clustered(spark, sf_dir)
     points = cut(run.labelled.select(F.col("series_id").alias("id"), F.flatten("series").alias("vec"), "label"))
-    return (
-        scores.silhouette_sq(points)
-        .join(scores.calinski_harabasz(points))
-        .withColumn("method", F.lit(run.chosen))
-    )
+    scored = scores.silhouette_sq(points).join(scores.calinski_harabasz(points)).withColumn("method", F.lit(run.chosen))
+    return rounded(scored, ["silhouette_sq", "calinski_harabasz"])

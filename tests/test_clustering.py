@@ -124,3 +124,60 @@ def test_segment_cap(spark):
     )
     assert [r.seg_id for r in series.segment_cap(index, 5).collect()] == list(range(5))
     assert series.segment_cap(index, 50, cap=7).count() == 7
+
+
+@pytest.mark.parametrize("steps", [1, 2, 9, 20])
+def test_pruned_alignment_finds_the_same_label(steps):
+    rng = np.random.default_rng(steps)
+    centroids, batch = rng.normal(size=(5, steps, 2)).cumsum(axis=1), rng.normal(size=(40, steps, 2)).cumsum(axis=1)
+    centroids[4], batch[0] = centroids[1], centroids[1]  # ties go to the lower label
+    table = np.stack([alignment.dtw_table(alignment.local_cost(c, batch))[:, -1, -1] for c in centroids], axis=1)
+    label, cost, begun = alignment.nearest("dtw", centroids, batch)
+    assert (label == table.argmin(axis=1)).all() and np.allclose(cost, table.min(axis=1))
+    assert begun <= table.size
+    bounds = np.stack([alignment.dtw_bounds(c, batch) for c in centroids], axis=1)
+    assert (bounds <= table).all()
+    given_up = alignment.dtw_costs(centroids[0], batch, np.full(len(batch), table[:, 0].min()))
+    assert np.isinf(given_up[table[:, 0] > given_up.min()]).any() or steps < 8
+    soft = alignment.soft_table(alignment.local_cost(centroids[0], batch), 1.0)[:, -1, -1]
+    assert np.allclose(alignment.costs("softdtw", centroids[0], batch), soft)
+
+
+def test_far_centroids_are_not_aligned(waves):
+    model = clustering.fit(waves, "dtw", 3)
+    assert model.skipped > 0.3
+    assert clustering.fit(waves, "euclidean", 3).skipped == 0
+
+
+def test_descent_never_rises_and_ends_no_higher_than_fixed_steps(waves):
+    first = np.array([[r.series for r in waves.orderBy("series_id").limit(3).collect()]], float)
+    plain = clustering.fit_from(waves, "softdtw", first, 8)
+    model = clustering.descend(waves, "softdtw", first[0], 8)
+    assert all(b <= a for a, b in zip(model.history, model.history[1:]))
+    assert model.inertia <= plain.inertia + 1e-9
+    assert clustering.fit(waves, "softdtw", 3, 4, 1, line_search=True).inertia <= clustering.fit(waves, "softdtw", 3, 4, 1).inertia + 1e-9
+    with pytest.raises(ValueError):
+        clustering.descend(waves, "softdtw", first[0], 2, (0.5,))
+
+
+def test_gradient_of_the_cost(waves):
+    """The direction of a step against differences of the summed cost, with the series' labels held."""
+    first = np.array([r.series for r in waves.orderBy("series_id").limit(1).collect()], float)
+    data = np.array([r.series for r in waves.collect()], float)
+    found = clustering._measure("softdtw", waves, first[None])[0]
+    gradient = 2 * (found.mass[0][:, None] * first[0] - found.sums[0])
+    for step, sensor in ((0, 0), (5, 1), (11, 0)):
+        up, down = first[0].copy(), first[0].copy()
+        up[step, sensor] += 1e-5
+        down[step, sensor] -= 1e-5
+        slope = (alignment.costs("softdtw", up, data).sum() - alignment.costs("softdtw", down, data).sum()) / 2e-5
+        assert gradient[step, sensor] == pytest.approx(slope, rel=1e-4)
+
+
+def test_seeding_with_repeated_series(spark):
+    rows = [(f"s{i}", [[float(i % 2), 0.0]]) for i in range(6)]
+    same = spark.createDataFrame(rows, "series_id string, series array<array<double>>").repartition(3)
+    seeds = clustering._seeds(same, 4, 2, 1)
+    assert seeds.shape == (2, 4, 1, 2)
+    with pytest.raises(ValueError):
+        clustering._seeds(same, 7, 1, 1)
