@@ -241,3 +241,11 @@ def to_part_xyz(centroids: DataFrame, calibrated: DataFrame) -> DataFrame:
     z = F.col("z_center") + F.col("x") * F.tan("alpha_top") + F.col("y") * F.tan("alpha_left")
     placed = {c: F.when(F.col("error").isNull(), v) for c, v in (("x", F.col("x")), ("y", F.col("y")), ("z", z))}
     return turned.select(*ROI, *[v.alias(c) for c, v in placed.items()], "error")
+
+
+def unhandled_marks(marks: DataFrame, name: str = "roi_name", magnification: str = "magnification") -> DataFrame:
+    """Marks that no step of the registration uses, with the reason; all columns stay."""
+    known = F.col(magnification).isin(20, 150, 500)
+    reason = F.when(F.col(name).isNull(), "no name").when(known, "no known name at this magnification").otherwise("unknown magnification")
+    role = roi_role(F.col(name), F.col(magnification))
+    return marks.filter(F.coalesce(role, F.lit("unhandled")) == "unhandled").withColumn("error", F.coalesce(reason, F.lit("unknown magnification")))

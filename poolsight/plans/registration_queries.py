@@ -221,14 +221,27 @@ NAMES_SQL = """names as (
   else 'unhandled' end as role from names""",
 )
 def roi_role(spark, sf_dir):
+    return _names(spark, sf_dir).withColumn("role", scalars.roi_role(F.col("roi_name"), F.col("magnification")))
+
+
+def _names(spark, sf_dir):
     key = F.col("o_orderkey")
     names = F.array(
         F.lit("1mm"), F.lit("1mm.roi"), F.lit("top_left"), F.concat(key.cast("string"), F.lit("-d")),
         F.lit("left_1"), F.lit("middle"), F.lit("note"),
     )
-    marks = fixtures.table(spark, sf_dir, "orders").select(
+    return fixtures.table(spark, sf_dir, "orders").select(
         key,
         F.element_at(F.array(F.lit(20), F.lit(150), F.lit(500)), (key % 3).cast("int") + 1).alias("magnification"),
         F.element_at(names, (key % 7).cast("int") + 1).alias("roi_name"),
     )
-    return marks.withColumn("role", scalars.roi_role(F.col("roi_name"), F.col("magnification")))
+
+
+@query(
+    "roi_rejects",
+    f"""with {NAMES_SQL} select *, 'no known name at this magnification' as error from names
+where magnification = 150 and roi_name <> '1mm' and not contains(roi_name, '-')
+  and not contains(roi_name, 'top') and not contains(roi_name, 'bottom') and not contains(roi_name, 'middle')""",
+)
+def roi_rejects(spark, sf_dir):
+    return reg.unhandled_marks(_names(spark, sf_dir))

@@ -194,6 +194,37 @@ def feat_basic(spark, sf_dir):
     return rounded(out.select(*SIGNAL, *BASIC, "segment_length"), BASIC)
 
 
+#: Signals of sensor0 with a missing, an unordered or an infinite value, and some with two rows only.
+DAMAGED_SQL = """damaged as (
+  select session, layer, seg_id, sensor,
+    case when sensor = 'sensor0' and seg_id % 4 = 0 and pos = 3 then null when sensor = 'sensor0' and seg_id % 4 = 1 and pos = 1 then 'nan'::double
+      when sensor = 'sensor0' and seg_id % 4 = 2 and pos = 0 then 'infinity'::double else v end as v
+  from signal where seg_id % 7 > 0 or pos < 2
+)"""
+
+
+@query(
+    "input_checks",
+    segments_sql()
+    + f""", {DAMAGED_SQL} select {SIGNAL_SQL}, count(*) as segment_length, bad as bad_signal,
+  {r('case when not bad then avg(case when not bad then v end) end', 'mean')}
+from damaged join (
+  select {SIGNAL_SQL}, count(*) <= 2 or bool_or(v is null or isnan(v) or isinf(v)) as bad from damaged group by {SIGNAL_SQL}
+) using ({SIGNAL_SQL}) group by {SIGNAL_SQL}, bad""",
+)
+def input_checks(spark, sf_dir):
+    seg, pos = F.col("seg_id"), F.col("pos")
+    broken = (
+        F.when((seg % 4 == 0) & (pos == 3), None)
+        .when((seg % 4 == 1) & (pos == 1), float("nan"))
+        .when((seg % 4 == 2) & (pos == 0), float("inf"))
+        .otherwise(F.col("sensor0"))
+    )
+    rows = rows_of(spark, sf_dir).withColumn("sensor0", broken).filter((seg % 7 > 0) | (pos < 2))
+    out = features.features(rows, autocov=False, fit_grid=None)
+    return rounded(out.select(*SIGNAL, "segment_length", "bad_signal", "mean"), ["mean"])
+
+
 @query(
     "feat_autocov",
     segments_sql() + f", {LAGS_SQL} select {SIGNAL_SQL}, {AUTOCOV_SQL} from lagged group by {SIGNAL_SQL}",

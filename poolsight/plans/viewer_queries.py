@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from poolsight.functions import scalars
-from poolsight.operators import batches, ordered, viewer
+from poolsight.operators import batches, ordered, sketches, viewer
 from poolsight.plans.fixtures import PC_SQL, point_cloud, table
 from poolsight.plans.registry import query, r, rounded
 from poolsight.schema import MEASURES, STATES
-from poolsight.session import scratch_path
+from poolsight.session import cut, scratch_path
 from poolsight.sources import pcd, sections, tables
 
 LABEL_SQL = """case when rows >= 1000000000000 then cast(rows // 1000000000000 as varchar) || 'T'
@@ -145,6 +145,43 @@ def n_unique_all(spark, sf_dir):
     return viewer.n_unique_all(point_cloud(spark, sf_dir), COUNTED, ["session", "layer"])
 
 
+@query(
+    "n_unique_approx",
+    f"with {PC_SQL} select session, "
+    + ", ".join(f"count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as n_{c}, true as close_{c}" for c in COUNTED)
+    + " from pc group by session",
+)
+def n_unique_approx(spark, sf_dir):
+    """Exact counts per session, and whether those merged from the sketches of layers are within the bound."""
+    cloud = point_cloud(spark, sf_dir)
+    merged = sketches.n_unique_approx(cut(sketches.layer_sketches(cloud, COUNTED)), COUNTED)
+    exact = viewer.n_unique_all(cloud, COUNTED, ["session"])
+    both = exact.join(merged.withColumnsRenamed({f"n_{c}": f"_{c}" for c in COUNTED}), "session")
+    near = [(F.abs(F.col(f"_{c}") - F.col(f"n_{c}")) <= F.col(f"n_{c}") * sketches.DISTINCT_ERROR).alias(f"close_{c}") for c in COUNTED]
+    return both.select("session", *[f"n_{c}" for c in COUNTED], *near)
+
+
+@query(
+    "quartiles_approx",
+    f"with {PC_SQL} select session, count(*) as n_rows, " + ", ".join(f"true as close_{c}" for c in MEASURES) + " from pc group by session",
+)
+def quartiles_approx(spark, sf_dir):
+    """Whether the ranks of both merged quartiles of every measure are within the bound, per session."""
+    cloud = point_cloud(spark, sf_dir)
+    stored = cut(sketches.layer_sketches(cloud, quantiles=MEASURES))
+    found = cloud
+    checks = [F.count("*").alias("n_rows")]
+    for c in MEASURES:
+        bounds = sketches.quantiles_approx(stored, c, {f"_{c}_1": 0.25, f"_{c}_3": 0.75})
+        found = found.join(F.broadcast(bounds), "session")  # one row per session of the fixture
+        close = F.lit(True)
+        for name, q in ((f"_{c}_1", 0.25), (f"_{c}_3", 0.75)):
+            below, upto = F.avg((F.col(c) < F.col(name)).cast("double")), F.avg((F.col(c) <= F.col(name)).cast("double"))
+            close &= (below <= q + sketches.RANK_ERROR) & (upto >= q - sketches.RANK_ERROR)
+        checks.append(close.alias(f"close_{c}"))
+    return found.groupBy("session").agg(*checks)
+
+
 @query(
     "unique_layers",
     f"with {PC_SQL} select session, count(*) as n_rows, count(distinct layer) as n_layers from pc group by session",

@@ -32,12 +32,46 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", (F.col("start") + F.col("at") - F.min("at").over(split)).alias("line"), "value")
 
 
+def whole_records(lines: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """Lines with quoted cells that hold line breaks put together, as (file, line, value) of each record's first line.
+
+    A line starts a record if the quotes before it in its file are even in number. Only files in which a
+    line leaves a quote open are looked at more closely. A file whose quotes are odd in all cannot be
+    put together; it stays as it is and is listed by `unbalanced_files`.
+    """
+    counted = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    files = _quotes(counted)
+    marked = join_summary(counted, files, ["file"], ["line"])
+    plain = marked.filter(~F.col("_joins")).select("file", "line", "value")
+    blocked = marked.filter("_joins").select("file", "line", "value", "_quotes", ordered.block_of("line", block_rows).alias("_blk"))
+    summed = ordered.running_sum(blocked, ["file"], "line", F.col("_quotes"), "_until", "_blk")
+    first = F.when((F.col("_until") - F.col("_quotes")) % 2 == 0, 1).otherwise(0)
+    numbered = ordered.running_sum(summed, ["file"], "line", first, "_record", "_blk")
+    joined = numbered.groupBy("file", "_record").agg(
+        F.min("line").alias("line"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("line", "value")))["value"], "\n").alias("value"),
+    )
+    return plain.unionByName(joined.drop("_record"))
+
+
+def unbalanced_files(lines: DataFrame) -> DataFrame:
+    """(file, quotes) of files whose number of quotes is odd."""
+    counted = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    return _quotes(counted).filter("quotes % 2 = 1").select("file", "quotes")
+
+
+def _quotes(counted: DataFrame) -> DataFrame:
+    odd = F.col("_quotes") % 2 == 1
+    total = counted.groupBy("file").agg(F.sum("_quotes").alias("quotes"), F.max(odd).alias("_open"))
+    return total.withColumn("_joins", F.col("_open") & (F.col("quotes") % 2 == 0))
+
+
 def section_pixels(lines: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Pixels (file, row, col, value) of the wanted section.
 
     The section runs from its first heading to the first heading of another channel, which
     ends the file wherever it stands. Cells that are not all digits are dropped, and rows and
-    columns numbered anew. A number beyond 32 bits keeps its place with a null value; see
+    columns numbered anew. Cells with line breaks need `whole_records` first. A number beyond 32 bits keeps its place with a null value; see
     `section_rejects`.
     """
     rows = _section_cells(lines).select(

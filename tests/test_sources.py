@@ -361,3 +361,17 @@ def test_csv_round_trip(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "out"))
     back = tables.read_csv(spark, str(tmp_path / "out"), df.schema)
     assert sorted(back.collect(), key=lambda r: r.i) == sorted(df.collect(), key=lambda r: r.i)
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Monochrome (R)\n1,"a\n2",3\n"4",5\n"x\n\ny ""q"" 7\n",8\n')
+    (tmp_path / "b.csv").write_text("Monochrome (R)\n1,2\n3\n")
+    (tmp_path / "c.csv").write_text('Monochrome (R)\n1,"2\n3\n')
+    lines = sections.read_lines(spark, str(tmp_path))
+    found = {}
+    for r in sections.section_pixels(sections.whole_records(lines, block_rows=5)).collect():
+        found.setdefault(r.file.split("/")[-1], {}).setdefault(r.row, {})[r.col] = r.value
+    rows = lambda name: [[row[c] for c in sorted(row)] for _, row in sorted(found[name].items())]
+    assert rows("a.csv") == [[1, 3], [4, 5], [8]] and rows("b.csv") == [[1, 2], [3]]
+    assert [(r.file.split("/")[-1], r.quotes) for r in sections.unbalanced_files(lines).collect()] == [("c.csv", 1)]
+    assert sections.whole_records(lines).filter("file like '%c.csv'").count() == 3

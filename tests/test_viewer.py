@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolsight.functions import scalars
-from poolsight.operators import viewer
+from poolsight.operators import sketches, viewer
 
 
 def test_sampling_starts_at_twice_the_budget(spark):
@@ -84,3 +84,25 @@ def test_infinite_coordinates_take_no_part(spark):
     rows = [("s", float(i), float(i)) for i in range(4)] + [("s", float("inf"), 0.0), ("s", 1.0, float("nan"))]
     cloud = spark.createDataFrame(rows, "session string, x double, y double")
     assert sorted((r.bx, r.by, r.n) for r in viewer.density_grid(cloud, bins=4).collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1)]
+
+
+def test_sketches_merge_to_the_stated_bounds(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", "c", "j", None, 30 * (1 + i % 5), float(v), None if i % 3 else "x") for i, v in enumerate(rng.normal(size=6000))]
+    rows += [("t", "c", "j", None, 30, float("nan"), None), ("t", "c", "j", None, 30, None, None)]
+    df = spark.createDataFrame(rows, "session string, config string, job string, subfolder int, layer int, v double, w string")
+    stored = sketches.layer_sketches(df, ["v", "w", "layer"], ["v"])
+    assert stored.count() == 6
+    counts = {r.session: r for r in sketches.n_unique_approx(stored, ["v", "w", "layer"]).collect()}
+    assert counts["s"].n_v == pytest.approx(6000, rel=sketches.DISTINCT_ERROR)
+    assert (counts["s"].n_w, counts["s"].n_layer) == (2, 5)
+    assert (counts["t"].n_v, counts["t"].n_w) == (2, 1)
+    found = {r.session: r for r in sketches.quantiles_approx(stored, "v", {"q1": 0.25, "m": 0.5}).collect()}
+    values = np.array([r[5] for r in rows[:6000]])
+    assert abs((values <= found["s"].q1).mean() - 0.25) <= sketches.RANK_ERROR
+    assert abs((values <= found["s"].m).mean() - 0.5) <= sketches.RANK_ERROR
+    assert found["t"].q1 is None
+    kept = sketches.iqr_filter_approx(df.filter("session = 's'"), stored, "v", reach=0.2).count()
+    exact = viewer.iqr_filter(df.filter("session = 's'"), "v", reach=0.2).count()
+    assert abs(kept - exact) <= 0.06 * 6000
+    assert sketches.n_unique_approx(sketches.layer_sketches(df.limit(0), ["v"]), ["v"]).count() == 0
