@@ -30,6 +30,28 @@ _TYPES = {
 }
 
 
+#: Keywords that are checked, and those that say nothing about a value.
+CHECKED = frozenset("type enum minimum maximum required properties additionalProperties items".split())
+NOTES = frozenset("$schema $id $comment title description default examples".split())
+
+
+def check_schema(schema: Mapping, at: str = "$") -> None:
+    """ValueError for a schema with unknown types or keywords that `schema_errors` would pass over."""
+    other = sorted(set(schema) - CHECKED - NOTES)
+    if other:
+        raise ValueError(f"{at}: keywords that are not checked: {', '.join(other)}")
+    wanted = schema.get("type", [])
+    for kind in [wanted] if isinstance(wanted, str) else wanted:
+        if kind not in _TYPES:
+            raise ValueError(f"{at}: there is no type {kind!r}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    for name, inner in schema.get("properties", {}).items():
+        check_schema(inner, f"{at}.{name}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def schema_errors(value: object, schema: Mapping, at: str = "$") -> list[str]:
     """What is wrong with a parsed value: type, enum, minimum, maximum, required, properties, additionalProperties, items."""
     wanted = schema.get("type")
@@ -80,7 +102,7 @@ def check_call(name: str | None, arguments: str | None, result: str | None, call
     errors: list[str] = []
     try:
         value = json.loads(arguments if arguments is not None else "", parse_constant=_only_json)
-        canonical(value)
+        canonical(value).encode()  # escapes may stand for half a character, which no UTF-8 text holds
     except (ValueError, RecursionError):
         value, errors = arguments, ["$: not JSON"]
     else:
@@ -133,8 +155,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     there counts as none. Of repeated calls the first by turn, name and arguments stays, of repeated
     results the smallest text; results without a call are left out. Rows without conv_id or call_id
     cannot be linked and are left out too. status is the first that holds of: cycle, invalid (errors
-    tells why), pending (no result), done.
+    tells why), pending (no result), done. Arguments of any length are checked whole; text that is not
+    JSON, or that no UTF-8 text can hold, is invalid and passed on as it is. Empty tables give no
+    rows, other columns are ignored. Schemas may use the keywords of `CHECKED` and `NOTES`; others, and
+    unknown types, are refused before anything runs.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     first = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments")
     unique = (
         calls.select("conv_id", F.col("call_id").cast("string"), F.col("parent_id").cast("string"), F.col("turn").cast("long"), "name", "arguments")

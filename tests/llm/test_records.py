@@ -101,3 +101,24 @@ def test_long_chain_and_nothing(spark):
 )
 def test_schema_errors(value, schema, errors):
     assert tool_calls.schema_errors(value, schema) == errors
+
+
+def test_text_that_utf8_cannot_hold_and_long_arguments(spark):
+    calls = [
+        (1, "a", None, 0, "tool", '{"a":"\\ud800"}', 7),
+        (1, "b", None, 0, "tool", '{"a":"' + "x" * 200_000 + '"}', 7),
+        (1, "c", None, 0, "tool", '{"\\udfff":1}', 7),
+    ]
+    table = spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, turn int, name string, arguments string, depth int")
+    results = spark.createDataFrame([], "conv_id long, call_id string, result string")
+    got = {r.call_id: r for r in tool_calls.link_calls(table, results, {"tool": {"type": "object"}}).collect()}
+    assert [got[c].status for c in "abc"] == ["invalid", "pending", "invalid"]
+    assert got["a"].errors == ["$: not JSON"] and len(got["b"].message) > 200_000
+    assert tool_calls.link_calls(table.limit(0), results, {}).count() == 0
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"pattern": "a"}, {"properties": {"a": {"type": "int"}}}, {"items": {"oneOf": []}}, {"additionalProperties": {}}])
+def test_schemas_that_cannot_be_checked(spark, schema):
+    empty = spark.createDataFrame([], "conv_id long, call_id string, parent_id string, turn int, name string, arguments string")
+    with pytest.raises(ValueError):
+        tool_calls.link_calls(empty, spark.createDataFrame([], "conv_id long, call_id string, result string"), {"t": schema})

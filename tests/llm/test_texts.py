@@ -1,11 +1,13 @@
 """Line dedup, mixing, packing, token files and the classifier on awkward rows."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -164,6 +166,60 @@ def test_quality_awkward(spark):
     assert quality_rules.fit(empty(spark), labels).weights == ()
 
 
+def brute_statistics(text):
+    t = text or ""
+    n, lines = float(len(t)), t.split("\n")
+    words, chars = max(float(len(regex.findall(r"[^ \t\n\x0b\f\r]+", t))), 1.0), max(n, 1.0)
+    count = lambda pattern: float(len(regex.findall(pattern, t)))
+    return {
+        "log_chars": math.log1p(n), "word_length": chars / words, "capitals": count(r"\p{Lu}") / chars,
+        "capital_words": count(r"\b\p{Lu}{2,}\b") / words, "digits": count("[0-9]") / chars, "marks": count("[!?]") / words,
+        "stops": count("[.,;:]") / words, "symbols": count("[#$%&*+=~^@_]") / words, "bars": count(r"[|<>{}()\[\]/\\]") / words,
+        "short_words": count(r"\b\p{L}{1,3}\b") / words, "long_words": count(r"\p{L}{13,}") / words,
+        "links": count(r"https?:|www\.|[A-Za-z0-9_]@[A-Za-z0-9_]") / words, "line_words": words / len(lines),
+        "distinct_words": len(set(regex.split(r"[ \t\n\x0b\f\r]+", t))) / words, "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_quality_query_matches_brute_force(spark):
+    """Statistics, rules and scores of the whole query against plain Python, rule by rule."""
+    from poolsight.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_rules.fit(docs, labels)
+    assert len(model.weights) > 3
+    extra = awkward(spark).select("doc_id", "text")
+    numbers = docs.select("doc_id", "text").unionByName(extra).select("text", quality_rules.statistics(F.col("text")).alias("s")).collect()
+    for r in numbers:
+        want = brute_statistics(r.text)
+        assert r.s.asDict() == pytest.approx(want, rel=1e-12), r.text
+    got = {r.doc_id: r for r in QUERIES["op2_quality_rules"](spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        s, total = brute_statistics(r.text), model.intercept
+        for rule, weight in model.weights:
+            if all((low is None or s[n] > low) and (high is None or s[n] <= high) for n, low, high in rule.bounds):
+                total += weight
+        score = 1 / (1 + math.exp(-total))
+        assert got[r.doc_id].score == pytest.approx(score, rel=1e-9)
+        assert got[r.doc_id].predicted == int(score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole, encode = Tokenizer.from_file(path), encoder(path)
+    assert encode.by_chunks == (name == "word_bpe_49k.json")
+    for text in ("a b", "  Two  words\n", "", "Ünï ½ çödé 12 日本", "don't stop"):
+        assert np.frombuffer(encode.encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_tree_rules():
     text = """Model
   Tree 0 (weight 1.0):
