@@ -5,7 +5,8 @@ version: +1 document and +n tokens, or -1 and -n) and one totals part per batch.
 what its documents count so far in the ledger, takes that back, adds the new counts, and writes its
 entries; then the totals of the last batch plus the entries' sums by source, language and version.
 The totals part's success marker is the commit: a batch that has it is not applied again, one that
-lost it half-way is overwritten. Sums are combined before the shuffle, so a group that holds a third
+lost it half-way is overwritten. Ledger parts are split into buckets by a hash of the document, and a
+batch reads the buckets of its own documents only. Sums are combined before the shuffle, so a group that holds a third
 of all rows stays cheap.
 """
 
@@ -13,16 +14,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from poolsight.session import cut
+
 ENTRY = "doc_id long, version string, source string, lang string, documents long, tokens long"
 TOTAL = "source string, lang string, version string, documents long, tokens long"
 GROUP = ["source", "lang", "version"]
+#: Buckets of a ledger by default, and tasks that share a bucket in writing.
+BUCKETS, WRITERS = 32, 4
 
 
 class RollupStore:
     """One writer at a time; batches are applied in the order of the calls."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        """A store keeps the number of buckets it was made with; others of the same path are refused."""
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        other = [n for n in self._names(self.path) if n.startswith("entries-") and n != f"entries-{buckets}"]
+        if other:
+            raise ValueError(f"this store was made with {other[0].removeprefix('entries-')} buckets")
+
+    def _names(self, folder: str) -> list[str]:
+        top = self._file(folder)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
 
     def _file(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -33,12 +47,7 @@ class RollupStore:
 
     def committed(self) -> list[tuple[int, str]]:
         """(number, batch_id) of the committed batches, in order."""
-        top = self._file(f"{self.path}/totals")
-        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(top):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(top)]
-        done = [n for n in names if self._exists(f"{self.path}/totals/{n}/_SUCCESS")]
+        done = [n for n in self._names(f"{self.path}/totals") if self._exists(f"{self.path}/totals/{n}/_SUCCESS")]
         return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in done)
 
     def _read(self, kind: str, schema: str, parts: list[tuple[int, str]]) -> DataFrame:
@@ -46,8 +55,13 @@ class RollupStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n:09d}-{b}" for n, b in parts])
 
-    def entries(self) -> DataFrame:
-        return self._read("entries", ENTRY, self.committed())
+    def entries(self, buckets: list[int] | None = None) -> DataFrame:
+        """The signed entries of all committed batches, or of some buckets of theirs."""
+        found = self._read(f"entries-{self.buckets}", f"{ENTRY}, bucket int", self.committed())
+        return (found if buckets is None else found.filter(F.col("bucket").isin(buckets))).drop("bucket")
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens; groups without documents are absent."""
@@ -60,7 +74,8 @@ class RollupStore:
         A row sets the count of a document under a tokenizer version, or removes it. Of several rows
         for one document and version the one with the largest seq counts (then the largest count).
         Removing what is not there changes nothing. A null count is 0, null sources and languages are
-        groups of their own; rows without doc_id or version name no document and are ignored.
+        groups of their own; rows without doc_id or version name no document and are ignored, and so
+        are other columns, also one named `bucket`. An empty batch is committed and changes nothing.
         """
         done = self.committed()
         if batch_id in {b for _, b in done}:
@@ -77,7 +92,7 @@ class RollupStore:
             F.col("source").cast("string").alias("source"),
             F.col("lang").cast("string").alias("lang"),
         )
-        last = (
+        last = cut(
             changes.select(F.col("doc_id").cast("long"), F.col("version").cast("string"), row.alias("row"))
             .dropna(subset=["doc_id", "version"])
             .groupBy("doc_id", "version")
@@ -88,15 +103,18 @@ class RollupStore:
         added = last.filter("stays").select("doc_id", "version", "source", "lang", F.lit(1).cast("long").alias("documents"), "tokens")
         signed = added
         if done:
-            before = self.entries().join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+            touched = [r.bucket for r in last.select(self.bucket().alias("bucket")).distinct().collect()]  # as many as buckets at most
+            before = self.entries(touched if len(touched) < self.buckets else None).join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
             signed = added.union(before.select(*columns[:4], (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
         entries = (
             signed.groupBy(*columns[:4])
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
             .filter("documents <> 0 or tokens <> 0")
         )
-        entries.write.mode("overwrite").parquet(f"{self.path}/entries/{part}")
-        written = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{part}")
+        folder = f"{self.path}/entries-{self.buckets}/{part}"
+        dealt = entries.withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(WRITERS)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        written = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(folder)
         sums = [F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")]
         delta = written.groupBy(*GROUP).agg(*sums)
         after = delta.union(self.totals()).groupBy(*GROUP).agg(*sums).filter("documents <> 0 or tokens <> 0")

@@ -38,6 +38,20 @@ def test_half_written_batch_is_done_again(spark, tmp_path):
     assert store.apply("one", rows) and totals(store) == [("a", "en", "v", 1, 5)]
 
 
+def test_a_small_batch_reads_its_buckets_only(spark):
+    store = token_rollups.RollupStore(spark, scratch_path(spark, "rollups"), buckets=8)
+    rows = [(i, "v", "a", "en", i, False, 1, "x") for i in range(200)]
+    store.apply("load", spark.createDataFrame(rows, CHANGE + ", bucket string"))
+    assert len(store.entries([3]).inputFiles()) >= 1
+    assert store.entries([3]).count() == sum(1 for r in store.entries().select(store.bucket().alias("b")).collect() if r.b == 3)
+    plan = store.entries([3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    store.apply("one", spark.createDataFrame([(7, "v", "b", "en", 1000, False, 1), (8, "v", "a", "en", 0, True, 1)], CHANGE))
+    assert totals(store) == [("a", "en", "v", 198, sum(range(200)) - 15), ("b", "en", "v", 1, 1000)]
+    with pytest.raises(ValueError):
+        token_rollups.RollupStore(spark, store.path, buckets=16)
+
+
 SCHEMAS = {"f": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}, "required": ["n"], "additionalProperties": False}}
 CALL = "conv_id long, call_id string, parent_id string, turn long, name string, arguments string, depth string"
 
