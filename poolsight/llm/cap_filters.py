@@ -109,35 +109,52 @@ def linked_parts(linked: np.ndarray) -> np.ndarray:
 def _meet(width: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (here, a, b), rows in key_runs(batches, 3):
-            tile, node, copies = (rows.column(i).to_numpy() for i in (3, 4, 5))
-            order = np.argsort(node, kind="stable")
+            if rows.num_rows < 2:
+                continue
             unit = _unit(dense(rows.column(6), width, np.float64))
-            lists = rows.column(7).combine_chunks()
-            owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-            number = lists.flatten().to_numpy()
-            owner, number = owner[number < here], number[number < here]
-            names, at, count = np.unique(number, return_inverse=True, return_counts=True)
-            shared = np.flatnonzero(count > 1)
-            place = np.full(len(names), -1)
-            place[shared] = np.arange(len(shared))
-            member = np.zeros((len(node), len(shared)), np.float32)
-            member[owner[place[at] >= 0], place[at][place[at] >= 0]] = 1
             linked = unit @ unit.T >= cosine
-            linked &= member @ member.T == 0
+            np.fill_diagonal(linked, False)
             if a != b:
+                tile = rows.column(3).to_numpy()
                 linked &= tile[:, None] != tile[None, :]
-            np.fill_diagonal(linked, False)
+            # most filters hold no link: only vectors with one go on
+            some = np.flatnonzero(linked.any(axis=1))
+            if not len(some):
+                continue
+            linked = linked[np.ix_(some, some)] & ~_shared_before(rows.column(7).take(pa.array(some)), here)
+            node, copies = (rows.column(i).to_numpy()[some] for i in (4, 5))
+            order = np.argsort(node, kind="stable")
             links = linked @ copies
             linked, named, links = linked[np.ix_(order, order)], node[order], links[order]
-            some = links > 0
-            if some.any():
+            kept = links > 0
+            if kept.any():
                 root = named[linked_parts(linked)]
-                columns = [named[some], links[some], root[some]]
+                columns = [named[kept], links[kept], root[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "root"])
 
     return run
 
 
+def _shared_before(column: pa.ChunkedArray, here: int) -> np.ndarray:
+    """Whether two vectors share a filter below `here`, where they have met already."""
+    lists = column.combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    number = lists.flatten().to_numpy()
+    owner, number = owner[number < here], number[number < here]
+    names, at, count = np.unique(number, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(names), -1)
+    place[shared] = np.arange(len(shared))
+    owner, at = owner[place[at] >= 0], place[at][place[at] >= 0]
+    out = np.zeros((len(lists), len(lists)), bool)
+    for begin in range(0, len(shared), 4096):  # bounded columns at a time
+        part = (at >= begin) & (at < begin + 4096)
+        member = np.zeros((len(lists), min(4096, len(shared) - begin)), np.float32)
+        member[owner[part], at[part] - begin] = 1
+        out |= member @ member.T > 0
+    return out
+
+
 def near_vectors(
     vectors: DataFrame,
     cosine: float = COSINE,
@@ -151,7 +168,8 @@ def near_vectors(
     Pairs count as linked if found and their cosine, in double precision, reaches `cosine`; none
     below it is ever linked. Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, and so do rows without vec_id (component_id null, kept). A shorter vector
-    counts as padded with zeros. Rows that repeat a vec_id are separate vectors of that id.
+    counts as padded with zeros. Rows that repeat a vec_id are separate vectors of that id. An empty
+    table gives no rows, and vectors of any length are compared whole.
     """
     e = F.col("embedding")
     good = usable(e) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
