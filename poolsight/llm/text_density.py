@@ -75,7 +75,7 @@ class Page:
     """Elements in page order (parents first); text as pieces between breaks."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.hidden, self.headers = ["html"], [-1], [False], [False]
+        self.tags, self.parents, self.hidden, self.called = ["html"], [-1], [False], [""]
         #: (element, text) in page order; None for the border of a block.
         self.texts: list[tuple[int, str | None]] = []
         self._read(html)
@@ -172,9 +172,9 @@ class Page:
         element = len(self.tags)
         self.tags.append(name)
         self.parents.append(parent)
-        named, header = _outside(name, attributes)
-        self.hidden.append(self.hidden[parent] or named)
-        self.headers.append(header)
+        outside, called = _outside(name, attributes)
+        self.hidden.append(self.hidden[parent] or outside)
+        self.called.append(called)
         if len(stack) >= DEEPEST:
             self._pop(stack, opened)
         stack.append(element)
@@ -190,25 +190,26 @@ class Page:
         self._pop(stack, opened)
 
 
-def _outside(name: str, attributes: str) -> tuple[bool, bool]:
-    """(whether an element holds no main text, whether it is a header or named like a part that may wrap the main text)."""
+def _outside(name: str, attributes: str) -> tuple[bool, str]:
+    """(whether an element holds no main text, "header" or "named" if it may hold none by what it is called)."""
     if name in NO_TEXT:
-        return True, False
+        return True, ""
     if name == "header":
-        return False, True
+        return False, "header"
     if not attributes.strip(" /") or name == "body":
-        return False, False
+        return False, ""
     values = {}
     for key, double, single, bare in _ATTRIBUTE.findall(attributes):
         values.setdefault(key.lower(), unescape(double or single or bare))
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
-        return True, False
+        return True, ""
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
-        return True, False
+        return True, ""
     if values.get("role", "").lower() in NO_TEXT_ROLES:
-        return True, False
+        return True, ""
     words = {w.lower() for w in _WORD.findall(values.get("class", "") + " " + values.get("id", ""))}
-    return False, bool(words & NO_TEXT_WORDS)
+    found = words & NO_TEXT_WORDS
+    return False, "header" if found == {"header"} else "named" if found else ""
 
 
 def main_text(html: str | None) -> str:
@@ -228,12 +229,12 @@ def main_text(html: str | None) -> str:
         in_main[i] = in_main[parents[i]] or page.tags[i] in MAIN
     hidden = page.hidden
     for i in range(n - 1, 0, -1):
-        if holds_main[i] or (page.tags[i] in MAIN and not hidden[i] and not page.headers[i]):
+        if holds_main[i] or (page.tags[i] in MAIN and not hidden[i] and not page.called[i]):
             holds_main[parents[i]] = True
     for i in range(1, n):
         # a header inside the main text carries its title; a named part around the main text is a wrapper
-        named = page.headers[i] and not holds_main[i] and not (page.tags[i] == "header" and in_main[i])
-        hidden[i] = hidden[i] or hidden[parents[i]] or named
+        named = page.called[i] and not holds_main[i] and not (page.called[i] == "header" and in_main[i])
+        hidden[i] = bool(hidden[i] or hidden[parents[i]] or named)
     chars, linked, tags, link_tags = _counts(page, hidden)
     share = max(linked[0], 1) / max(chars[0], 1)
     density = [_density(*x, share) for x in zip(chars, linked, tags, link_tags)]

@@ -51,6 +51,8 @@ def test_sections_beside_the_core_belong_to_it():
         ("<p>1 < 2 &lt; 3 &amp &am &#233;&eacute;", "1 < 2 < 3 & &am éé"),
         ("</p></div>stray<p", "stray"),
         ("<nav>menu</nav>", ""),
+        ("<article><header><h1>T</h1></header><div class='post-header'>by</div><div class='comments-header'>c</div><p>x</article>", "T\nby\nx"),
+        ("<div class='content-sidebar-wrap'><main><p>x</main><div class=sidebar>s</div></div>", "x"),
         ("<p>日本<p>é", "日本\né"),
         ("<script>a<p>b</script><style>p{}</style>", ""),
     ],
