@@ -50,22 +50,27 @@ class RollupStore:
         done = [n for n in self._names(f"{self.path}/totals") if self._exists(f"{self.path}/totals/{n}/_SUCCESS")]
         return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in done)
 
-    def _read(self, kind: str, schema: str, parts: list[tuple[int, str]]) -> DataFrame:
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n:09d}-{b}" for n, b in parts])
-
     def entries(self, buckets: list[int] | None = None) -> DataFrame:
         """The signed entries of all committed batches, or of some buckets of theirs."""
-        found = self._read(f"entries-{self.buckets}", f"{ENTRY}, bucket int", self.committed())
-        return (found if buckets is None else found.filter(F.col("bucket").isin(buckets))).drop("bucket")
+        parts = [f"{self._ledger()}/part={n:09d}-{b}" for n, b in self.committed()]
+        if not parts:
+            return self.spark.createDataFrame([], ENTRY)
+        reader = self.spark.read.schema(f"{ENTRY}, part string, bucket int").option("basePath", self._ledger())
+        found = reader.parquet(*parts)
+        return (found if buckets is None else found.filter(F.col("bucket").isin(buckets))).drop("part", "bucket")
+
+    def _ledger(self) -> str:
+        return f"{self.path}/entries-{self.buckets}"
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens; groups without documents are absent."""
-        return self._read("totals", TOTAL, self.committed()[-1:])
+        last = self.committed()[-1:]
+        if not last:
+            return self.spark.createDataFrame([], TOTAL)
+        return self.spark.read.schema(TOTAL).parquet(f"{self.path}/totals/{last[0][0]:09d}-{last[0][1]}")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was committed before.
@@ -111,7 +116,7 @@ class RollupStore:
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
             .filter("documents <> 0 or tokens <> 0")
         )
-        folder = f"{self.path}/entries-{self.buckets}/{part}"
+        folder = f"{self._ledger()}/part={part}"
         dealt = entries.withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(WRITERS)))
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = self.spark.read.schema(f"{ENTRY}, bucket int").parquet(folder)
