@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poolsight.functions import alignment
+from poolsight.operators.joins import join_row
 from poolsight.session import cut
 
 SEED = 42
@@ -360,8 +361,7 @@ def assign_euclidean(points: DataFrame, centroids: DataFrame) -> DataFrame:
     squared = lambda c: F.aggregate(
         F.zip_with("vec", c["vec"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v
     )
-    # one row of k centres
-    ranked = points.join(F.broadcast(packed)).select(
+    ranked = join_row(points, packed).select(
         "id",
         F.array_min(
             F.transform("centres", lambda c: F.struct(F.round(squared(c), 9).alias("cost"), c["label"].alias("label")))

@@ -87,3 +87,14 @@ def join_skewed(
     )
     right = join_on(other, hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     return join_on(left.drop("_slices"), right.drop("_slices"), [*keys, "_slice"]).drop("_slice")
+
+
+def join_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a table of one row beside every row.
+
+    The row is written first, so its size is known; it is broadcast only within the session's limit, and
+    streamed to the tasks beyond it.
+    """
+    stored = cut(one)
+    small = stored_bytes(stored) <= broadcast_limit(rows)
+    return rows.crossJoin(F.broadcast(stored) if small else stored.hint("shuffle_replicate_nl"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from poolsight.operators.joins import join_row
+
 TILE_ROWS = 1024
 
 
@@ -66,8 +67,7 @@ def silhouette_sq(points: DataFrame) -> DataFrame:
         F.col("label").alias("other"), F.col("n"), F.col("mean"), (F.col("within") / F.col("n")).alias("spread")
     )
     packed = clusters.agg(F.collect_list(F.struct("other", "n", "mean", "spread")).alias("clusters"))
-    # one row holding k centres: k is a parameter of the clustering, not of the data
-    joined = points.join(F.broadcast(packed))
+    joined = join_row(points, packed)
     gap = lambda c: F.aggregate(
         F.zip_with("vec", c["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v
     )
@@ -84,8 +84,8 @@ def silhouette_sq(points: DataFrame) -> DataFrame:
     return scored.select(own["n"].alias("n"), a.alias("a"), b.alias("b")).agg(F.avg(value).alias("silhouette_sq"))
 
 
-def silhouette(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Exact mean silhouette under Euclidean distance.
+def quadratic_silhouette(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Exact mean silhouette under Euclidean distance, in work that grows with the square of the points.
 
     Every distance has to be looked at, but no pair becomes a row: points are dealt into
     tiles of about `tile_rows`, one task handles one pair of tiles, and emits one distance sum

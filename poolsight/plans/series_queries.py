@@ -130,7 +130,7 @@ DISTANCE_SQL = "list_distance(a.embedding::double[], b.embedding::double[])"
 
 @query("silhouette_exact", _silhouette_sql(DISTANCE_SQL, "silhouette"))
 def silhouette_exact(spark, sf_dir):
-    return rounded(scores.silhouette(vectors(spark, sf_dir)), ["silhouette"])
+    return rounded(scores.quadratic_silhouette(vectors(spark, sf_dir)), ["silhouette"])
 
 
 @query("silhouette_sq", _silhouette_sql(f"pow({DISTANCE_SQL}, 2)", "silhouette_sq"))

@@ -94,11 +94,11 @@ def test_scores_golden_and_tiled(spark):
         [(0, [0.0], 0), (1, [1.0], 0), (2, [10.0], 1), (3, [12.0], 1)], "id long, vec array<double>, label int"
     )
     for tile_rows in (1, 2, 100):
-        assert scores.silhouette(points, tile_rows).first().silhouette == pytest.approx(0.856163, abs=1e-6)
+        assert scores.quadratic_silhouette(points, tile_rows).first().silhouette == pytest.approx(0.856163, abs=1e-6)
     assert scores.calinski_harabasz(points).first().calinski_harabasz == pytest.approx(88.2)
     lone = points.unionByName(spark.createDataFrame([(4, [50.0], 2)], points.schema))
     # a cluster of one scores 0
-    assert scores.silhouette(lone).first().silhouette == pytest.approx(0.856163 * 4 / 5, abs=1e-6)
+    assert scores.quadratic_silhouette(lone).first().silhouette == pytest.approx(0.856163 * 4 / 5, abs=1e-6)
 
 
 def test_pad_zscore_and_samples(spark):
