@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolsight.llm.components import connected
 from poolsight.llm.maxscore import usable
-from poolsight.llm.runs import dense, key_runs
+from poolsight.llm.runs import dense, whole_runs
 from poolsight.session import cut
 
 COSINE = 0.95
 #: Filters of a vector on average in each of `REPEATS` independent code pairs, directions per vector.
 EXPECTED, REPEATS, SPREAD = 12, 4, 20
 TILE_ROWS = 1024
+#: Rows read before their meetings are looked at, and the size up to which meetings are sifted together.
+MEET_ROWS, SHORT_RUN = 4096, 24
 SEED = 5
 
 
@@ -108,33 +110,51 @@ def linked_parts(linked: np.ndarray) -> np.ndarray:
 
 def _meet(width: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (here, a, b), rows in key_runs(batches, 3):
-            if rows.num_rows < 2:
-                continue
-            unit = _unit(dense(rows.column(6), width, np.float64))
-            linked = unit @ unit.T >= cosine
-            np.fill_diagonal(linked, False)
-            if a != b:
-                tile = rows.column(3).to_numpy()
-                linked &= tile[:, None] != tile[None, :]
-            # most filters hold no link: only vectors with one go on
-            some = np.flatnonzero(linked.any(axis=1))
-            if not len(some):
-                continue
-            linked = linked[np.ix_(some, some)] & ~_shared_before(rows.column(7).take(pa.array(some)), here)
-            node, copies = (rows.column(i).to_numpy()[some] for i in (4, 5))
-            order = np.argsort(node, kind="stable")
-            links = linked @ copies
-            linked, named, links = linked[np.ix_(order, order)], node[order], links[order]
-            kept = links > 0
-            if kept.any():
-                root = named[linked_parts(linked)]
-                columns = [named[kept], links[kept], root[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "root"])
+        for table, starts in whole_runs(batches, 3, MEET_ROWS):
+            unit = _unit(dense(table.column(6), width, np.float64))
+            here, a, b = (table.column(i).to_numpy() for i in range(3))
+            # most filters hold no link: small ones are told apart by all their pairs at once
+            for i in _runs_with_pairs(unit, starts, cosine):
+                first, stop = starts[i], starts[i + 1]
+                found = _links(table.slice(first, stop - first), unit[first:stop], here[first], a[first] != b[first], cosine)
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["node", "links", "root"])
 
     return run
 
 
+def _runs_with_pairs(unit: np.ndarray, starts: np.ndarray, cosine: float) -> np.ndarray:
+    """The runs that may hold a link: all long ones, and the short ones in which one does."""
+    sizes = np.diff(starts)
+    maybe = sizes > SHORT_RUN
+    for size in range(2, SHORT_RUN + 1):
+        runs = np.flatnonzero(sizes == size)
+        for part in np.array_split(runs, max(1, len(runs) * size // MEET_ROWS)):
+            rows = unit[starts[part, None] + np.arange(size)]
+            close = np.einsum("rid,rjd->rij", rows, rows) >= cosine * (1 - 1e-12)
+            maybe[part] = close[:, *np.triu_indices(size, 1)].any(axis=1)
+    return np.flatnonzero(maybe)
+
+
+def _links(rows: pa.Table, unit: np.ndarray, here: int, tiles: bool, cosine: float) -> tuple[np.ndarray, ...] | None:
+    """(node, links, root) of the vectors of one meeting that link there and met in no filter before."""
+    linked = unit @ unit.T >= cosine
+    np.fill_diagonal(linked, False)
+    if tiles:
+        tile = rows.column(3).to_numpy()
+        linked &= tile[:, None] != tile[None, :]
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return None
+    linked = linked[np.ix_(some, some)] & ~_shared_before(rows.column(7).take(pa.array(some)), here)
+    node, copies = (rows.column(i).to_numpy()[some] for i in (4, 5))
+    order = np.argsort(node, kind="stable")
+    links = linked @ copies
+    linked, named, links = linked[np.ix_(order, order)], node[order], links[order]
+    kept = links > 0
+    return (named[kept], links[kept], named[linked_parts(linked)][kept]) if kept.any() else None
+
+
 def _shared_before(column: pa.ChunkedArray, here: int) -> np.ndarray:
     """Whether two vectors share a filter below `here`, where they have met already."""
     lists = column.combine_chunks()

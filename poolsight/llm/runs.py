@@ -30,6 +30,32 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield now, pa.Table.from_batches(parts)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: int, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of complete runs, where each starts and the end), some `rows` at a time or one longer run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _starts(table, keys)
+            if len(starts) > 1:  # the last run may go on
+                yield table.slice(0, starts[-1]), starts
+                table = table.slice(starts[-1])
+            held = table.to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(_starts(table, keys), table.num_rows)
+
+
+def _starts(table: pa.Table, keys: int) -> np.ndarray:
+    change = np.zeros(table.num_rows - 1, bool)
+    for i in range(keys):
+        column = table.column(i).to_numpy()
+        change |= column[1:] != column[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1))
+
+
 def dense(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
     """A list column without nulls as a matrix of `width` columns, shorter lists padded with zeros."""
     column = column.combine_chunks()
