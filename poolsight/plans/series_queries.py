@@ -426,12 +426,15 @@ _stepped("dtw_step", "dtw", _moved_sql(_LEAST, _path_sql("back", "won", "walk")
 _stepped("softdtw_step", "softdtw", _moved_sql(_SOFT, _soft_cells(_SOFT), "weight"))
 
 
-@query("softdtw_descent")
+@query("softdtw_descent", "select true as never_rises, true as no_worse_than_full_step")
 def softdtw_descent(spark, sf_dir):
-    """Cost per pass of the line-searched descent from the first series; it never rises."""
+    """Whether the line-searched descent from the first series keeps what it promises at every pass."""
     prepared, first = _first_series(spark, sf_dir)
-    model = clustering.descend(prepared, "softdtw", first[0], 6)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(model.history)], "pass int, inertia double")
+    costs = clustering.descend(prepared, "softdtw", first[0], 6).history
+    full = clustering.fit_from(prepared, "softdtw", first, 2).history
+    falls = all(b <= a for a, b in zip(costs, costs[1:]))
+    kept = len(costs) < 2 or costs[1] <= full[1]
+    return spark.createDataFrame([(falls, kept)], "never_rises boolean, no_worse_than_full_step boolean")
 
 
 def _clustered(spark, sf_dir) -> clustering.ClusteringRun:
