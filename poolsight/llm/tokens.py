@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of the two tables per Python worker, and the longest entry that is kept, in bytes.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_BYTES = 300_000, 500_000, 40
+KEPT_CHUNKS, KEPT_WORDS, KEPT_BYTES = 500_000, 1_000_000, 40
 #: The id written after each document.
 END_ID = 2
 
