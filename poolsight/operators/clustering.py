@@ -52,7 +52,7 @@ class SeriesModel:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    label, cost, _ = _nearest(metric, shared.value, _dense(batch.column("series")))
+                    label, cost, _ = alignment.nearest(metric, shared.value, _dense(batch.column("series")))
                     arrays = [*batch.columns, pa.array(label.astype(np.int32)), pa.array(cost)]
                     yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "label", "cost"])
 
@@ -78,14 +78,6 @@ def _dense(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), len(steps) // len(column), -1)
 
 
-def _nearest(metric: str, centroids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Label and cost of each series, and the number of alignments begun; a bounded batch at a time."""
-    size = alignment.batch_rows(data.shape[1])
-    parts = [alignment.nearest(metric, centroids, data[at : at + size]) for at in range(0, len(data), size)]
-    labels, least, begun = zip(*parts)
-    return np.concatenate(labels), np.concatenate(least), sum(begun)
-
-
 def draws(seed: int, starts: int, pick: int) -> Column:
     """One exponential number per start, from a hash of the series, the seed, the start and the pick."""
 
@@ -152,36 +144,33 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
 
 
 def _step(metric: str, shared, series: DataFrame) -> DataFrame:
-    """One E-step: per start and cluster the number of series, cost, alignments, weighted sums and weights."""
+    """One E-step: per start and cluster the number of series, cost, alignments, weighted sums (coarse parts), weights, fine parts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         starts, k, steps, sensors = centroids.shape
         count, cost_sum, aligned = np.zeros((starts, k)), np.zeros((starts, k)), np.zeros((starts, k))
-        sums, mass = np.zeros((starts, k, steps, sensors)), np.zeros((starts, k, steps))
+        sums, mass = np.zeros((2, starts, k, steps, sensors)), np.zeros((starts, k, steps))
         size = alignment.batch_rows(steps)
         for batch in batches:
-            if not len(batch):
-                continue
-            data = _dense(batch.column("series"))
-            for s in range(starts):
-                label, cost, begun = _nearest(metric, centroids[s], data)
-                aligned[s, label[0]] += begun
-                for c in range(k):
-                    members = data[label == c]
-                    count[s, c] += len(members)
-                    cost_sum[s, c] += cost[label == c].sum()
-                    if metric == "euclidean":
-                        sums[s, c] += members.sum(axis=0)
-                        mass[s, c] += len(members)
-                        continue
-                    for at in range(0, len(members), size):
-                        chunk = members[at : at + size]
-                        w = alignment.weights(metric, centroids[s, c], chunk)
-                        sums[s, c] += np.einsum("bij,bjs->is", w, chunk)
-                        mass[s, c] += w.sum(axis=(0, 2))
+            data = _dense(batch.column("series")) if len(batch) else np.zeros((0, steps, sensors))
+            for first in range(0, len(data), size):
+                block = alignment.turn(data[first : first + size])
+                for s in range(starts):
+                    label, cost, begun = alignment.nearest_in(metric, centroids[s], block)
+                    aligned[s, label[0]] += begun
+                    for c in range(k):
+                        members = np.flatnonzero(label == c)
+                        if not len(members):
+                            continue
+                        count[s, c] += len(members)
+                        cost_sum[s, c] += cost[members].sum()
+                        coarse, fine, weight = alignment.pull(metric, centroids[s, c], block[:, :, members])
+                        sums[0, s, c] += coarse
+                        sums[1, s, c] += fine
+                        mass[s, c] += weight
         at = [(s, c) for s in range(starts) for c in range(k) if count[s, c]]
-        parts = [np.concatenate([sums[i].ravel(), mass[i].ravel()]) for i in at]
+        parts = [np.concatenate([sums[0][i].ravel(), mass[i].ravel(), sums[1][i].ravel()]) for i in at]
         columns = {
             "start": pa.array([s for s, _ in at], pa.int32()),
             "label": pa.array([c for _, c in at], pa.int32()),
@@ -237,7 +226,8 @@ def _measure(metric: str, series: DataFrame, centroids: np.ndarray) -> list[_Mea
         sums, mass = np.zeros((k, steps, sensors)), np.zeros((k, steps))
         for label, rows in mine.groupby("label"):
             values = rows.sort_values("at")["v"].to_numpy()[3:]
-            sums[label], mass[label] = values[: steps * sensors].reshape(steps, sensors), values[steps * sensors :]
+            coarse, mass[label], fine = np.split(values, [steps * sensors, steps * (sensors + 1)])
+            sums[label] = (coarse + fine).reshape(steps, sensors)
         out.append(_Measured(of, head[0], head[1] / max(head[0], 1.0), head[2], sums, mass))
     return out
 

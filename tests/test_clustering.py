@@ -181,3 +181,38 @@ def test_seeding_with_repeated_series(spark):
     assert seeds.shape == (2, 4, 1, 2)
     with pytest.raises(ValueError):
         clustering._seeds(same, 7, 1, 1)
+
+
+@pytest.mark.parametrize("metric", ["dtw", "euclidean"])
+def test_next_centroids_do_not_depend_on_the_order_of_summation(waves, metric):
+    """Paths tie on equal centroid steps, so a last digit that follows the partitions would change the fit."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:03d}", (rng.normal(size=(12, 2)) * 3).tolist()) for i in range(400)]
+    data = waves.sparkSession.createDataFrame(rows, "series_id string, series array<array<double>>")
+    first = np.array([rows[i][1] for i in (0, 7)], float)
+    moved = [clustering.move(data.repartition(n, F.xxhash64("series_id", F.lit(n))), metric, first) for n in (1, 3, 8)]
+    assert (moved[0] == moved[1]).all() and (moved[0] == moved[2]).all()
+
+
+@pytest.mark.parametrize("scale", [1.0, 6.0, 60.0])
+def test_soft_kernels_beyond_the_range_of_doubles(scale):
+    rng = np.random.default_rng(5)
+    centroid, batch = rng.normal(size=(20, 2)), rng.normal(size=(30, 20, 2)) * scale
+    batch[:15] /= scale
+    cost = alignment.local_cost(centroid, batch)
+    assert np.allclose(alignment.costs("softdtw", centroid, batch), alignment.soft_table(cost, 1.0)[:, -1, -1], rtol=1e-12)
+    w = alignment.weights("softdtw", centroid, batch)
+    coarse, fine, mass = alignment.pull("softdtw", centroid, alignment.turn(batch))
+    assert np.allclose(coarse + fine, np.einsum("bij,bjs->is", w, batch)) and np.allclose(mass, w.sum(axis=(0, 2)))
+
+
+def test_working_memory_does_not_grow_with_the_batch():
+    tracemalloc = pytest.importorskip("tracemalloc")
+    rng = np.random.default_rng(6)
+    centroids, batch = rng.normal(size=(4, 25, 2)), rng.normal(size=(10_000, 25, 2))
+    for metric in ("dtw", "softdtw"):
+        tracemalloc.start()
+        label, _, _ = alignment.nearest(metric, centroids, batch)
+        alignment.pull(metric, centroids[0], alignment.turn(batch[label == label[0]]))
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+        tracemalloc.stop()
