@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from poolsight.operators.joins import join_row
 
-TILE_ROWS = 1024
+#: Points of a tile at most, tiles at least, and points that make another tile worth while.
+TILE_ROWS, TILES, LEAST_ROWS = 1 << 16, 16, 1024
+#: Squared distances below this part of the squared lengths are computed from differences.
+CLOSE = 1e-6
 
 
 def _clusters(points: DataFrame) -> DataFrame:
@@ -84,23 +88,29 @@ def silhouette_sq(points: DataFrame) -> DataFrame:
     return scored.select(own["n"].alias("n"), a.alias("a"), b.alias("b")).agg(F.avg(value).alias("silhouette_sq"))
 
 
-def quadratic_silhouette(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def quadratic_silhouette(points: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """Exact mean silhouette under Euclidean distance, in work that grows with the square of the points.
 
-    Every distance has to be looked at, but no pair becomes a row: points are dealt into
-    tiles of about `tile_rows`, one task handles one pair of tiles, and emits one distance sum
-    per point and cluster of the other tile. For more points than a few hundred thousand use
-    `silhouette_sq`.
+    Every distance has to be looked at, but no pair becomes a row: points are dealt into tiles, one task
+    handles one pair of tiles, computes each distance once for both its ends, and emits one distance sum per
+    point and cluster of the other tile. Up to `TILES` tiles of `TILE_ROWS` points every point is copied
+    `TILES` + 1 times, whatever their number. For more points than a million use `silhouette_sq`.
     """
-    tiles = max(1, -(-points.count() // tile_rows))
-    dealt = points.select("id", "label", "vec", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"))
-    against = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = dealt.select("id", "label", "vec", F.col("tile").alias("ti"), against.alias("tj"), F.lit(True).alias("is_left"))
-    right = dealt.select("id", "label", "vec", F.col("tile").alias("tj"), against.alias("ti"), F.lit(False).alias("is_left"))
-    pairs = left.unionByName(right)
+    n = points.count()
+    tiles = max(1, -(-n // (tile_rows or TILE_ROWS)), 1 if tile_rows else min(TILES, -(-n // LEAST_ROWS)))
     id_type = dict(points.dtypes)["id"]
-    sums = pairs.groupBy("ti", "tj").applyInPandas(
-        _tile_sums, f"id {id_type}, label int, other int, total double, n long"
+    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    dealt = points.select(
+        "id", F.col("label").cast("int").alias("label"), F.col("vec").cast("array<double>").alias("vec"), tile.alias("tile")
+    )
+    against = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    pairs = dealt.withColumn("against", against).select(
+        "id", "label", "vec", F.least("tile", "against").alias("ti"), F.greatest("tile", "against").alias("tj"), (F.col("tile") <= F.col("against")).alias("is_left")
+    )
+    sums = (
+        pairs.repartition(tiles * (tiles + 1) // 2, "ti", "tj")
+        .groupBy("ti", "tj")
+        .applyInArrow(_tile_sums, f"id {id_type}, label int, other int, total double, n long")
     )
     per_cluster = sums.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("other")
@@ -114,25 +124,62 @@ def quadratic_silhouette(points: DataFrame, tile_rows: int = TILE_ROWS) -> DataF
     return per_point.agg(F.avg(value).alias("silhouette"))
 
 
-def _tile_sums(frame: pd.DataFrame) -> pd.DataFrame:
-    left, right = frame[frame["is_left"]], frame[~frame["is_left"]]
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []})
-    a, b = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
-    labels = np.unique(right["label"])
-    members = (right["label"].to_numpy()[:, None] == labels[None, :]).astype(float)
-    totals = np.empty((len(a), len(labels)))
-    step = max(1, (1 << 22) // max(1, b.size))
-    for i in range(0, len(a), step):
-        gap = a[i : i + step, None, :] - b[None, :, :]
-        totals[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)) @ members
-    rows = len(labels)
-    return pd.DataFrame(
-        {
-            "id": np.repeat(left["id"].to_numpy(), rows),
-            "label": np.repeat(left["label"].to_numpy(), rows),
-            "other": np.tile(labels, len(a)),
-            "total": totals.ravel(),
-            "n": np.tile(members.sum(axis=0).astype(int), len(a)),
-        }
-    )
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of `a` to all of `b`, through inner products; close pairs again through their differences.
+
+    Inner products lose the digits that two vectors share, so what is left has to be no small part of their lengths.
+    """
+    with np.errstate(invalid="ignore", over="ignore"):  # what comes out unusable is computed again
+        lengths = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+        squares = a @ b.T
+        squares *= -2.0
+        squares += lengths
+        lengths *= CLOSE
+    row, col = np.nonzero(~(squares > lengths))
+    step = max(1, (1 << 20) // max(1, a.shape[1]))
+    for at in range(0, len(row), step):
+        i, j = row[at : at + step], col[at : at + step]
+        gap = a[i] - b[j]
+        squares[i, j] = np.einsum("ij,ij->i", gap, gap)
+    return np.sqrt(squares, out=squares)
+
+
+def _tile_sums(pair: pa.Table) -> pa.Table:
+    """Distance sums of the points of a pair of tiles to the clusters of the other one, or of the one tile to its own."""
+    kind = pair.schema.field("id").type
+    sides = []
+    for side in (pair.filter(pair["is_left"]), pair.filter(pc.invert(pair["is_left"]))):
+        vec = side["vec"].combine_chunks()
+        values = vec.flatten().to_numpy().reshape(len(side), -1) if len(side) else np.zeros((0, 0))
+        label = side["label"].combine_chunks()
+        known = np.unique(label.drop_null().to_numpy())
+        members = label.to_numpy(zero_copy_only=False)[:, None] == known[None, :]
+        sides.append((side, values, known, members.astype(float)))
+    within = pair["ti"][0] == pair["tj"][0]
+    (_, a, _, of_a), (_, b, _, of_b) = (sides[0], sides[0]) if within else sides
+    to_b, to_a = np.zeros((len(a), of_b.shape[1])), np.zeros((len(b), of_a.shape[1]))
+    if len(a) and len(b):
+        for i in range(0, len(a), 512):
+            for j in range(0, len(b), 1024):
+                here = _distances(a[i : i + 512], b[j : j + 1024])
+                to_b[i : i + 512] += here @ of_b[j : j + 1024]
+                if not within:
+                    to_a[j : j + 1024] += here.T @ of_a[i : i + 512]
+    found = [(sides[0], to_b, sides[0 if within else 1])]
+    if not within:
+        found.append((sides[1], to_a, sides[0]))
+    out = []
+    for (side, *_), totals, (_, _, known, members) in found:
+        rows = pa.array(np.repeat(np.arange(len(side)), len(known)))
+        out.append(
+            pa.table(
+                {
+                    "id": side["id"].take(rows),
+                    "label": side["label"].take(rows),
+                    "other": pa.array(np.tile(known, len(side)), pa.int32()),
+                    "total": pa.array(totals.ravel(), pa.float64()),
+                    "n": pa.array(np.tile(members.sum(axis=0), len(side)).astype(np.int64), pa.int64()),
+                }
+            )
+        )
+    return pa.concat_tables(out).cast(pa.schema([("id", kind), ("label", pa.int32()), ("other", pa.int32()), ("total", pa.float64()), ("n", pa.int64())]))

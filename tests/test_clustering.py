@@ -216,3 +216,28 @@ def test_working_memory_does_not_grow_with_the_batch():
         alignment.pull(metric, centroids[0], alignment.turn(batch[label == label[0]]))
         assert tracemalloc.get_traced_memory()[1] < 40 << 20
         tracemalloc.stop()
+
+
+def test_distances_of_close_and_far_rows():
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(40, 16)) + 1000.0
+    b = np.concatenate([a[:10], a[10:20] + 1e-7, rng.normal(size=(5, 16)), np.full((1, 16), np.inf)])
+    gap = a[:, None] - b[None]
+    assert np.allclose(scores._distances(a, b), np.sqrt((gap * gap).sum(axis=2)), rtol=1e-9, atol=0)
+
+
+def test_exact_silhouette_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    at, label = rng.normal(size=(300, 4)), rng.integers(0, 3, 300)
+    points = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(at, label))], "id long, vec array<double>, label int")
+    gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    mean = np.stack([gap[:, label == c].sum(axis=1) for c in range(3)], axis=1)
+    size = np.bincount(label)
+    a = mean[np.arange(300), label] / (size[label] - 1)
+    mean = mean / size
+    mean[np.arange(300), label] = np.inf
+    expected = ((mean.min(axis=1) - a) / np.maximum(mean.min(axis=1), a)).mean()
+    for tile_rows in (None, 7, 100):
+        assert scores.quadratic_silhouette(points, tile_rows).first().silhouette == pytest.approx(expected)
+    monkeypatch.setattr(scores, "LEAST_ROWS", 10)
+    assert scores.quadratic_silhouette(points).first().silhouette == pytest.approx(expected)
