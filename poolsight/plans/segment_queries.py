@@ -385,8 +385,8 @@ def csv_roundtrip(spark, sf_dir):
 def map_segments_query(spark, sf_dir):
     def peak(frame):
         at = frame["v"].idxmax()
-        head = frame[SIGNAL].iloc[:1]
-        return head.assign(peak_pos=frame["pos"][at], high=frame["v"][at], low=frame["v"].min())
+        head = {c: frame[c].iat[0] for c in SIGNAL}
+        return head | {"peak_pos": frame["pos"].iat[at], "high": frame["v"].iat[at], "low": frame["v"].min()}
 
     signal = features.signals(rows_of(spark, sf_dir))
     best = F.max_by("peak_pos", F.struct("high", -F.col("peak_pos")))

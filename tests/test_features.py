@@ -137,3 +137,23 @@ def test_map_segments_in_parts(rows):
         assert sorted((r.sensor, r.n, r.parts) for r in out) == [("sensor0", 10, parts), ("sensor1", 10, parts)]
         results.append(sorted((r.sensor, r.total) for r in out))
     assert results[0] == results[1]
+
+
+def test_map_segments_streams_parts(rows, spark):
+    """Parts are called one by one in a stream of sorted rows, whole also where a batch of rows ends within one."""
+    signal = features.signals(rows(*[SIGNAL] * 40))
+
+    def sizes(frame):
+        assert frame["pos"].is_monotonic_increasing and frame["seg_id"].nunique() == 1 and list(frame.index) == list(range(len(frame)))
+        return {"seg_id": frame["seg_id"].iat[0], "sensor": frame["sensor"].iat[0], "n": len(frame), "total": frame["v"].sum()}
+
+    whole = [F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum("total").alias("total")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for call_rows, parts in ((4, 3), (7, 2), (100, 1)):
+            mapped = map_segments(signal, sizes, "seg_id long, sensor string, n long, total double", call_rows, whole)
+            assert "FlatMapGroups" not in mapped._jdf.queryExecution().toString()
+            out = mapped.collect()
+            assert len(out) == 80 and {(r.n, r.parts, r.total) for r in out} == {(10, parts, sum(SIGNAL))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
