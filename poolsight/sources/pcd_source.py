@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from poolsight.sources import pcd
@@ -93,12 +92,9 @@ class PcdReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        shape = to_arrow_schema(self.schema)
         row = _Row(path=partition.path, **constants(partition.path))
         read = lambda: pcd.read_range(partition.path, partition.begin, partition.end)
-        for frame in pcd._frames(row, read, partition.begin == 0):
-            extra = frame["extra"].map(lambda m: None if m is None else list(m.items()))
-            yield pa.RecordBatch.from_pandas(frame.assign(extra=extra), schema=shape, preserve_index=False)
+        yield from pcd._batches(row, read, partition.begin == 0)
 
 
 class _Row:

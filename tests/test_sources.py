@@ -375,3 +375,9 @@ def test_cells_with_line_breaks(spark, tmp_path):
     assert rows("a.csv") == [[1, 3], [4, 5], [8]] and rows("b.csv") == [[1, 2], [3]]
     assert [(r.file.split("/")[-1], r.quotes) for r in sections.unbalanced_files(lines).collect()] == [("c.csv", 1)]
     assert sections.whole_records(lines).filter("file like '%c.csv'").count() == 3
+
+
+def test_files_are_decoded_to_arrow(spark):
+    """No frame is built per file."""
+    plan = pcd.decode_files(spark.createDataFrame([], "path string, content binary"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
