@@ -227,7 +227,7 @@ def compress(
         found = blocks.mapInArrow(_totals(width, scale, books, wide), sums_schema)
         added = found.repartition("part", "entry").sortWithinPartitions("part", "entry").mapInArrow(_add_up, sums_schema)
         moved = [b.copy() for b in books]
-        for part, entry, n, sums in added.toLocalIterator():  # at most parts * entries rows
+        for part, entry, n, sums in added.collect():  # at most parts * entries rows, in one job
             moved[part][entry] = [int(s) // n for s in sums]
         books = moved
     codes = blocks.mapInArrow(_codes(width, scale, books, wide), schema)

@@ -92,3 +92,23 @@ def test_query_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = QUERIES["op11_part_codes"](spark, str(tmp_path))
     assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and got.count() == 0
+
+
+def test_a_round_takes_one_job_whatever_the_partitions(spark):
+    draw = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, draw.standard_normal(8).tolist(), 1, "c", 9) for i in range(200)], WIDE)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("part codes", "rounds")
+        codes, _ = part_codes.compress(table, entries=16)
+        jobs = len(context.statusTracker().getJobIdsForGroup("part codes"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert codes.count() == 200
+    assert jobs < 64
