@@ -10,14 +10,15 @@ and only leaves whose bounding box this ball touches are searched as well.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from poolsight.operators.joins import join_skewed, join_summary
+from poolsight.operators.joins import join_on, join_skewed, join_stored
 from poolsight.schema import LAYER, keyed
 from poolsight.session import cut
 
@@ -26,6 +27,8 @@ LEAF_ROWS = 1024
 QUERY_ROWS = 8192
 #: Children of a cell at most, and spots of a crowded cell from which its planes are taken.
 FAN, SAMPLE = 1024, 1 << 14
+#: Rows that a task looks at together, and distances held at once.
+STREAM_ROWS, CELLS = 1 << 15, 1 << 19
 AXES = ["x", "y", "z"]
 #: A leaf is named by its path of child numbers from the root of its layer, which is the empty text.
 LEAF = [*LAYER, "cell"]
@@ -55,15 +58,16 @@ def knn_edges(cloud: DataFrame, k: int = K, leaf_rows: int = LEAF_ROWS) -> DataF
         placed, split = spots.withColumn("cell", F.lit("")), False
     else:
         placed, split = _place(spots, leaf_rows)
-    own = placed.groupBy(*LEAF).applyInArrow(_own_leaf(k), _own_schema(placed))
-    best = own.select(*spot, "ids", "near")
+    own = _streamed(placed, LEAF, _own_leaves(k), _own_schema(placed))
     if split:
         own = cut(own)
+        best = own.select(*spot, "ids", "near")
         # only spots near a border have candidates from more than one leaf
-        other = _other_leaves(placed, own, k)
-        both = own.select(*spot, "near").unionByName(other).select(*spot, F.inline("near")).withColumn("item", F.struct("dist", "id"))
-        found = _first_per_group(both, spot, ["dist", "id"], "item", k + 1, "near")
-        best = own.select(*spot, "ids").join(found, spot)
+        both = best.unionByName(_other_leaves(placed, own, k), allowMissingColumns=True)
+        near = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1)
+        best = both.groupBy(*spot).agg(F.first("ids", ignorenulls=True).alias("ids"), near.alias("near"))
+    else:
+        best = own.select(*spot, "ids", "near")
     best = cut(best)
     # a spot that lists all its points gives their edges at once; only the points of others are joined
     asked = best.filter(F.size("ids") <= k + 1).select(*LAYER, F.explode("ids").alias("src"), "near")
@@ -117,37 +121,103 @@ def _spots(points: DataFrame, k: int) -> DataFrame:
 
 
 def _place(spots: DataFrame, leaf_rows: int) -> tuple[DataFrame, bool]:
-    """Add `cell`, the leaf of each spot; also whether any layer has more than one leaf."""
+    """Add `cell`, the leaf of each spot; also whether any layer has more than one leaf.
+
+    Cells too large for a task are cut by planes from samples, in rounds; the others whole, many in one stream.
+    """
     pending = cut(spots.withColumn("cell", F.lit("")))
+    schema = pending.schema.simpleString()[7:-1]
+    bound = max(SAMPLE, leaf_rows)
+    counts = cut(pending.groupBy(*LEAF).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf_rows))
+    if counts.isEmpty():
+        return pending, False
     done: list[DataFrame] = []
-    while True:
-        counts = pending.groupBy(*LEAF).agg(F.count("*").alias("_n")).filter(F.col("_n") > leaf_rows)
-        crowded = cut(counts)
-        if crowded.isEmpty():
-            break
-        # crowded cells and their trees are as many as their spots divided by `leaf_rows` at most
-        marked = join_summary(pending, crowded, LEAF, AXES, "left")
+    crowded = cut(counts.filter(F.col("_n") > bound))
+    while not crowded.isEmpty():
+        # crowded cells and their trees are as many as their spots divided by `bound` at most
+        marked = join_stored(pending, crowded, LEAF, AXES, "left")
         done.append(marked.filter("_n is null").drop("_n"))
         open_spots = marked.filter("_n is not null")
         rate = F.col("_n").cast("double") * (F.pmod(F.xxhash64(*AXES), F.lit(1 << 31)) / float(1 << 31))
         sample = open_spots.filter(rate < SAMPLE).select(*LEAF, *AXES, "_n")
         types = dict(sample.dtypes)
         tree = ", ".join(f"{c} {types[c]}" for c in LEAF) + ", axis array<int>, plane array<double>, _n long"
-        trees = cut(sample.groupBy(*LEAF).applyInArrow(_planes(leaf_rows, FAN), tree))
-        pending = cut(_dealt(open_spots.drop("_n"), trees, _descend, pending.schema.simpleString()[7:-1]))
+        trees = cut(sample.groupBy(*LEAF).applyInArrow(_planes(bound, FAN), tree))
+        pending = cut(_dealt(open_spots.drop("_n"), trees, _descend, schema))
+        crowded = cut(pending.groupBy(*LEAF).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound))
     whole = pending
     for part in done:
         whole = whole.unionByName(part)
-    return (cut(whole) if done else whole), bool(done)
+    return cut(_streamed(whole, LEAF, _halved(leaf_rows), schema)), True
+
+
+def _starts(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where each run of rows that agree in `keys` starts; a null agrees with a null."""
+    change = np.zeros(len(rows) - 1, bool)
+    for key in keys:
+        code = rows[key].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        change |= code[1:] != code[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1))
+
+
+def _streamed(rows: DataFrame, keys: Sequence[str], work, schema: str) -> DataFrame:
+    """Give `work` tables of whole groups, about `STREAM_ROWS` rows at a time or one larger group, and where each starts."""
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= STREAM_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                starts = _starts(table, keys)
+                if len(starts) > 1:  # the last group may go on
+                    yield from work(table.slice(0, starts[-1]).combine_chunks(), starts[:-1]).select(names).to_batches()
+                    table = table.slice(starts[-1])
+                held, count = table.to_batches(), len(table)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from work(table, _starts(table, keys)).select(names).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _dealt(rows: DataFrame, cells: DataFrame, work, schema: str) -> DataFrame:
-    """Give `work` the rows of a cell, some `QUERY_ROWS` at a time on average, with the cell's row or rows of `cells`."""
-    slices = cut(rows.groupBy(*LEAF).agg(F.count("*").alias("_rows")).withColumn("_slices", F.ceil(F.col("_rows") / QUERY_ROWS).cast("int")).drop("_rows"))
-    dealt = join_summary(rows, slices, LEAF, AXES).withColumn("_slice", F.pmod(F.xxhash64(*AXES), F.col("_slices")).cast("int")).drop("_slices")
-    copies = cells.join(slices, LEAF).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    """Give `work` the rows of many cells, of one cell some `QUERY_ROWS` at a time on average, with the rows of `cells`.
+
+    It gets both tables sorted by cell, and the cell of each row as a number.
+    """
+    counts = rows.groupBy(*LEAF).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > QUERY_ROWS)
+    large = cut(counts.withColumn("_slices", F.ceil(F.col("_rows") / QUERY_ROWS).cast("int")).drop("_rows"))
     group = [*LEAF, "_slice"]
-    return dealt.groupBy(*group).cogroup(copies.groupBy(*group)).applyInArrow(work, schema)
+    if large.isEmpty():
+        dealt, copies = rows.withColumn("_slice", F.lit(0)), cells.withColumn("_slice", F.lit(0))
+    else:
+        slices = F.coalesce("_slices", F.lit(1))
+        dealt = join_stored(rows, large, LEAF, AXES, "left").withColumn("_slice", F.pmod(F.xxhash64(*AXES), slices).cast("int"))
+        copies = join_on(cells, large, LEAF, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    kinds = [F.struct(*[F.col(c) for c in side.columns if c not in LEAF]) for side in (rows, cells)]
+    none = [F.lit(None).cast(side.select(kind.alias("v")).schema["v"].dataType) for side, kind in zip((rows, cells), kinds)]
+    both = dealt.select(*group, kinds[0].alias("row"), none[1].alias("of_cell")).unionByName(
+        copies.select(*group, none[0].alias("row"), kinds[1].alias("of_cell"))
+    )
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+        sides = []
+        for side in ("row", "of_cell"):
+            there = np.flatnonzero(table[side].is_valid().to_numpy())
+            part = table.take(there)
+            fields = pa.Table.from_struct_array(part[side].combine_chunks())
+            for c in reversed(LEAF):
+                fields = fields.add_column(0, c, part[c])
+            sides += [fields, number[there]]
+        return work(*sides)
+
+    return _streamed(both, group, run, schema)
 
 
 def _planes(leaf_rows: int, fan: int):
@@ -181,22 +251,65 @@ def _planes(leaf_rows: int, fan: int):
     return run
 
 
-def _descend(spots: pa.Table, tree: pa.Table) -> pa.Table:
+def _descend(spots: pa.Table, cell: np.ndarray, trees: pa.Table, tree_cell: np.ndarray) -> pa.Table:
     """Extend the path of each spot by the leaf it falls into."""
-    spots = spots.drop_columns(["_slice"])
-    if not len(spots) or not len(tree):
-        return spots
-    axis, plane = (tree[c][0].values.to_numpy() for c in ("axis", "plane"))
-    at, node = _positions(spots), np.zeros(len(spots), np.int64)
-    inner = np.ones(len(spots), bool)
-    while inner.any():
-        inner &= node < len(axis)
-        inner[inner] = axis[node[inner]] >= 0
-        here = node[inner]
-        node[inner] = 2 * here + 1 + (at[inner, axis[here]] >= plane[here])
-    path = spots["cell"][0].as_py()
-    cells = pa.array([f"{path}{i}." for i in node.tolist()], pa.string())
-    return spots.set_column(spots.schema.get_field_index("cell"), "cell", cells)
+    at, place = _positions(spots), dict(zip(tree_cell.tolist(), range(len(trees))))
+    leaf = np.zeros(len(spots), np.int64)
+    for number, first, stop in _runs(cell):
+        axis, plane = (trees[c][place[number]].values.to_numpy() for c in ("axis", "plane"))
+        here, node = at[first:stop], np.zeros(stop - first, np.int64)
+        inner = np.ones(len(node), bool)
+        while inner.any():
+            inner &= node < len(axis)
+            inner[inner] = axis[node[inner]] >= 0
+            parent = node[inner]
+            node[inner] = 2 * parent + 1 + (here[inner, axis[parent]] >= plane[parent])
+        leaf[first:stop] = node
+    return _below(spots, leaf)
+
+
+def _below(spots: pa.Table, child: np.ndarray) -> pa.Table:
+    """Extend the path of each spot by the number of a child, unless that is negative."""
+    number = pa.array(child).cast(pa.string())
+    path = pc.if_else(pa.array(child >= 0), pc.binary_join_element_wise(spots["cell"], number, ".", ""), spots["cell"])
+    return spots.set_column(spots.schema.get_field_index("cell"), "cell", path)
+
+
+def _runs(number: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, first, stop) of each run of equal numbers."""
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    yield from zip(number[first].tolist(), first.tolist(), [*first[1:].tolist(), len(number)])
+
+
+def _halved(leaf_rows: int):
+    """Halve whole cells at medians, all of them at once, until no part holds more than `leaf_rows` spots."""
+
+    def run(spots: pa.Table, starts: np.ndarray) -> pa.Table:
+        at, leaf, named = _positions(spots), np.full(len(spots), -1), 0
+        size = np.diff(np.append(starts, len(spots)))
+        part = np.repeat(np.arange(len(starts)), size)
+        rows = np.flatnonzero(size[part] > leaf_rows)
+        part = part[rows]
+        while len(rows):
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            size = np.diff(np.append(first, len(rows)))
+            number, here = np.repeat(np.arange(len(first)), size), at[rows]
+            with np.errstate(over="ignore"):
+                spread = np.maximum.reduceat(here, first) - np.minimum.reduceat(here, first)
+            values = here[np.arange(len(rows)), spread.argmax(axis=1)[number]]
+            order = np.lexsort((values, number))
+            rows, values = rows[order], values[order]
+            middle = values[first + size // 2]
+            # the middle value itself goes up, unless more than half are at the low end
+            high = np.where((middle > values[first])[number], values >= middle[number], values > middle[number])
+            part = 2 * number + high
+            done = np.bincount(part)[part] <= leaf_rows
+            leaf[rows[done]] = named + part[done]
+            named += 2 * len(first)
+            rows, part = rows[~done], part[~done]
+        return _below(spots, leaf)
+
+    return run
 
 
 def _near_schema(placed: DataFrame, extra: Sequence[str] = ()) -> str:
@@ -216,34 +329,53 @@ def _positions(table: pa.Table) -> np.ndarray:
     return np.column_stack([table[a].to_numpy() for a in AXES])
 
 
-def _nearest(queries: np.ndarray, spots: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k + 1 nearest ids of each query position by (dist, id), itself included.
+def _nearest(
+    queries: np.ndarray, cell: np.ndarray, radius: np.ndarray, spots: pa.Table, spot_cell: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k + 1 nearest ids within `radius` of each query position among the spots of its cell by (dist, id).
 
-    Returns list offsets, distances and ids.
+    Cells are numbers, in whose order the spots come. Returns the queries in order of the lists, list offsets,
+    distances and ids. Queries with leaves of like size are compared together, so that little is padded.
     """
-    at, ids = _positions(spots), spots["ids"].combine_chunks()
+    at, ids = np.ascontiguousarray(_positions(spots).T), spots["ids"].combine_chunks()
     counts, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
     first = np.cumsum(counts) - counts
-    keep = min(k, len(at) - 1)
-    lengths, dists, found = [], [], []
-    step = max(1, (1 << 22) // len(at))
-    for begin in range(0, len(queries), step):
-        gap = queries[begin : begin + step, None, :] - at[None, :, :]
-        dist = np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
-        limit = np.partition(dist, keep, axis=1)[:, keep]
-        row, col = np.nonzero(dist <= limit[:, None])
-        times = counts[col]
+    cells = max(cell.max(initial=-1), spot_cell.max(initial=-1)) + 1
+    sizes = np.bincount(spot_cell, minlength=cells)
+    begins = np.cumsum(sizes) - sizes
+    size, begin = sizes[cell], begins[cell]
+    asked = np.argsort(-size, kind="stable")
+    lengths, dists, found = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    done = 0
+    while done < len(asked) and size[asked[done]]:
+        width = size[asked[done]]
+        some = asked[done : done + max(1, CELLS // width)]
+        done += len(some)
+        inside = np.arange(width) < size[some, None]
+        near = np.minimum(begin[some, None] + np.arange(width), at.shape[1] - 1)
+        dist = np.zeros(near.shape)
+        for axis in range(3):
+            gap = queries[some, axis, None] - at[axis][near]
+            dist += gap * gap
+        np.sqrt(dist, out=dist)
+        dist[~inside] = np.inf
+        limit = radius[some]
+        if width > k:
+            limit = np.minimum(limit, np.partition(dist, k, axis=1)[:, k])
+        row, col = np.nonzero((dist <= limit[:, None]) & inside)
+        spot = near[row, col]
+        times = counts[spot]
         row, reach = np.repeat(row, times), np.repeat(dist[row, col], times)
         inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        who = flat[np.repeat(first[col], times) + inner]
+        who = flat[np.repeat(first[spot], times) + inner]
         order = np.lexsort((who, reach, row))
         row, reach, who = row[order], reach[order], who[order]
         chosen = np.arange(len(row)) - np.searchsorted(row, row) <= k
-        lengths.append(np.bincount(row[chosen], minlength=len(dist)))
+        lengths.append(np.bincount(row[chosen], minlength=len(some)))
         dists.append(reach[chosen])
         found.append(who[chosen])
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    return offsets, np.concatenate(dists), np.concatenate(found)
+    return asked[:done], offsets, np.concatenate(dists), np.concatenate(found)
 
 
 def _with_near(
@@ -254,14 +386,16 @@ def _with_near(
     return table.select([*LAYER, *AXES, *extra]).append_column("near", near)
 
 
-def _own_leaf(k: int):
-    def run(leaf: pa.Table) -> pa.Table:
-        offsets, dist, who = _nearest(_positions(leaf), leaf, k)
+def _own_leaves(k: int):
+    def run(leaves: pa.Table, starts: np.ndarray) -> pa.Table:
+        leaf = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(leaves))))
+        asked, offsets, dist, who = _nearest(_positions(leaves), leaf, np.full(len(leaves), np.inf), leaves, leaf, k)
+        leaves = leaves.take(asked)
         full = np.diff(offsets) > k
         reach = np.where(full, dist[np.minimum(offsets[:-1] + k, len(dist) - 1)], np.nan)
-        ids = leaf["ids"].cast(pa.list_(pa.field("element", pa.int64())))
-        leaf = leaf.set_column(leaf.schema.get_field_index("ids"), "ids", ids)
-        return _with_near(leaf, offsets, dist, who, ["cell", "ids"]).append_column("reach", pa.array(reach, from_pandas=True))
+        ids = leaves["ids"].cast(pa.list_(pa.field("element", pa.int64())))
+        leaves = leaves.set_column(leaves.schema.get_field_index("ids"), "ids", ids)
+        return _with_near(leaves, offsets, dist, who, ["cell", "ids"]).append_column("reach", pa.array(reach, from_pandas=True))
 
     return run
 
@@ -297,7 +431,7 @@ def _other_leaves(placed: DataFrame, own: DataFrame, k: int) -> DataFrame:
     found: list[DataFrame] = []
     while not asked.isEmpty():
         touched = cut(_dealt(asked, boxes, _touching, fields))
-        found.append(touched.filter("leaf").select(*LAYER, *AXES, "cell"))
+        found.append(touched.filter("leaf").select(*LEAF, *AXES, "radius"))
         asked = touched.filter("not leaf").drop("leaf")
     queries = found[0]
     for part in found[1:]:
@@ -305,35 +439,34 @@ def _other_leaves(placed: DataFrame, own: DataFrame, k: int) -> DataFrame:
     return _dealt(queries, placed.select(*LEAF, *AXES, "ids"), _other_leaf(k), _near_schema(placed))
 
 
-def _touching(spots: pa.Table, boxes: pa.Table) -> pa.Table:
+def _touching(spots: pa.Table, cell: np.ndarray, boxes: pa.Table, box_cell: np.ndarray) -> pa.Table:
     """Each spot once per child whose box its ball touches, the spot's own leaf left out."""
-    spots = spots.drop_columns(["_slice"])
-    if not len(spots) or not len(boxes):
-        return spots.slice(0, 0).append_column("leaf", pa.array([], pa.bool_()))
     at, reach = _positions(spots), spots["radius"].to_numpy()
     low = np.column_stack([boxes[f"{a}0"].to_numpy() for a in AXES])
     high = np.column_stack([boxes[f"{a}1"].to_numpy() for a in AXES])
-    rows, cells = [], []
-    step = max(1, (1 << 20) // len(low))
-    for begin in range(0, len(at), step):
-        gap = np.zeros((len(at[begin : begin + step]), len(low)))
-        for i in range(3):
-            here = at[begin : begin + step, i, None]
-            gap += np.maximum(0.0, np.maximum(low[None, :, i] - here, here - high[None, :, i])) ** 2
-        row, cell = np.nonzero(np.sqrt(gap) <= reach[begin : begin + step, None])
-        rows.append(row + begin), cells.append(cell)
-    row, cell = np.concatenate(rows), np.concatenate(cells)
-    children = boxes["child"].take(pa.array(cell))
-    out = spots.take(pa.array(row))
-    out = out.set_column(out.schema.get_field_index("cell"), "cell", children).append_column("leaf", boxes["leaf"].take(pa.array(cell)))
-    return out.filter(pa.compute.not_equal(out["cell"], out["home"]))
+    rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    between = {number: (first, stop) for number, first, stop in _runs(box_cell)}
+    for number, first, stop in _runs(cell):
+        left, right = between.get(number, (0, 0))
+        step = max(1, CELLS // max(1, right - left))
+        for begin in range(first, stop, step):
+            end = min(begin + step, stop)
+            gap = np.zeros((end - begin, right - left))
+            for i in range(3):
+                here = at[begin:end, i, None]
+                gap += np.maximum(0.0, np.maximum(low[None, left:right, i] - here, here - high[None, left:right, i])) ** 2
+            row, box = np.nonzero(np.sqrt(gap) <= reach[begin:end, None])
+            rows.append(row + begin), cells.append(box + left)
+    row, box = np.concatenate(rows), np.concatenate(cells)
+    out = spots.take(row)
+    out = out.set_column(out.schema.get_field_index("cell"), "cell", boxes["child"].take(box)).append_column("leaf", boxes["leaf"].take(box))
+    return out.filter(pc.not_equal(out["cell"], out["home"]))
 
 
 def _other_leaf(k: int):
-    def run(queries: pa.Table, spots: pa.Table) -> pa.Table:
-        if not len(queries) or not len(spots):
-            none = np.zeros(0)
-            return _with_near(queries.slice(0, 0), np.zeros(1), none, none.astype(np.int64))
-        return _with_near(queries, *_nearest(_positions(queries), spots, k))
+    def run(queries: pa.Table, cell: np.ndarray, spots: pa.Table, spot_cell: np.ndarray) -> pa.Table:
+        asked, offsets, dist, who = _nearest(_positions(queries), cell, queries["radius"].to_numpy(), spots, spot_cell, k)
+        out = _with_near(queries.take(asked), offsets, dist, who)
+        return out.filter(pa.array(np.diff(offsets) > 0))
 
     return run

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from poolsight.operators import graph
@@ -76,3 +77,28 @@ def test_trees_from_samples_over_several_rounds(spark, monkeypatch):
     placed, split = graph._place(graph._spots(graph.keyed(points_frame(spark, positions)), 5), 24)
     sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
     assert split and max(sizes) <= 24 and sum(sizes) == 501
+
+
+def test_many_leaves_in_one_call():
+    rng = np.random.default_rng(9)
+    sizes = [1, 40, 3, 6, 7, 25]
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    at = rng.integers(0, 6, (len(cell), 3)).astype(float)
+    spots = pa.table({**dict(zip("xyz", at.T)), "ids": [[2 * i, 2 * i + 1] for i in range(len(cell))], "cell": [""] * len(cell)})
+    radius = np.where(np.arange(len(cell)) % 3 == 0, 2.5, np.inf)
+    asked, offsets, dist, who = graph._nearest(at, cell, radius, spots, cell, 4)
+    assert sorted(asked.tolist()) == list(range(len(cell)))
+    for q, first, stop in zip(asked, offsets, offsets[1:]):
+        gap = np.sqrt(((at - at[q]) ** 2).sum(axis=1))
+        near = sorted((gap[j], i) for j in np.flatnonzero((cell == cell[q]) & (gap <= radius[q])) for i in (2 * j, 2 * j + 1))[:5]
+        assert list(zip(dist[first:stop], who[first:stop])) == near
+    at = np.unique(at, axis=0)
+    spots = pa.table({**dict(zip("xyz", at.T)), "cell": ["3."] * len(at)})
+    starts = np.array([0, 5, 6])
+    cells = graph._halved(5)(spots, starts)["cell"].to_pylist()
+    assert set(cells[:6]) == {"3."} and max(map(cells[6:].count, cells[6:])) <= 5 and all(c.startswith("3.") for c in cells)
+
+
+def test_nulls_agree_in_runs():
+    rows = pa.table({"a": ["u", "u", None, None, "v"], "b": [None, None, 1, 1, 1]})
+    assert graph._starts(rows, ["a", "b"]).tolist() == [0, 2, 4]
