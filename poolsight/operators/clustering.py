@@ -50,11 +50,10 @@ class SeriesModel:
         metric = self.metric
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    label, cost, _ = alignment.nearest(metric, shared.value, _dense(batch.column("series")))
-                    arrays = [*batch.columns, pa.array(label.astype(np.int32)), pa.array(cost)]
-                    yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "label", "cost"])
+            for part in _slices(batches):
+                label, cost, _ = alignment.nearest(metric, shared.value, _dense(part.column("series")))
+                arrays = [*part.columns, pa.array(label.astype(np.int32)), pa.array(cost)]
+                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "label", "cost"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields)
         return series.mapInArrow(nearest, f"{fields}, label int, cost double")
@@ -78,6 +77,14 @@ def _dense(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), len(steps) // len(column), -1)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to the series of one block, so that what a task computes at once does not grow with its batches."""
+    for batch in batches:
+        size = alignment.batch_rows(len(batch.column("series")[0]) or 1) if batch.num_rows else 1
+        for first in range(0, batch.num_rows, size):
+            yield batch.slice(first, size)
+
+
 def draws(seed: int, starts: int, pick: int) -> Column:
     """One exponential number per start, from a hash of the series, the seed, the start and the pick."""
 
@@ -105,9 +112,7 @@ def _seeds(series: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen, before = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in _slices(batches):
                 data, ids = _dense(batch.column("series")), batch.column("series_id").to_pylist()
                 drawn = batch.column("draws").flatten().to_numpy().reshape(len(data), -1)
                 rows = []
@@ -151,24 +156,21 @@ def _step(metric: str, shared, series: DataFrame) -> DataFrame:
         starts, k, steps, sensors = centroids.shape
         count, cost_sum, aligned = np.zeros((starts, k)), np.zeros((starts, k)), np.zeros((starts, k))
         sums, mass = np.zeros((2, starts, k, steps, sensors)), np.zeros((starts, k, steps))
-        size = alignment.batch_rows(steps)
-        for batch in batches:
-            data = _dense(batch.column("series")) if len(batch) else np.zeros((0, steps, sensors))
-            for first in range(0, len(data), size):
-                block = alignment.turn(data[first : first + size])
-                for s in range(starts):
-                    label, cost, begun = alignment.nearest_in(metric, centroids[s], block)
-                    aligned[s, label[0]] += begun
-                    for c in range(k):
-                        members = np.flatnonzero(label == c)
-                        if not len(members):
-                            continue
-                        count[s, c] += len(members)
-                        cost_sum[s, c] += cost[members].sum()
-                        coarse, fine, weight = alignment.pull(metric, centroids[s, c], block[:, :, members])
-                        sums[0, s, c] += coarse
-                        sums[1, s, c] += fine
-                        mass[s, c] += weight
+        for part in _slices(batches):
+            block = alignment.turn(_dense(part.column("series")))
+            for s in range(starts):
+                label, cost, begun = alignment.nearest_in(metric, centroids[s], block)
+                aligned[s, label[0]] += begun
+                for c in range(k):
+                    members = np.flatnonzero(label == c)
+                    if not len(members):
+                        continue
+                    count[s, c] += len(members)
+                    cost_sum[s, c] += cost[members].sum()
+                    coarse, fine, weight = alignment.pull(metric, centroids[s, c], block[:, :, members])
+                    sums[0, s, c] += coarse
+                    sums[1, s, c] += fine
+                    mass[s, c] += weight
         at = [(s, c) for s in range(starts) for c in range(k) if count[s, c]]
         parts = [np.concatenate([sums[0][i].ravel(), mass[i].ravel(), sums[1][i].ravel()]) for i in at]
         columns = {

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,12 @@ def test_exact_silhouette_against_all_pairs(spark, monkeypatch):
         assert scores.quadratic_silhouette(points, tile_rows).first().silhouette == pytest.approx(expected)
     monkeypatch.setattr(scores, "LEAST_ROWS", 10)
     assert scores.quadratic_silhouette(points).first().silhouette == pytest.approx(expected)
+
+
+def test_batches_are_worked_on_a_block_at_a_time():
+    data = np.random.default_rng(4).random((3000, 50, 2))
+    batch = pa.RecordBatch.from_pydict({"series_id": [str(i) for i in range(3000)], "series": data.tolist()})
+    parts = list(clustering._slices([batch, batch.slice(0, 0)]))
+    assert max(len(p) for p in parts) <= alignment.batch_rows(50) < 3000
+    assert (np.concatenate([clustering._dense(p.column("series")) for p in parts]) == data).all()
+    assert [i for p in parts for i in p.column("series_id").to_pylist()] == [str(i) for i in range(3000)]
