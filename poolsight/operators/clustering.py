@@ -43,6 +43,8 @@ class SeriesModel:
     history: list[float] = field(default_factory=list)
     #: Share of alignments (series by centroid) that bounds made unnecessary in the passes of the fit.
     skipped: float = 0.0
+    #: Number of labels that series have, as the pass that measured the centroids found it.
+    labels: int = 0
 
     def assign(self, series: DataFrame) -> DataFrame:
         """Adds `label` and `cost`, the nearest centroid and the cost of reaching it."""
@@ -198,6 +200,7 @@ class _Measured:
     aligned: float
     sums: np.ndarray
     mass: np.ndarray
+    labels: int
 
     def moved(self, share: float = 1.0) -> np.ndarray:
         """Centroids moved towards the weighted means, which is against the gradient of the cost.
@@ -230,7 +233,7 @@ def _measure(metric: str, series: DataFrame, centroids: np.ndarray) -> list[_Mea
             values = rows.sort_values("at")["v"].to_numpy()[3:]
             coarse, mass[label], fine = np.split(values, [steps * sensors, steps * (sensors + 1)])
             sums[label] = (coarse + fine).reshape(steps, sensors)
-        out.append(_Measured(of, head[0], head[1] / max(head[0], 1.0), head[2], sums, mass))
+        out.append(_Measured(of, head[0], head[1] / max(head[0], 1.0), head[2], sums, mass, mine["label"].nunique()))
     return out
 
 
@@ -250,7 +253,7 @@ def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: in
     starts = len(centroids)
     history: list[list[float]] = [[] for _ in range(starts)]
     running = list(range(starts))
-    best = centroids.copy()
+    best, labels = centroids.copy(), [0] * starts
     begun = possible = 0.0
     for _ in range(max_iter):
         moved = centroids.copy()
@@ -259,7 +262,7 @@ def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: in
             past, inertia = history[s], found.inertia
             begun, possible = begun + found.aligned, possible + found.size * centroids.shape[1]
             if not past or inertia < min(past):
-                best[s] = centroids[s]
+                best[s], labels[s] = centroids[s], found.labels
             past.append(float(inertia))
             if len(past) > 1 and past[-2] - inertia < TOLERANCE * max(1.0, abs(past[-2])):
                 continue
@@ -269,7 +272,7 @@ def fit_from(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: in
         if not running:
             break
     winner = min(range(starts), key=lambda s: float(f"{min(history[s]):.9e}"))
-    return SeriesModel(metric, best[winner], min(history[winner]), history[winner], 1 - begun / max(possible, 1.0))
+    return SeriesModel(metric, best[winner], min(history[winner]), history[winner], 1 - begun / max(possible, 1.0), labels[winner])
 
 
 def descend(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: int, shares: Sequence[float] = SHARES) -> SeriesModel:
@@ -290,7 +293,7 @@ def descend(series: DataFrame, metric: str, centroids: np.ndarray, max_iter: int
             break
         now = best
         history.append(float(now.inertia))
-    return SeriesModel(metric, now.centroids, now.inertia, history)
+    return SeriesModel(metric, now.centroids, now.inertia, history, labels=now.labels)
 
 
 def fit(
@@ -338,9 +341,8 @@ def cluster_series(series: DataFrame, k: int, seed: int = SEED, settings: dict[s
     for metric in METHODS:
         max_iter, starts = (settings or {}).get(metric, (None, None))
         try:
-            model = fit(series, metric, k, max_iter, starts, seed)
-            counts[metric] = model.assign(series).select("label").distinct().count()
-            models[metric] = model
+            models[metric] = fit(series, metric, k, max_iter, starts, seed)
+            counts[metric] = models[metric].labels  # known from its passes, so no series is aligned again for it
         except (ValueError, np.linalg.LinAlgError, FloatingPointError) as error:  # the data do not suit it; the others go on
             failures[metric] = str(error)
     chosen = select_model(counts)

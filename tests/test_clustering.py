@@ -251,3 +251,12 @@ def test_batches_are_worked_on_a_block_at_a_time():
     assert max(len(p) for p in parts) <= alignment.batch_rows(50) < 3000
     assert (np.concatenate([clustering._dense(p.column("series")) for p in parts]) == data).all()
     assert [i for p in parts for i in p.column("series_id").to_pylist()] == [str(i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("metric", list(clustering.METHODS))
+def test_the_fit_knows_its_number_of_labels(spark, metric):
+    draw = np.random.default_rng(8)
+    rows = [(f"s{i}", (draw.random((6, 2)) + 5 * (i % 3)).tolist()) for i in range(30)]
+    table = clustering.prepare(spark.createDataFrame(rows, "series_id string, series array<array<double>>"))
+    model = clustering.fit(table, metric, 3, 3, 2)
+    assert model.labels == model.assign(table).select("label").distinct().count() > 1
